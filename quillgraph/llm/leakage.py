@@ -217,10 +217,11 @@ def leaked_items(
                 hits = search(index, np.concatenate(coded), overlap_words, passage) if coded else []
                 frame = pd.DataFrame(hits, columns=["at", "item", "score"])
                 row = np.searchsorted(np.array(starts), frame["at"].to_numpy(), side="right") - 1
+                frame["row"] = row
                 frame[id_col] = batch["_id"].to_numpy()[row]
                 frame[item_col] = np.array(index.item_ids)[frame["item"].to_numpy(dtype=int)]
                 yield (
-                    frame.groupby([id_col, item_col, row], as_index=False)
+                    frame.groupby([id_col, item_col, "row"], as_index=False)
                     .agg(passages=("at", "size"), score=("score", "max"))[[id_col, item_col, "passages", "score"]]
                 )
 

@@ -70,7 +70,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 SQL["p2_found"] = """
 WITH v AS (
   SELECT DISTINCT node_id, model, vector::DOUBLE[] AS vector FROM node_vectors
-  WHERE vector IS NOT NULL AND list_sum(list_transform(vector, x -> x::DOUBLE * x::DOUBLE)) > 0),
+  WHERE vector IS NOT NULL AND list_inner_product(vector::DOUBLE[], vector::DOUBLE[]) > 0),
 s AS (
   SELECT a.node_id AS a, b.node_id AS b, a.model, list_cosine_similarity(a.vector, b.vector) AS sim
   FROM v a JOIN v b ON a.model = b.model AND len(a.vector) = len(b.vector) AND a.node_id <> b.node_id),
