@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillgraph.operators import skew
+from quillgraph.operators import build, graph, history, search, skew, summary
 from quillgraph.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +57,321 @@ SQL["p6_neighbour_kinds"] = _ENDS + (
 SQL["p6_found"] = _ENDS + (
     "SELECT end_role, node_id FROM ends GROUP BY 1, 2 HAVING count(*) >= 0.02 * (SELECT count(*) FROM edges)"
 )
+
+
+# ---------------------------------------------------------------- search
+
+
+@query
+def ranked_search(spark: SparkSession, root: str) -> DataFrame:
+    return search.search_nodes(load(spark, root, "nodes"), load(spark, root, "edges"), "parser")
+
+
+@query
+def ranked_search_all(spark: SparkSession, root: str) -> DataFrame:
+    return search.search_nodes(load(spark, root, "nodes"), load(spark, root, "edges"), "stream", limit=None)
+
+
+@query
+def search_by_type(spark: SparkSession, root: str) -> DataFrame:
+    return search.search_by_type(load(spark, root, "nodes"), "service")
+
+
+@query
+def resolve_target(spark: SparkSession, root: str) -> DataFrame:
+    return search.resolve_target(load(spark, root, "nodes"), "scheduler")
+
+
+_SCORE = """
+WITH refs AS (SELECT target_node_id AS id, count(*) AS refs FROM edges WHERE target_node_id IS NOT NULL GROUP BY 1),
+most AS (SELECT max(refs) AS m FROM refs),
+weights(t, w) AS (VALUES ('api_endpoint', 1.2), ('controller', 1.1), ('service', 1.0), ('class', 1.0), ('interface', 1.0), ('function', 0.9), ('method', 0.9),
+  ('middleware', 1.0), ('repository_layer', 1.0), ('file', 0.7), ('directory', 0.6), ('job', 0.9), ('worker', 0.9), ('queue', 0.9))
+SELECT f.id, f.node_type, f.name, f.file_path, round(
+  {name_score} * 0.5 + coalesce(w.w, 0.5)::DOUBLE * 0.2
+  + CASE WHEN coalesce(m.m, 0) > 0 THEN log2(coalesce(r.refs, 0) + 1) / greatest(log2(m.m + 1), 1.0) ELSE 0.0 END * 0.2
+  + 0.1 / sqrt((length(coalesce(f.file_path, '')) - length(replace(coalesce(f.file_path, ''), '/', '')) + 1)::DOUBLE), 4) AS score
+FROM {found} f LEFT JOIN refs r ON r.id = f.id LEFT JOIN weights w ON w.t = f.node_type CROSS JOIN most m
+"""
+SQL["ranked_search"] = _SCORE.format(
+    name_score="(CASE WHEN lower(f.name) = 'parser' THEN 1.0 WHEN starts_with(lower(f.name), 'parser') THEN 0.8 WHEN contains(lower(f.name), 'parser') THEN 0.5 ELSE 0.1 END)::DOUBLE",
+    found="(SELECT * FROM nodes WHERE name ILIKE '%parser%' ORDER BY CASE WHEN lower(name) = 'parser' THEN 0 WHEN starts_with(lower(name), 'parser') THEN 1 ELSE 2 END, name, id LIMIT 20)",
+)
+SQL["ranked_search_all"] = _SCORE.format(
+    name_score="(CASE WHEN lower(f.name) = 'stream' THEN 1.0 WHEN starts_with(lower(f.name), 'stream') THEN 0.8 WHEN contains(lower(f.name), 'stream') THEN 0.5 ELSE 0.1 END)::DOUBLE",
+    found="(SELECT * FROM nodes WHERE name ILIKE '%stream%')",
+)
+SQL["search_by_type"] = "SELECT id, node_type, name, file_path FROM nodes WHERE node_type = 'service' ORDER BY name, id LIMIT 50"
+SQL["resolve_target"] = """
+SELECT id, repository_id, node_type, name, file_path FROM (
+  SELECT *, CASE WHEN name = 'scheduler' OR file_path = 'scheduler' THEN 1 WHEN name ILIKE '%scheduler%' OR file_path ILIKE '%scheduler%' THEN 2 END AS p FROM nodes)
+WHERE p IS NOT NULL ORDER BY p, coalesce(node_type = 'file', false) DESC, id LIMIT 1
+"""
+
+
+# ---------------------------------------------------------------- traversal
+
+
+def _busiest(spark: SparkSession, root: str, repository_id: int = 2) -> DataFrame:
+    """The node of a repository with most incoming edges."""
+    edges = load(spark, root, "edges").where(F.col("repository_id") == repository_id)
+    return edges.groupBy(F.col("target_node_id").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
+
+
+_BUSIEST = "(SELECT target_node_id AS id FROM edges WHERE repository_id = 2 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+@query
+def neighbors_k2(spark: SparkSession, root: str) -> DataFrame:
+    return graph.neighbours(load(spark, root, "edges"), _busiest(spark, root), 2)
+
+
+@query
+def neighbors_of_many(spark: SparkSession, root: str) -> DataFrame:
+    starts = load(spark, root, "nodes").where(F.col("id") % 100 == 0).select("id")
+    return graph.neighbours(load(spark, root, "edges"), starts, 3)
+
+
+@query
+def impact_closure(spark: SparkSession, root: str) -> DataFrame:
+    return graph.impact(load(spark, root, "edges"), _busiest(spark, root))
+
+
+@query
+def shortest_path(spark: SparkSession, root: str) -> DataFrame:
+    ends = load(spark, root, "nodes").where(F.col("repository_id") == 2).agg(F.min("id"), F.max("id")).first()
+    return graph.shortest_path(load(spark, root, "edges"), ends[0], ends[1], 8).agg(F.count("*").alias("nodes_on_path"))
+
+
+_BALL = """
+WITH RECURSIVE links AS (
+  SELECT source_node_id AS a, target_node_id AS b FROM edges WHERE source_node_id <> target_node_id
+  UNION SELECT target_node_id, source_node_id FROM edges WHERE source_node_id <> target_node_id),
+ball(id, depth) AS (
+  SELECT id, 0 FROM {starts}
+  UNION SELECT l.b, ball.depth + 1 FROM ball JOIN links l ON l.a = ball.id WHERE ball.depth < {depth})
+"""
+SQL["neighbors_k2"] = _BALL.format(starts=_BUSIEST, depth=2) + "SELECT id, min(depth)::INT AS depth FROM ball GROUP BY id"
+SQL["neighbors_of_many"] = _BALL.format(starts="(SELECT id FROM nodes WHERE id % 100 = 0)", depth=3) + "SELECT id, min(depth)::INT AS depth FROM ball GROUP BY id"
+SQL["impact_closure"] = """
+WITH RECURSIVE up(t, id, via_edge) AS (SELECT DISTINCT target_node_id, source_node_id, edge_type FROM edges WHERE source_node_id IS NOT NULL),
+reach(id, level) AS (
+  SELECT id, 1 FROM up WHERE t IN (SELECT id FROM {start})
+  UNION SELECT up.id, reach.level + 1 FROM reach JOIN up ON up.t = reach.id WHERE reach.level < 60),
+first AS (SELECT id, min(level) AS level FROM reach GROUP BY id),
+seed AS (SELECT id, 0 AS level FROM {start}),
+froms AS (SELECT * FROM first UNION ALL SELECT * FROM seed)
+SELECT DISTINCT f.level::INT AS level, f.id, up.via_edge
+FROM first f JOIN up ON up.id = f.id JOIN froms g ON g.id = up.t AND g.level = f.level - 1
+""".format(start=_BUSIEST)
+SQL["shortest_path"] = (
+    _BALL.format(starts="(SELECT min(id) AS id FROM nodes WHERE repository_id = 2)", depth=8)
+    + "SELECT coalesce(min(depth) + 1, 0)::BIGINT AS nodes_on_path FROM ball WHERE id = (SELECT max(id) FROM nodes WHERE repository_id = 2)"
+)
+
+
+@query
+def node_degree(spark: SparkSession, root: str) -> DataFrame:
+    return graph.degree(load(spark, root, "nodes"), load(spark, root, "edges"))
+
+
+@query
+def expand_node(spark: SparkSession, root: str) -> DataFrame:
+    return graph.expand_node(load(spark, root, "edges"), _busiest(spark, root).first()["id"], 2)
+
+
+@query
+def hub_nodes(spark: SparkSession, root: str) -> DataFrame:
+    return graph.hub_nodes(load(spark, root, "nodes"), load(spark, root, "edges"), 2)
+
+
+@query
+def induced_subgraph(spark: SparkSession, root: str) -> DataFrame:
+    hubs = graph.hub_nodes(load(spark, root, "nodes"), load(spark, root, "edges"), 2)
+    return graph.induced_edges(load(spark, root, "edges"), hubs)
+
+
+@query
+def dir_buckets(spark: SparkSession, root: str) -> DataFrame:
+    return graph.directory_buckets(load(spark, root, "nodes"))
+
+
+@query
+def dir_tree(spark: SparkSession, root: str) -> DataFrame:
+    files = load(spark, root, "nodes").where((F.col("node_type") == "file") & F.col("file_path").isNotNull())
+    return build.directory_tree(files.select("repository_id", "file_path"))
+
+
+_DEGREE = """
+ends AS (SELECT source_node_id AS id FROM edges UNION ALL SELECT target_node_id FROM edges WHERE source_node_id <> target_node_id),
+deg AS (SELECT n.id, n.repository_id, count(e.id) AS degree FROM nodes n LEFT JOIN ends e ON e.id = n.id GROUP BY 1, 2)
+"""
+_HUBS = f"""
+{_DEGREE},
+ranked AS (SELECT id, degree FROM deg WHERE repository_id = 2 ORDER BY degree DESC, id),
+hubs AS (SELECT id, degree FROM ranked ORDER BY degree DESC, id LIMIT 10),
+around AS (SELECT DISTINCT CASE WHEN source_node_id IN (SELECT id FROM hubs) THEN target_node_id ELSE source_node_id END AS id
+  FROM (SELECT source_node_id, target_node_id FROM edges WHERE repository_id = 2
+        UNION ALL SELECT target_node_id, source_node_id FROM edges WHERE repository_id = 2)
+  WHERE source_node_id IN (SELECT id FROM hubs)),
+near AS (SELECT id FROM around WHERE id NOT IN (SELECT id FROM hubs) ORDER BY id LIMIT 80),
+staged AS (SELECT id, 0 AS stage, -degree AS o FROM hubs UNION ALL SELECT id, 1, 0 FROM near
+  UNION ALL SELECT * FROM (SELECT id, 2, -degree FROM ranked ORDER BY degree DESC, id LIMIT 240)),
+hub_set AS (SELECT id, min(stage) AS stage, arg_min(o, stage) AS o FROM staged GROUP BY id ORDER BY 2, 3, 1 LIMIT 80)
+"""
+SQL["node_degree"] = f"WITH {_DEGREE} SELECT id, degree FROM deg"
+SQL["expand_node"] = f"""
+WITH s AS (SELECT id FROM {_BUSIEST}),
+o AS (SELECT DISTINCT CASE WHEN source_node_id = s.id THEN target_node_id ELSE source_node_id END AS id
+  FROM edges, s WHERE repository_id = 2 AND (source_node_id = s.id OR target_node_id = s.id))
+SELECT id FROM s UNION ALL SELECT id FROM (SELECT id FROM o WHERE id NOT IN (SELECT id FROM s) ORDER BY id LIMIT 79)
+"""
+SQL["hub_nodes"] = f"WITH {_HUBS} SELECT id, stage::INT AS stage FROM hub_set"
+SQL["induced_subgraph"] = f"""
+WITH {_HUBS} SELECT id, source_node_id, target_node_id, edge_type FROM edges
+WHERE source_node_id IN (SELECT id FROM hub_set) AND target_node_id IN (SELECT id FROM hub_set)
+"""
+SQL["dir_buckets"] = """
+SELECT CASE WHEN regexp_extract(file_path, '^(.*)/[^/]*$', 1) = '' THEN '/' ELSE regexp_extract(file_path, '^(.*)/[^/]*$', 1) END AS directory, count(*) AS nodes
+FROM nodes WHERE file_path IS NOT NULL GROUP BY 1
+"""
+SQL["dir_tree"] = """
+WITH f AS (SELECT DISTINCT repository_id, string_split(file_path, '/') AS p FROM nodes WHERE node_type = 'file' AND file_path IS NOT NULL),
+n AS (SELECT repository_id, p, unnest(range(1, len(p))) AS k FROM f)
+SELECT DISTINCT repository_id, array_to_string(p[1:k], '/') AS directory, CASE WHEN k > 1 THEN array_to_string(p[1:k - 1], '/') END AS parent FROM n
+"""
+
+
+# ---------------------------------------------------------------- summaries
+
+
+@query
+def node_type_counts(spark: SparkSession, root: str) -> DataFrame:
+    return summary.type_counts(load(spark, root, "nodes"), "node_type")
+
+
+@query
+def edge_type_counts(spark: SparkSession, root: str) -> DataFrame:
+    return summary.type_counts(load(spark, root, "edges"), "edge_type")
+
+
+@query
+def top_files(spark: SparkSession, root: str) -> DataFrame:
+    return summary.top_files(load(spark, root, "nodes"))
+
+
+@query
+def top_classes(spark: SparkSession, root: str) -> DataFrame:
+    return summary.top_classes(load(spark, root, "nodes"), load(spark, root, "edges"))
+
+
+@query
+def repo_counts(spark: SparkSession, root: str) -> DataFrame:
+    return summary.repository_counts(*(load(spark, root, t) for t in ("repositories", "nodes", "edges", "commits")))
+
+
+@query
+def db_info(spark: SparkSession, root: str) -> DataFrame:
+    return summary.store_info(**{t: load(spark, root, t) for t in ("repositories", "nodes", "edges", "node_vectors", "commits")})
+
+
+@query
+def file_summary(spark: SparkSession, root: str) -> DataFrame:
+    return summary.file_sections(load(spark, root, "nodes"), load(spark, root, "edges"))
+
+
+SQL["node_type_counts"] = "SELECT repository_id, node_type, count(*) AS n FROM nodes GROUP BY 1, 2"
+SQL["edge_type_counts"] = "SELECT repository_id, edge_type, count(*) AS n FROM edges GROUP BY 1, 2"
+SQL["top_files"] = """
+SELECT repository_id, file_path, entities, rank::INT AS rank FROM (
+  SELECT repository_id, file_path, count(*) AS entities, row_number() OVER (PARTITION BY repository_id ORDER BY count(*) DESC, file_path) AS rank
+  FROM nodes WHERE node_type NOT IN ('file', 'directory') AND file_path IS NOT NULL GROUP BY 1, 2) WHERE rank <= 10
+"""
+SQL["top_classes"] = """
+SELECT repository_id, id, name, methods, rank::INT AS rank FROM (
+  SELECT c.repository_id, c.id, c.name, count(*) AS methods, row_number() OVER (PARTITION BY c.repository_id ORDER BY count(*) DESC, c.name, c.id) AS rank
+  FROM nodes c JOIN edges e ON e.source_node_id = c.id
+  WHERE c.node_type = 'class' AND e.target_node_id IN (SELECT id FROM nodes WHERE node_type IN ('method', 'function')) GROUP BY 1, 2, 3) WHERE rank <= 5
+"""
+SQL["repo_counts"] = """
+SELECT r.id, r.name, (SELECT count(*) FROM nodes n WHERE n.repository_id = r.id) AS nodes,
+  (SELECT count(*) FROM edges e WHERE e.repository_id = r.id) AS edges, (SELECT count(*) FROM commits c WHERE c.repository_id = r.id) AS commits FROM repositories r
+"""
+SQL["db_info"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in ("repositories", "nodes", "edges", "node_vectors", "commits"))
+SQL["file_summary"] = """
+WITH full_e AS (
+  SELECT e.id AS eid, e.repository_id, e.edge_type, s.id AS sid, s.node_type AS st, s.file_path AS sp, t.id AS tid, t.node_type AS tt, t.file_path AS tp
+  FROM edges e JOIN nodes s ON s.id = e.source_node_id JOIN nodes t ON t.id = e.target_node_id),
+rows_ AS (
+  SELECT repository_id, sp AS file_path, 'entities' AS section, tid AS item FROM full_e WHERE edge_type IN ('DEFINES', 'DECLARES') AND st = 'file'
+    AND tt IN ('class', 'function', 'method', 'interface', 'enum', 'constant', 'variable')
+  UNION SELECT repository_id, sp, 'imports', tid FROM full_e WHERE edge_type = 'IMPORTS'
+  UNION SELECT repository_id, tp, 'imported by', sid FROM full_e WHERE edge_type = 'IMPORTS'
+  UNION SELECT repository_id, sp, 'calls', eid FROM full_e WHERE edge_type = 'CALLS'
+  UNION SELECT repository_id, tp, 'calls', eid FROM full_e WHERE edge_type = 'CALLS'
+  UNION SELECT repository_id, sp, 'inherits', tid FROM full_e WHERE edge_type IN ('INHERITS', 'IMPLEMENTS')),
+files AS (SELECT DISTINCT repository_id, file_path FROM nodes WHERE node_type = 'file' AND file_path IS NOT NULL)
+SELECT repository_id, file_path, section, count(*) AS items FROM rows_ JOIN files USING (repository_id, file_path) GROUP BY 1, 2, 3
+"""
+
+
+# ---------------------------------------------------------------- history
+
+
+@query
+def file_history(spark: SparkSession, root: str) -> DataFrame:
+    return history.file_history(load(spark, root, "commits"), load(spark, root, "commit_files"), "CHANGELOG.md")
+
+
+@query
+def co_change(spark: SparkSession, root: str) -> DataFrame:
+    return history.co_change(load(spark, root, "commits"), load(spark, root, "commit_files"), "CHANGELOG.md")
+
+
+@query
+def author_impact(spark: SparkSession, root: str) -> DataFrame:
+    return history.author_impact(load(spark, root, "commits"), load(spark, root, "commit_files"))
+
+
+@query
+def why_introduced(spark: SparkSession, root: str) -> DataFrame:
+    return history.introductions(load(spark, root, "commits"), load(spark, root, "commit_files"))
+
+
+@query
+def list_authors(spark: SparkSession, root: str) -> DataFrame:
+    return history.list_authors(load(spark, root, "commit_authors"))
+
+
+@query
+def author_counts(spark: SparkSession, root: str) -> DataFrame:
+    return history.count_authors(load(spark, root, "commits"), load(spark, root, "commit_authors"))
+
+
+_TS = "coalesce(try_strptime(committed_at, '%Y-%m-%d %H:%M:%S %z'), CASE WHEN committed_at LIKE '%T%Z' THEN try_strptime(replace(committed_at, 'Z', '+0000'), '%Y-%m-%dT%H:%M:%S%z') END)"
+SQL["file_history"] = f"""
+SELECT c.id, hash, author, message, {_TS} AS committed_ts, change_type FROM commits c JOIN commit_files f ON f.commit_id = c.id
+WHERE file_path = 'CHANGELOG.md' ORDER BY committed_ts DESC NULLS LAST, c.id, change_type NULLS FIRST LIMIT 30
+"""
+SQL["co_change"] = """
+SELECT f.file_path, count(*) AS n, min(change_type) AS change_type FROM commit_files f JOIN commits c ON c.id = f.commit_id
+WHERE f.file_path <> 'CHANGELOG.md' AND f.commit_id IN (SELECT commit_id FROM commit_files WHERE file_path = 'CHANGELOG.md')
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20
+"""
+SQL["author_impact"] = """
+SELECT author, file_path, changes, commits, rank::INT AS rank FROM (
+  SELECT author, file_path, count(*) AS changes, count(DISTINCT commit_id) AS commits, row_number() OVER (PARTITION BY author ORDER BY count(*) DESC, file_path) AS rank
+  FROM commit_files f JOIN commits c ON c.id = f.commit_id WHERE author IS NOT NULL AND file_path IS NOT NULL GROUP BY 1, 2) WHERE rank <= 10
+"""
+SQL["why_introduced"] = f"""
+SELECT repository_id, file_path, hash, author, committed_ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY repository_id, file_path ORDER BY committed_ts ASC NULLS LAST, id) AS r FROM (
+    SELECT c.repository_id, f.file_path, c.id, hash, author, {_TS} AS committed_ts FROM commits c JOIN commit_files f ON f.commit_id = c.id WHERE f.file_path IS NOT NULL))
+WHERE r = 1
+"""
+SQL["list_authors"] = "SELECT id, name, email, commit_count FROM commit_authors ORDER BY commit_count DESC NULLS LAST, name NULLS FIRST, id LIMIT 20"
+SQL["author_counts"] = """
+WITH s AS (SELECT repository_id, email, count(DISTINCT hash) AS seen, min(author) AS seen_name FROM commits WHERE email IS NOT NULL GROUP BY 1, 2),
+o AS (SELECT repository_id, email, coalesce(max(commit_count), 0) AS stored, min(name) AS name FROM commit_authors WHERE email IS NOT NULL GROUP BY 1, 2)
+SELECT repository_id, email, coalesce(name, seen_name) AS name, coalesce(seen, stored) AS commit_count FROM o FULL JOIN s USING (repository_id, email)
+"""
