@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import build, graph, history, search, skew, summary
+from quillgraph.functions.text import parsed_metadata
+from quillgraph.operators import architecture, build, compress, graph, history, imports, manifest, rules, search, similarity, skew, summary
+from quillgraph.plans import router
+from quillgraph.session import cut
 from quillgraph.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,3 +378,342 @@ WITH s AS (SELECT repository_id, email, count(DISTINCT hash) AS seen, min(author
 o AS (SELECT repository_id, email, coalesce(max(commit_count), 0) AS stored, min(name) AS name FROM commit_authors WHERE email IS NOT NULL GROUP BY 1, 2)
 SELECT repository_id, email, coalesce(name, seen_name) AS name, coalesce(seen, stored) AS commit_count FROM o FULL JOIN s USING (repository_id, email)
 """
+
+
+# ---------------------------------------------------------------- architecture
+
+
+def _layers(spark: SparkSession, root: str) -> DataFrame:
+    return cut(architecture.layers(architecture.layer_evidence(load(spark, root, "nodes"))))
+
+
+@query
+def layer_confidence(spark: SparkSession, root: str) -> DataFrame:
+    return architecture.layers(architecture.layer_evidence(load(spark, root, "nodes")))
+
+
+@query
+def layer_examples(spark: SparkSession, root: str) -> DataFrame:
+    return architecture.layer_examples(architecture.layer_evidence(load(spark, root, "nodes")))
+
+
+@query
+def pattern_match(spark: SparkSession, root: str) -> DataFrame:
+    return architecture.patterns(_layers(spark, root))
+
+
+@query
+def framework_scores(spark: SparkSession, root: str) -> DataFrame:
+    return architecture.frameworks(load(spark, root, "repositories"), load(spark, root, "nodes"))
+
+
+@query
+def framework_patterns(spark: SparkSession, root: str) -> DataFrame:
+    known = architecture.frameworks(load(spark, root, "repositories"), load(spark, root, "nodes"))
+    return architecture.framework_patterns(_layers(spark, root), known)
+
+
+@query
+def file_layers(spark: SparkSession, root: str) -> DataFrame:
+    return architecture.file_layers(load(spark, root, "nodes"), _layers(spark, root))
+
+
+@query
+def flow_matrix(spark: SparkSession, root: str) -> DataFrame:
+    return architecture.layer_flows(load(spark, root, "edges"), load(spark, root, "nodes"), _layers(spark, root))
+
+
+@query
+def flow_directions(spark: SparkSession, root: str) -> DataFrame:
+    flows = architecture.layer_flows(load(spark, root, "edges"), load(spark, root, "nodes"), _layers(spark, root))
+    return architecture.expected_flows(cut(flows))
+
+
+@query
+def domain_coverage(spark: SparkSession, root: str) -> DataFrame:
+    return architecture.domains(load(spark, root, "nodes"), _layers(spark, root))
+
+
+@query
+def architecture_rows(spark: SparkSession, root: str) -> DataFrame:
+    found = _layers(spark, root)
+    return architecture.architecture_rows(found, architecture.patterns(found), architecture.domains(load(spark, root, "nodes"), found))
+
+
+def _values(table: str) -> str:
+    return ", ".join(f"({i}, '{k}', '{layer}', {w}::DOUBLE)" for i, (k, layer, w) in enumerate(rules.rows(table)))
+
+
+_ALIAS = "CASE layer " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.rows(rules.ALIASES)) + " ELSE layer END"
+_EVIDENCE = f"""
+cr(o, k, layer, w) AS (VALUES {_values(rules.CLASS_RULES)}), fr(o, k, layer, w) AS (VALUES {_values(rules.FILE_RULES)}), dr(o, k, layer, w) AS (VALUES {_values(rules.DIRECTORY_RULES)}),
+n AS (SELECT *, replace(lower(name), '-', '_') AS l, regexp_replace(lower(regexp_extract(name, '([^/]*)$', 1)), '(.)\\.[^.]*$', '\\1') AS st FROM nodes WHERE name IS NOT NULL),
+named AS (SELECT n.*, cr.o, cr.layer, cr.w * CASE WHEN ends_with(l, k) THEN 1.0::DOUBLE WHEN starts_with(l, k) THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM n JOIN cr ON contains(l, k)),
+filed AS (SELECT n.*, fr.o, fr.layer, fr.w AS weight FROM n JOIN fr ON CASE WHEN length(k) <= 3 THEN contains('_' || st || '_', '_' || k || '_') ELSE contains(st, k) END WHERE node_type = 'file'),
+ev AS (
+  SELECT repository_id, {_ALIAS} AS layer, name AS source, weight FROM (
+    SELECT repository_id, layer, name, weight FROM named WHERE node_type IN ('class', 'interface', 'enum') AND weight >= 0.6
+    UNION ALL SELECT repository_id, 'data', name, 0.7::DOUBLE FROM n WHERE node_type = 'interface' AND regexp_matches(name, '^I[A-Z]')
+    UNION ALL SELECT repository_id, 'business', name, 0.6::DOUBLE FROM n WHERE node_type IN ('class', 'interface', 'enum') AND regexp_matches(name, '^Abstract[A-Z]')
+    UNION ALL SELECT repository_id, layer, name, weight * 0.8::DOUBLE FROM named WHERE node_type IN ('function', 'method') AND weight >= 0.7
+    UNION ALL SELECT repository_id, layer, name, weight FROM filed
+    UNION ALL SELECT repository_id, dr.layer, name, dr.w FROM n JOIN dr ON lower(name) = k WHERE node_type = 'directory')),
+layers AS (
+  SELECT repository_id, layer, round(least((avg(weight) * 0.4 + max(weight) * 0.6) * least(count(DISTINCT source) / 3.0::DOUBLE, 1.0::DOUBLE), 1.0::DOUBLE), 2) AS confidence,
+    count(*) AS entities, count(DISTINCT source) AS sources FROM ev GROUP BY 1, 2)
+"""
+SQL["layer_confidence"] = f"WITH {_EVIDENCE} SELECT * FROM layers"
+SQL["layer_examples"] = f"""
+WITH {_EVIDENCE}, d AS (SELECT DISTINCT repository_id, layer, source FROM ev),
+r AS (SELECT *, row_number() OVER (PARTITION BY repository_id, layer ORDER BY source) AS r FROM d)
+SELECT repository_id, layer, string_agg(source, ', ' ORDER BY source) AS examples FROM r WHERE r <= 8 GROUP BY 1, 2
+"""
+_PATTERN_VALUES = ", ".join(f"('{p}', '{layer}', {len(ls)})" for p, *ls in rules.rows(rules.PATTERNS) for layer in ls)
+SQL["pattern_match"] = f"""
+WITH {_EVIDENCE}, asked(pattern, layer, n) AS (VALUES {_PATTERN_VALUES})
+SELECT repository_id, pattern, round(avg(confidence) * (count(*) / n::DOUBLE), 2) AS confidence, count(*) AS matched
+FROM layers JOIN asked USING (layer) GROUP BY repository_id, pattern, n HAVING count(*) / n::DOUBLE >= 0.5
+"""
+SQL["flow_matrix"] = f"""
+WITH {_EVIDENCE},
+f AS (SELECT DISTINCT repository_id, file_path FROM nodes WHERE node_type = 'file' AND file_path IS NOT NULL),
+fs AS (SELECT *, regexp_replace(lower(regexp_extract(file_path, '([^/]*)$', 1)), '(.)\\.[^.]*$', '\\1') AS st FROM f),
+seg AS (SELECT repository_id, file_path, unnest(string_split(file_path, '/')[1:-2]) AS s FROM f),
+hits AS (
+  SELECT fs.repository_id, fs.file_path, fr.layer, fr.w AS weight, fr.o FROM fs JOIN fr ON CASE WHEN length(k) <= 3 THEN contains('_' || st || '_', '_' || k || '_') ELSE contains(st, k) END
+  UNION ALL SELECT repository_id, file_path, layer, weight, o + 2000 FROM named WHERE node_type IN ('class', 'interface', 'enum') AND weight >= 0.6 AND file_path IS NOT NULL
+  UNION ALL SELECT repository_id, file_path, dr.layer, dr.w, dr.o + 1000 FROM seg JOIN dr ON lower(s) = k),
+best AS (SELECT repository_id, file_path, layer FROM (
+  SELECT h.*, row_number() OVER (PARTITION BY repository_id, file_path ORDER BY weight DESC, o) AS r FROM hits h JOIN layers USING (repository_id, layer)) WHERE r = 1),
+placed AS (SELECT n.id, n.repository_id, b.layer FROM nodes n JOIN best b USING (repository_id, file_path) WHERE node_type = 'file'),
+imp AS (SELECT DISTINCT source_node_id, target_node_id FROM edges WHERE edge_type = 'IMPORTS')
+SELECT s.repository_id, s.layer AS source_layer, t.layer AS target_layer, count(*) AS n
+FROM imp JOIN placed s ON s.id = source_node_id JOIN placed t ON t.id = target_node_id WHERE s.layer <> t.layer GROUP BY 1, 2, 3
+"""
+
+
+# ---------------------------------------------------------------- manifest and imports
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    return load(spark, root, "nodes").where((F.col("node_type") == "file") & F.col("file_path").isNotNull()).select("repository_id", "file_path")
+
+
+def _sources(spark: SparkSession, root: str) -> DataFrame:
+    heads = load(spark, root, "source_heads")
+    return heads.select("repository_id", "file_path", manifest.language_of("file_path").alias("language"), F.col("head").alias("text"))
+
+
+@query
+def language_counts(spark: SparkSession, root: str) -> DataFrame:
+    return manifest.language_counts(_files(spark, root))
+
+
+@query
+def directory_counts(spark: SparkSession, root: str) -> DataFrame:
+    return manifest.directory_count(_files(spark, root))
+
+
+@query
+def manifest_rows(spark: SparkSession, root: str) -> DataFrame:
+    return manifest.manifests(load(spark, root, "source_heads").select("repository_id", "file_path", F.col("head").alias("content")))
+
+
+@query
+def import_extract(spark: SparkSession, root: str) -> DataFrame:
+    return imports.extract_imports(_sources(spark, root)).select("repository_id", "file_path", "line", "target")
+
+
+@query
+def suffix_index(spark: SparkSession, root: str) -> DataFrame:
+    return imports.suffix_index(_files(spark, root)).groupBy("repository_id", "suffix").agg(F.count("*").alias("files"))
+
+
+@query
+def import_resolve(spark: SparkSession, root: str) -> DataFrame:
+    return imports.resolve_imports(imports.extract_imports(_sources(spark, root)), _files(spark, root))
+
+
+_LANG = "CASE lower(regexp_extract(regexp_extract(file_path, '([^/]*)$', 1), '^.+\\.([^.]*)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in manifest.LANGUAGES.items()) + " ELSE 'unknown' END"
+SQL["language_counts"] = f"SELECT repository_id, {_LANG} AS language, count(*) AS files FROM nodes WHERE node_type = 'file' AND file_path IS NOT NULL GROUP BY 1, 2"
+SQL["directory_counts"] = """
+WITH f AS (SELECT DISTINCT repository_id, string_split(file_path, '/') AS p FROM nodes WHERE node_type = 'file' AND file_path IS NOT NULL),
+n AS (SELECT repository_id, p, unnest(range(1, len(p))) AS k FROM f)
+SELECT repository_id, count(DISTINCT array_to_string(p[1:k], '/')) AS directories FROM n GROUP BY 1
+"""
+SQL["suffix_index"] = """
+WITH f AS (SELECT DISTINCT repository_id, file_path, string_split(lower(file_path), '/') AS p FROM nodes WHERE node_type = 'file' AND file_path IS NOT NULL),
+n AS (SELECT repository_id, file_path, p, unnest(range(1, len(p) + 1)) AS k FROM f)
+SELECT repository_id, array_to_string(p[k:len(p)], '/') AS suffix, count(*) AS files FROM n GROUP BY 1, 2
+"""
+
+
+def _import_branch(language: str, pattern: str) -> str:
+    names = ", ".join(f"'{x}'" for x in (language, *(k for k, v in imports.SAME.items() if v == language)))
+    quoted = pattern.replace("'", "''").replace(r"\"", '"')
+    return f"SELECT repository_id, file_path, line, unnest(regexp_extract_all(code, '{quoted}', 1)) AS target FROM code WHERE language IN ({names})"
+
+
+SQL["import_extract"] = (
+    f"WITH src AS (SELECT repository_id, file_path, {_LANG} AS language, string_split(head, chr(10)) AS lines FROM source_heads WHERE length(head) > 0),\n"
+    "code AS (SELECT repository_id, file_path, language, unnest(range(1, len(lines) + 1))::INT AS line, unnest(lines) AS code FROM src)\n"
+    "SELECT repository_id, file_path, line, trim(target) AS target FROM (\n"
+    + "\nUNION ALL ".join(_import_branch(k, p) for k, ps in imports.PATTERNS.items() for p in ps)
+    + "\n) WHERE trim(target) <> ''"
+)
+
+
+# ---------------------------------------------------------------- vectors and texts
+
+
+@query
+def cosine_topk(spark: SparkSession, root: str) -> DataFrame:
+    vectors = load(spark, root, "node_vectors")
+    first = vectors.where(F.col("model") == "graph-mini-64").where("vector IS NOT NULL AND exists(vector, x -> x <> 0)").agg(F.min("node_id")).first()[0]
+    return similarity.similar_to_node(vectors, first, "graph-mini-64", 20)
+
+
+@query
+def embedding_backlog(spark: SparkSession, root: str) -> DataFrame:
+    return similarity.backlog(load(spark, root, "nodes"), load(spark, root, "node_vectors"), "graph-mini-64").select("id", "node_type")
+
+
+@query
+def node_text(spark: SparkSession, root: str) -> DataFrame:
+    return similarity.node_text(load(spark, root, "nodes"))
+
+
+@query
+def encode_backlog(spark: SparkSession, root: str) -> DataFrame:
+    todo = similarity.backlog(load(spark, root, "nodes"), load(spark, root, "node_vectors"), "graph-mini-64")
+    return similarity.encode_nodes(todo, similarity.HashingEncoder(64))
+
+
+@query
+def metadata_extract(spark: SparkSession, root: str) -> DataFrame:
+    meta = parsed_metadata("metadata_json")
+    get = lambda k: F.get_json_object(meta, f"$.{k}")
+    return load(spark, root, "nodes").select("id", get("language").alias("language"), get("return_type").alias("return_type"), get("signature").alias("signature"))
+
+
+SQL["cosine_topk"] = """
+WITH v AS (SELECT node_id, vector::DOUBLE[] AS vector FROM node_vectors WHERE model = 'graph-mini-64' AND vector IS NOT NULL AND list_inner_product(vector::DOUBLE[], vector::DOUBLE[]) > 0),
+q AS (SELECT vector FROM v WHERE node_id = (SELECT min(node_id) FROM v) LIMIT 1)
+SELECT node_id, round(max(list_cosine_similarity(v.vector, q.vector)), 4) AS score FROM v, q
+WHERE node_id <> (SELECT min(node_id) FROM v) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20
+"""
+SQL["embedding_backlog"] = """
+SELECT id, node_type FROM nodes WHERE node_type IN ('class', 'function', 'method', 'file', 'interface', 'enum', 'type_alias')
+AND id NOT IN (SELECT node_id FROM node_vectors WHERE model = 'graph-mini-64' AND vector IS NOT NULL)
+"""
+_META = """
+WITH m AS (SELECT id, CASE WHEN starts_with(metadata_json, '"') AND json_valid(metadata_json) THEN metadata_json::JSON ->> '$' WHEN NOT starts_with(metadata_json, '"') THEN metadata_json END AS t FROM nodes),
+o AS (SELECT id, CASE WHEN json_valid(t) AND starts_with(ltrim(t), '{') THEN t END AS t FROM m)
+"""
+SQL["metadata_extract"] = _META + "SELECT id, t ->> '$.language' AS language, t ->> '$.return_type' AS return_type, t ->> '$.signature' AS signature FROM o"
+
+
+# ---------------------------------------------------------------- budgets and questions
+
+
+@query
+def token_estimate(spark: SparkSession, root: str) -> DataFrame:
+    return compress.token_totals(load(spark, root, "documents"))
+
+
+@query
+def budget_truncate(spark: SparkSession, root: str) -> DataFrame:
+    lines = load(spark, root, "nodes").select("repository_id", "id", F.concat_ws(" ", "node_type", "name").alias("line"))
+    return compress.within_budget(lines, 200, ["repository_id"], ["id"]).select("repository_id", "id", "used")
+
+
+@query
+def classify_intent(spark: SparkSession, root: str) -> DataFrame:
+    text = F.col("message")
+    return load(spark, root, "commits").select("id", router.intent_column(text).alias("intent"), router.confidence_column(text).cast("double").alias("confidence")).where(F.col("intent").isNotNull())
+
+
+SQL["token_estimate"] = "SELECT source, count(text) AS documents, coalesce(sum(greatest(1, length(text) // 4)), 0)::BIGINT AS tokens FROM documents GROUP BY 1"
+SQL["budget_truncate"] = """
+SELECT repository_id, id, used::BIGINT AS used FROM (
+  SELECT repository_id, id, sum(length(concat_ws(' ', node_type, name)) + 1) OVER (PARTITION BY repository_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS used FROM nodes) WHERE used <= 804
+"""
+_INTENT = "CASE " + " ".join("WHEN regexp_matches(message, '" + "|".join(f"(?:{p})" for _, p, _ in rs).replace("'", "''") + f"') THEN '{name}'" for name, rs in router.FAMILIES) + " ELSE 'search' END"
+SQL["classify_intent"] = f"SELECT id, intent, (CASE WHEN intent <> 'search' THEN 0.8 WHEN regexp_matches(message, '[A-Z]\\w+') THEN 0.5 ELSE 0.3 END)::DOUBLE AS confidence FROM (SELECT id, message, {_INTENT} AS intent FROM commits)"
+
+
+# ---------------------------------------------------------------- maintenance
+
+
+@query
+def dedupe_keep_first(spark: SparkSession, root: str) -> DataFrame:
+    kept = build.keep_first(load(spark, root, "edges"), ["source_node_id", "target_node_id", "edge_type"], ["id"])
+    return kept.select("id", "source_node_id", "target_node_id", "edge_type")
+
+
+@query
+def resolve_names(spark: SparkSession, root: str) -> DataFrame:
+    nodes = load(spark, root, "nodes")
+    ends = nodes.select("id", "name")
+    calls = load(spark, root, "edges").where(F.col("edge_type").isin("CALLS", "INHERITS", "IMPLEMENTS", "DECORATES"))
+    named = calls.join(ends.select(F.col("id").alias("source_node_id"), F.col("name").alias("source_name")), "source_node_id").join(
+        ends.select(F.col("id").alias("target_node_id"), F.col("name").alias("target_name")), "target_node_id"
+    )
+    return build.resolve_names(nodes, named.select("repository_id", "source_name", "target_name", "edge_type"), distinct=True)
+
+
+@query
+def delete_files(spark: SparkSession, root: str) -> DataFrame:
+    nodes = load(spark, root, "nodes")
+    gone = nodes.where((F.col("node_type") == "file") & (F.col("id") % 10 == 0)).select("repository_id", "file_path")
+    kept, edges, vectors = build.without_files(nodes, load(spark, root, "edges"), load(spark, root, "node_vectors"), gone)
+    return summary.store_info(nodes=kept, edges=edges, vectors=vectors)
+
+
+@query
+def remove_repository(spark: SparkSession, root: str) -> DataFrame:
+    names = ("repositories", "nodes", "edges", "node_vectors", "commits", "commit_files", "commit_authors")
+    return summary.store_info(**build.without_repository(2, **{t: load(spark, root, t) for t in names}))
+
+
+@query
+def upsert_repositories(spark: SparkSession, root: str) -> DataFrame:
+    old = load(spark, root, "repositories")
+    new = old.where(F.col("id") % 2 == 0).select("path", F.upper("name").alias("name"), F.lit(None).cast("timestamp").alias("indexed_at"), F.lit(None).cast("string").alias("manifest_json"))
+    return build.upsert_repositories(old, new).select("id", "path", "name", "manifest_json")
+
+
+@query
+def orphan_edges(spark: SparkSession, root: str) -> DataFrame:
+    return build.orphans(load(spark, root, "nodes"), load(spark, root, "edges"))
+
+
+SQL["dedupe_keep_first"] = """
+SELECT id, source_node_id, target_node_id, edge_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_node_id, target_node_id, edge_type ORDER BY id) AS r FROM edges) WHERE r = 1
+"""
+SQL["resolve_names"] = """
+WITH f AS (SELECT repository_id, name, min(id) AS id FROM nodes WHERE name IS NOT NULL AND node_type NOT IN ('directory', 'file') GROUP BY 1, 2)
+SELECT DISTINCT e.repository_id, a.id AS source_node_id, b.id AS target_node_id, e.edge_type
+FROM edges e JOIN nodes s ON s.id = e.source_node_id JOIN nodes t ON t.id = e.target_node_id
+JOIN f a ON a.repository_id = e.repository_id AND a.name = s.name JOIN f b ON b.repository_id = e.repository_id AND b.name = t.name
+WHERE e.edge_type IN ('CALLS', 'INHERITS', 'IMPLEMENTS', 'DECORATES') AND a.id <> b.id
+"""
+SQL["delete_files"] = """
+WITH gone AS (SELECT DISTINCT repository_id, file_path FROM nodes WHERE node_type = 'file' AND id % 10 = 0),
+dead AS (SELECT id FROM nodes JOIN gone USING (repository_id, file_path))
+SELECT 'nodes' AS table_name, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM dead)
+UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_node_id NOT IN (SELECT id FROM dead) AND target_node_id NOT IN (SELECT id FROM dead)
+UNION ALL SELECT 'vectors', count(*) FROM node_vectors WHERE node_id NOT IN (SELECT id FROM dead)
+"""
+SQL["remove_repository"] = """
+SELECT 'repositories' AS table_name, count(*) AS n FROM repositories WHERE id <> 2
+UNION ALL SELECT 'nodes', count(*) FROM nodes WHERE repository_id <> 2 UNION ALL SELECT 'edges', count(*) FROM edges WHERE repository_id <> 2
+UNION ALL SELECT 'commits', count(*) FROM commits WHERE repository_id <> 2 UNION ALL SELECT 'commit_authors', count(*) FROM commit_authors WHERE repository_id <> 2
+UNION ALL SELECT 'node_vectors', count(*) FROM node_vectors WHERE node_id NOT IN (SELECT id FROM nodes WHERE repository_id = 2)
+UNION ALL SELECT 'commit_files', count(*) FROM commit_files WHERE commit_id NOT IN (SELECT id FROM commits WHERE repository_id = 2)
+"""
+SQL["upsert_repositories"] = "SELECT id, path, CASE WHEN id % 2 = 0 THEN upper(name) ELSE name END AS name, manifest_json FROM repositories"
+SQL["orphan_edges"] = """
+SELECT id, source_node_id, target_node_id FROM edges WHERE source_node_id NOT IN (SELECT id FROM nodes) OR target_node_id NOT IN (SELECT id FROM nodes)
+"""
