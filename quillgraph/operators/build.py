@@ -59,9 +59,10 @@ def structure(repository_id: int, files: DataFrame, entities: DataFrame) -> tupl
     dir_nodes = folders.select(key("directory", F.col("file_path"), 0).alias("id"), "repository_id", F.lit("directory").alias("node_type"), F.regexp_extract("file_path", "([^/]*)$", 1).alias("name"), "file_path", nothing)
     file_nodes = files.select(key("file", F.col("file_path"), 0).alias("id"), "repository_id", F.lit("file").alias("node_type"), F.col("file_path").alias("name"), "file_path", nothing)
 
-    modules = entities.where(F.col("kind") == "module").select("file_path", F.col("ordinal").alias("m"), F.col("parent_ordinal").alias("onward"))
-    inner = entities.where(F.col("kind") != "module").join(modules, (entities["file_path"] == modules["file_path"]) & (F.col("parent_ordinal") == F.col("m")), "left")
-    inner = inner.select(entities["file_path"], "ordinal", F.when(F.col("m").isNotNull(), F.col("onward")).otherwise(F.col("parent_ordinal")).alias("parent_ordinal"), "kind", "name", "metadata_json").withColumn("repository_id", F.lit(repository_id).cast("long"))
+    modules = entities.where(F.col("kind") == "module").select(F.col("file_path").alias("m_path"), F.col("ordinal").alias("m"), F.col("parent_ordinal").alias("onward"))
+    inner = entities.where(F.col("kind") != "module").join(modules, (F.col("file_path") == F.col("m_path")) & (F.col("parent_ordinal") == F.col("m")), "left")
+    above_module = F.when(F.col("m").isNotNull(), F.col("onward")).otherwise(F.col("parent_ordinal"))
+    inner = inner.select("file_path", "ordinal", above_module.alias("parent_ordinal"), "kind", "name", "metadata_json").withColumn("repository_id", F.lit(repository_id).cast("long"))
     entity_nodes = inner.select(key("entity", F.col("file_path"), F.col("ordinal")).alias("id"), "repository_id", retyped(F.col("kind"), F.col("name")).alias("node_type"), "name", "file_path", "metadata_json", "parent_ordinal")
     nodes = dir_nodes.unionByName(file_nodes).unionByName(entity_nodes.drop("parent_ordinal"))
 

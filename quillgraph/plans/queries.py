@@ -11,6 +11,8 @@ from quillgraph.functions.text import parsed_metadata
 from quillgraph.operators import architecture, build, compress, graph, history, imports, manifest, rules, search, similarity, skew, summary
 from quillgraph.plans import router
 from quillgraph.session import cut
+from quillgraph.sources import gitlog, parse
+from quillgraph.streaming import watch
 from quillgraph.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -717,3 +719,69 @@ SQL["upsert_repositories"] = "SELECT id, path, CASE WHEN id % 2 = 0 THEN upper(n
 SQL["orphan_edges"] = """
 SELECT id, source_node_id, target_node_id FROM edges WHERE source_node_id NOT IN (SELECT id FROM nodes) OR target_node_id NOT IN (SELECT id FROM nodes)
 """
+
+
+# ---------------------------------------------------------------- sources and streams
+
+
+@query
+def parse_entities(spark: SparkSession, root: str) -> DataFrame:
+    rows = parse.parse_sources(_sources(spark, root)).where("error IS NULL")
+    return rows.select("repository_id", "file_path", "ordinal", "parent_ordinal", "kind", "name", "line")
+
+
+@query
+def parse_errors(spark: SparkSession, root: str) -> DataFrame:
+    return parse.parse_python(_sources(spark, root)).where("error IS NOT NULL").select("repository_id", "file_path")
+
+
+@query
+def build_structure(spark: SparkSession, root: str) -> DataFrame:
+    sources = _sources(spark, root).where(F.col("repository_id") == 1)
+    entities = parse.parse_sources(sources).where("error IS NULL")
+    nodes, _ = build.structure(1, sources.select("file_path"), entities.select("file_path", "ordinal", "parent_ordinal", "kind", "name", "metadata_json"))
+    return nodes.groupBy("node_type").agg(F.count("*").alias("n"))
+
+
+@query
+def git_log_parse(spark: SparkSession, root: str) -> DataFrame:
+    commits = load(spark, root, "commits").where("hash IS NOT NULL AND repository_id IS NOT NULL")
+    first = build.keep_first(commits, ["repository_id", "hash"], ["id"])
+    parsed = gitlog.log_commits(gitlog.log_text(first, load(spark, root, "commit_files")))
+    files = gitlog.log_files(parsed).groupBy(F.col("commit_id").alias("id")).agg(F.count("*").alias("files"))
+    return parsed.join(files, "id", "left").select("repository_id", "hash", "author", "email", "committed_at", "message", F.coalesce("files", F.lit(0)).alias("files"))
+
+
+SQL["git_log_parse"] = """
+WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, hash ORDER BY id) AS r FROM commits WHERE hash IS NOT NULL AND repository_id IS NOT NULL) WHERE r = 1),
+f AS (SELECT commit_id, count(DISTINCT change_type || chr(9) || file_path) AS files FROM commit_files WHERE file_path IS NOT NULL AND change_type IN ('A', 'M', 'D') GROUP BY 1)
+SELECT repository_id, hash, coalesce(author, '') AS author, coalesce(email, '') AS email, coalesce(committed_at, '') AS committed_at, coalesce(message, '') AS message, coalesce(files, 0) AS files
+FROM c LEFT JOIN f ON f.commit_id = c.id
+"""
+
+
+def _file_events(events: DataFrame) -> DataFrame:
+    return events.select("event_id", F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("op"), "ts")
+
+
+@query
+def stream_coalesce(spark: SparkSession, root: str) -> DataFrame:
+    schema = load(spark, root, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(root)
+    return watch.coalesce_stream(_file_events(stream), spark)
+
+
+@query
+def debounce_sessions(spark: SparkSession, root: str) -> DataFrame:
+    return watch.debounced(_file_events(load(spark, root, "events")), "1 hour")
+
+
+SQL["stream_coalesce"] = """
+SELECT user_id::VARCHAR AS path, arg_max(event_type, (ts, event_id)) AS op, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS events
+FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1
+"""
+SQL["debounce_sessions"] = """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS new FROM events WHERE user_id IS NOT NULL),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id::VARCHAR AS path, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS ended, count(*) AS events FROM s GROUP BY user_id, k
+"""
