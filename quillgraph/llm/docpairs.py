@@ -47,12 +47,12 @@ _HEAD = r"""
   (?: (?:@[\w.]++(?:(?&parens))?\s*+) )*+
   (?: (?:export|default|public|private|protected|static|final|abstract|async|pub|const|unsafe|extern|inline|override|virtual)\s++ )*+
   (?: (?:def|fn|func|function|fun|sub)\s++ (?:(?&parens)\s*+)? | (?:[\w<>\[\]*&:.,?]++\s++)?(?=[A-Za-z_]\w*\s*\([^;{}]*\{) )
-  (?P<name>[A-Za-z_]\w*+[?!]?) \s*+ (?:<[^<>]*+>)? (?P<params>(?&parens))? [^{;\n]*+
+  (?P<name>[A-Za-z_]\w*+[?!]?) \s*+ (?:<[^<>]*+>)? (?P<params>(?&parens))? (?:[^:{;\n]|:(?![ \t]*\n))*+
 )
 """
 #: A comment before a definition with a body in braces, or with an indented one.
 _SOURCE = regex.compile(
-    _PARTS + r"^[ \t]*+" + _COMMENT + r"\s*+" + _HEAD + r"(?P<body>(?&braces) | (?:\n (?P=indent)[ \t]++ [^\n]*+ | \n[ \t]*+(?=\n) )++ )",
+    _PARTS + r"^[ \t]*+" + _COMMENT + r"\s*+" + _HEAD + r":?[ \t]*+(?P<body>(?&braces) | (?:\n (?P=indent)[ \t]++ [^\n]*+ | \n[ \t]*+(?=\n) )++ )",
     regex.VERBOSE | regex.DOTALL | regex.MULTILINE,
 )
 #: A definition with an indented body that opens with its documentation.
@@ -80,7 +80,6 @@ STUBS = frozenset(
     work in progress|coming soon|missing|missing docstring|missing documentation|unknown|self explanatory|obvious|
     default constructor|constructor|ctor|destructor|default destructor|getter|setter|default implementation|
     document|document me|document this|needs documentation|add doc|pending|later|lorem ipsum|foo|foo bar|test|method|function|
-    inherited|inherit|inheritdoc|inherited doc|inherits|override|overrides|overridden|
     """.replace("\n", "").replace("    ", "").split("|")
 ) - {""}
 
@@ -100,7 +99,7 @@ _POINTER = regex.compile(
     r"""\A[\s({\[]*+@?(?:
       (?:please\s+)?(?:see|cf\.?|refer\s+to|as\s+in|same\s+as|like|consult|look\s+at|check|described\s+in|documented\s+in|defined\s+in|inherited\s+from|inherits?\s+from|overrides?|implements|copied\s+from|delegates\s+to)\b
         (?:\s+(?:the|its|also|docs?|documentation|of|for|in|above|below|base|parent|super|class|classes|interface|superclass|method|function|module|header|file|readme|wiki|details?|comment|description|more|information|previous|one|other|overload|implementation|declaration|javadoc|at|\{?@?link|[\w./]*[#.:_/(\d][\w.()\#:/_-]*+|[`'\"<\[][^`'\"<>\]]*+[`'\">\]]))*+
-      |\{?@?inherit_?docs?\}? | inherited | overrid(?:e|den) | see_?also\b.{0,60} | (?:ditto|idem)
+      |\{?@?inherit_?docs?\}? | inherit(?:s|ed)? | overrid(?:es?|den) | see_?also\b.{0,60} | (?:ditto|idem)
     )[\s.)}\]!:;]*+\Z""",
     regex.VERBOSE | regex.IGNORECASE,
 )
