@@ -43,7 +43,7 @@ christopher chris kit topher
 daniel dan danny dani
 david dave davey davy
 dmitri dima mitya dmitry dmitriy
-edward ed eddie ted ned
+edward ed eddie ted teddy ned
 ekaterina katya katia kat
 elizabeth beth liz lizzie betty eliza lisa libby betsy
 francisco fran paco pancho cisco frank
@@ -83,7 +83,7 @@ samuel sam sammy
 sergei seryozha
 stephen steve stevie steven
 susan sue susie
-theodore theo teddy
+theodore theo ted teddy
 thomas tom tommy
 timothy tim timmy
 tobin toby tobi
@@ -96,12 +96,14 @@ xenia ksenia ksyusha
 yusuf joe yousef yosef
 zofia zosia sophie sofia
 """
-_CANON: dict[str, str] = {}
+_NAMES: dict[str, list[str]] = {}
 for _line in NICKNAMES.strip().splitlines():
     for _form in _line.split():
-        _CANON.setdefault(_form, _line.split()[0])
+        _NAMES.setdefault(_form, []).append(_line.split()[0])
+# A full name stands for itself only; a form of several names for all of them, with slashes.
+_CANON = {f: f if f in ns else "/".join(ns) for f, ns in _NAMES.items()}
 #: Given names without short forms of their own that are told from family names.
-_GIVEN = set(_CANON) | set("anais bjorn esra hugo ingrid kenji mara priya quinn vidar anna emma julia laura lars nina omar ravi sara wei yuki".split())
+_GIVEN = set(_CANON) | set("anais bjorn esra hugo ingrid kenji mara priya noor quinn vidar anna emma julia laura lars nina omar ravi sara wei yuki".split())
 
 # Fixed values.
 _TITLES = frozenset("dr mr mrs ms prof professor sir dame ing dipl herr frau jr sr ii iii phd msc".split())
@@ -114,6 +116,8 @@ _ORG_SHORT = frozenset("res sof ind sys tech lab corp inc ltd co".split())
 _ROLE_MAIL = re.compile(r"^(?:team|dev|devs|developers?|info|admin|administrator|support|oss|code|noreply|no-reply|build|ci|ops|mail|contact|hello|office|security|root|git|github|gitlab|list|lists|all|group|staff|bot)\d*(?:[-_.+].*)?$|bot\b")
 _BOT = re.compile(r"\bbots?\b|\[bot\]|[-_]bot[-_\d]*$|^(?:ci|build|release|deploy|jenkins|travis|renovate|dependabot)(?:[-_].*)?$", re.IGNORECASE)
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ])")
+#: UTF-8 that was read as Latin-1.
+_TWICE = re.compile(r"[\u00c2-\u00c5][\u0080-\u00bf]")
 _FOLDED = str.maketrans({"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ı": "i", "þ": "th", "ð": "d"})
 
 
@@ -123,6 +127,13 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
+def repaired(text: str) -> str:
+    """Composed text, with UTF-8 that was read as Latin-1 read again."""
+    if _TWICE.search(text):
+        text = _TWICE.sub(lambda m: m.group().encode("latin-1").decode("utf-8", "replace"), text)
+    return unicodedata.normalize("NFC", text)
+
+
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, with the rows as bits of an integer."""
     if not a or not b:
@@ -177,6 +188,7 @@ def profile(author: str, email: str | None) -> tuple[str, str, list[str]]:
     """
     if _BOT.search(author):
         return "bot", "", [author]
+    author = repaired(author)
     bare = re.sub(r"\([^)]*\)|\[[^\]]*\]|<[^>]*>|\"[^\"]*\"", " ", author)
     order_comma = "," in bare
     raw = [w for w in re.split(r"[^\w']+|_", bare) if w]
@@ -210,8 +222,11 @@ def profile(author: str, email: str | None) -> tuple[str, str, list[str]]:
             first, family = long[0], long[-1]
         given = _given(first) or first
     elif long and initials:
-        if named and lcs_ratio(long[0], named[0][1]) > 0:
-            given = named[0][1]
+        letter = re.search(r"[^\W\d_]\W*$", bare)
+        last = letter is not None and re.search(r"(?:^|[\s.])[^\W\d_]\W*$", bare) is not None
+        if named or (last and not bare.islower()):
+            # "Noor Q.": the initial stands for the family name.
+            given = named[0][1] if named else long[0]
         else:
             given, family = initials[0], long[0]
     elif long:
@@ -225,7 +240,11 @@ def profile(author: str, email: str | None) -> tuple[str, str, list[str]]:
 
     from_mail = None
     if len(mail) >= 2:
-        other = next((w for w in mail if _given(w) and (given is None or _given(w)[0] == given[0])), None)
+        # A short form of several names is told by the mail address.
+        own = given.split("/") if given else []
+        other = next((w for w in mail if (g := _given(w)) and (given is None or g in own or g[0] == given[0])), None)
+        if other and (_given(other) in own or (given and len(given) > 1 and lcs_ratio(long[0] if not family or long[0] != family else long[-1], other) >= 0.7)):
+            given = _given(other)
         rest = [w for w in mail if w != other and len(w) > 2]
         if rest:
             from_mail = max(rest, key=lambda w: (lcs_ratio(w, family) if family else 0, len(w)))
@@ -236,7 +255,10 @@ def profile(author: str, email: str | None) -> tuple[str, str, list[str]]:
     else:
         given_by_mail = None
         if mail and given and len(mail[0]) > 4:
-            from_mail = mail[0][1:] if mail[0][0] == given[0] else None
+            fits = [g for g in given.split("/") if g[0] == mail[0][0]]
+            if fits and "/" in given:
+                given = "/".join(fits)
+            from_mail = mail[0][1:] if fits else None
             if from_mail is None and family and lcs_ratio(mail[0], family) > 0.8:
                 from_mail = mail[0]
     if family is None:
@@ -278,7 +300,7 @@ def same_given(a: str, b: str) -> bool:
         return True
     if len(a) == 1 or len(b) == 1:
         return a[0] == b[0]
-    return not (a in _GIVEN and b in _GIVEN) and lcs_ratio(a, b) >= 0.8 and a[0] == b[0]
+    return not (a in _GIVEN and b in _GIVEN) and a[0] == b[0] and (lcs_ratio(a, b) >= 0.8 or sorted(a) == sorted(b))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -336,6 +358,23 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _without_ambiguous(links: DataFrame) -> DataFrame:
+    """(a, b): the links, but those of initials that fit people of different given names.
+
+    Names with a given name are joined first, and names with an initial among
+    themselves; such a group joins the people only if all it fits are one.
+    """
+    short_a, short_b = F.length("ga") == 1, F.length("gb") == 1
+    full = links.where(~short_a & ~short_b).select("a", "b")
+    short = links.where(short_a & short_b).select("a", "b")
+    across = links.where(short_a != short_b).select(F.when(short_a, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(short_a, F.col("b")).otherwise(F.col("a")).alias("f"))
+    person = components(full).select(F.col("member").alias("f"), F.col("component").alias("person"))
+    group = components(short).select(F.col("member").alias("s"), F.col("component").alias("group"))
+    fits = across.join(person, "f", "left").join(group, "s", "left").select(F.coalesce("group", "s").alias("a"), F.coalesce("person", "f").alias("person"))
+    single = fits.groupBy("a").agg(F.min("person").alias("b"), F.max("person").alias("other")).where("b = other").select("a", "b")
+    return full.unionByName(short).unionByName(single)
+
+
 def name_entities(commits: DataFrame) -> DataFrame:
     """(entity, identity): every identity with the entity it belongs to.
 
@@ -347,22 +386,13 @@ def name_entities(commits: DataFrame) -> DataFrame:
     """
     profiles = cut(identity_profiles(commits))
     read = profiles.where(F.col("kind").isin("person", "org") & (F.size("family") > 0))
-    spelled = read.select("identity", "kind", "given", F.explode("family").alias("spelling")).where(F.length("spelling") >= 3)
+    spelled = read.select("identity", "kind", F.explode(F.split("given", "/")).alias("given"), "family")
+    spelled = spelled.select("identity", "kind", "given", F.explode("family").alias("spelling")).where(F.length("spelling") >= 3)
     name_id = F.xxhash64("kind", "given", "spelling")
     spelled = cut(spelled.withColumn("name_id", name_id))
     names = spelled.select("name_id", "kind", "given", "spelling").distinct()
     links = cut(family_links(names))
-
-    # An initial between two different given names of one family tells nothing.
-    ends = links.select("a", "b", "ga", "gb").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("gb").alias("ga"), F.col("ga").alias("gb")))
-    loose = ends.where((F.length("ga") == 1) & (F.length("gb") > 1)).groupBy("a").agg(F.min("gb").alias("g1"), F.max("gb").alias("g2"))
-    loose = loose.where("g1 <> g2").select(F.col("a").alias("name"))
-    marked = links.join(loose.select(F.col("name").alias("a")).withColumn("la", F.lit(True)), "a", "left").join(
-        loose.select(F.col("name").alias("b")).withColumn("lb", F.lit(True)), "b", "left"
-    )
-    kept = marked.where(
-        ~(F.coalesce("la", F.lit(False)) & (F.length("gb") > 1)) & ~(F.coalesce("lb", F.lit(False)) & (F.length("ga") > 1))
-    ).select("a", "b")
+    kept = _without_ambiguous(links)
 
     # Spellings of one identity belong together too.
     firsts = spelled.groupBy("identity").agg(F.min("name_id").alias("a"), F.max("name_id").alias("b"))
