@@ -15,11 +15,20 @@ from quillgraph.functions.text import parent_directory
 from quillgraph.session import cut
 
 
+#: A frontier of up to so many ids is sent to the edges; a larger one is joined by a shuffle.
+BROADCAST_IDS = 100_000
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
-    """(a, b): distinct ends of every edge in either direction, without self-loops."""
+    """(a, b): both ends of every edge in either direction, without self-loops; repeated edges repeat."""
     ends = edges.select(F.col("source_node_id").alias("s"), F.col("target_node_id").alias("t")).where("s <> t")
     turned = F.array(F.struct(F.col("s").alias("a"), F.col("t").alias("b")), F.struct(F.col("t").alias("a"), F.col("s").alias("b")))
-    return ends.select(F.explode(turned).alias("e")).select("e.a", "e.b").distinct()
+    return ends.select(F.explode(turned).alias("e")).select("e.a", "e.b")
+
+
+def _side(ids: DataFrame, n: int) -> DataFrame:
+    """The ids of a frontier of ``n`` rows, broadcast where that is few."""
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
 
 
 def neighbours(edges: DataFrame, starts: DataFrame, max_depth: int = 1) -> DataFrame:
@@ -32,10 +41,11 @@ def neighbours(edges: DataFrame, starts: DataFrame, max_depth: int = 1) -> DataF
     frontier = cut(starts.select("id").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for depth in range(1, max_depth + 1):
-        step = frontier.join(links, frontier["id"] == links["a"]).select(F.col("b").alias("id")).distinct()
-        frontier = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
+        step = links.join(_side(frontier.select("id"), n), F.col("a") == F.col("id")).select(F.col("b").alias("id")).distinct()
+        frontier = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -47,19 +57,20 @@ def impact(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
     it is first reached.  A start on a cycle is reported again.
     """
     incoming = edges.where(F.col("source_node_id").isNotNull()).select(
-        F.col("target_node_id").alias("t"), F.col("source_node_id").alias("id"), F.col("edge_type").alias("via_edge")
-    ).distinct()
-    frontier = starts.select("id").distinct()
+        F.col("target_node_id").alias("t"), F.col("source_node_id").alias("dependent"), F.col("edge_type").alias("via_edge")
+    )
+    frontier = cut(starts.select("id").distinct())
     seen: DataFrame | None = None
     level = 0
     while max_depth is None or level < max_depth:
         level += 1
-        step = frontier.join(incoming.withColumnRenamed("id", "dependent"), F.col("id") == F.col("t")).select(F.col("dependent").alias("id"), "via_edge").distinct()
+        n = frontier.count()
+        if not n:
+            break
+        step = incoming.join(_side(frontier, n), F.col("t") == F.col("id")).select(F.col("dependent").alias("id"), "via_edge").distinct()
         if seen is not None:
             step = step.join(seen.select("id").distinct(), "id", "left_anti")
         step = cut(step.select(F.lit(level).alias("level"), "id", "via_edge"))
-        if step.isEmpty():
-            break
         seen = step if seen is None else seen.unionByName(step)
         frontier = step.select("id").distinct()
     return seen if seen is not None else starts.sparkSession.createDataFrame([], "level int, id long, via_edge string")
@@ -76,15 +87,15 @@ def shortest_path(edges: DataFrame, start: int, end: int, max_depth: int = 5) ->
     if start == end:
         return spark.createDataFrame([(0, start)], schema)
     links = both_ways(edges)
-    levels = [spark.createDataFrame([(start, None)], "id long, parent long")]
+    levels = [cut(spark.createDataFrame([(start, None)], "id long, parent long"))]
     seen = levels[0].select("id")
     reached = False
     while not reached and len(levels) <= max_depth:
-        last = levels[-1].select("id")
-        step = last.join(links, F.col("id") == F.col("a")).groupBy("b").agg(F.min("a").alias("parent"))
-        step = cut(step.select(F.col("b").alias("id"), "parent").join(seen, "id", "left_anti"))
-        if step.isEmpty():
+        n = levels[-1].count()
+        if not n:
             break
+        step = links.join(_side(levels[-1].select("id"), n), F.col("a") == F.col("id")).groupBy("b").agg(F.min("a").alias("parent"))
+        step = cut(step.select(F.col("b").alias("id"), "parent").join(seen, "id", "left_anti"))
         levels.append(step)
         seen = seen.unionByName(step.select("id"))
         reached = not step.where(F.col("id") == end).isEmpty()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What imports look like, tried on every line; the first group is the target.
@@ -113,6 +113,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
         ).alias("k"),
     ).select("repository_id", "file_path", "k.key", "k.rank").where(F.length("key") > 0)
     keys = keys.groupBy("repository_id", "key", "file_path").agg(F.min("rank").alias("rank"))
+    # The best two files of a key suffice, as an import never means its own file: a common name costs no more than a rare one.
+    order = Window.partitionBy("repository_id", "key").orderBy("rank", "file_path")
+    keys = keys.withColumn("_r", F.row_number().over(order)).where("_r <= 2").drop("_r")
     found = asked.join(keys, (asked["base"] == keys["key"]) & asked["repository_id"].eqNullSafe(keys["repository_id"])).select(
         asked["repository_id"], "source_path", "line", "target", F.struct("rank", "nth", F.col("file_path").alias("path")).alias("m")
     )

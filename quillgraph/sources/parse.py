@@ -13,7 +13,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _MOD = r"(?:(?:public|private|protected|internal|static|final|abstract|async|export|default|override|virtual|sealed|open|data|inline|suspend|pub(?:\([^)]*\))?|unsafe|const|extern|implicit|case|local|mutating|partial|readonly)\s+)*"
@@ -113,6 +113,27 @@ def parse_python(sources: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, _SCHEMA)
 
 
+def _enclose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number the definitions of each file and give each the last container before it with less indentation."""
+    file, ordinal, stack = None, 0, []
+    for batch in batches:
+        ordinals, parents, kinds = [], [], []
+        for repository, path, kind, indent in zip(batch["repository_id"], batch["file_path"], batch["kind"], batch["indent"]):
+            here = (None if repository != repository else repository, path)
+            if here != file:
+                file, ordinal, stack = here, 0, []
+            while stack and stack[-1][1] >= indent:
+                stack.pop()
+            ordinals.append(ordinal)
+            parents.append(stack[-1][0] if stack else None)
+            kinds.append(stack[-1][2] if stack else None)
+            if kind in CONTAINERS:
+                stack.append((ordinal, indent, kind))
+            ordinal += 1
+        out = batch.drop(columns=["indent"])
+        yield out.assign(ordinal=ordinals, parent_ordinal=pd.array(parents, dtype="Int32"), parent_kind=kinds)
+
+
 def parse_lines(sources: DataFrame) -> DataFrame:
     """Entities of the other languages, line by line."""
     rows = sources.where((F.col("language") != "python") & (F.length("text") > 0))
@@ -126,19 +147,15 @@ def parse_lines(sources: DataFrame) -> DataFrame:
     found = lines.withColumn("d", hit).where(F.col("d").isNotNull())
     indent = F.length(F.regexp_extract("code", r"^(\s*)", 1))
     found = found.select("repository_id", "file_path", "language", "at", "code", "d.kind", "d.name", indent.alias("indent"))
-    file = ["repository_id", "file_path"]
-    numbered = found.withColumn("ordinal", F.row_number().over(Window.partitionBy(*file).orderBy("at")) - 1)
-    # The containers before a line, of which the last with less indentation encloses it.
-    before = Window.partitionBy(*file).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    container = F.when(F.col("kind").isin(*CONTAINERS), F.struct("ordinal", "indent", "kind"))
-    open_ = F.filter(F.collect_list(container).over(before), lambda c: c.isNotNull())
-    numbered = numbered.withColumn("_open", open_).withColumn("_up", F.try_element_at(F.filter("_open", lambda c: c["indent"] < F.col("indent")), F.lit(-1)))
-    kind = F.when((F.col("kind") == "function") & F.col("_up.kind").isin("class", "interface", "enum"), "method").otherwise(F.col("kind"))
+    # Files stay whole and in order within a partition, so one pass with a stack finds what encloses each line.
+    ordered = found.repartition("repository_id", "file_path").sortWithinPartitions("repository_id", "file_path", "at")
+    numbered = ordered.mapInPandas(_enclose, "repository_id long, file_path string, language string, at int, code string, kind string, name string, ordinal int, parent_ordinal int, parent_kind string")
+    kind = F.when((F.col("kind") == "function") & F.col("parent_kind").isin("class", "interface", "enum"), "method").otherwise(F.col("kind"))
     bases = F.split(F.regexp_replace(F.regexp_extract("code", BASES, 1), r"\s+", ""), ",")
     relations = F.when(F.col("kind").isin("class", "interface"), F.transform(F.filter(bases, lambda b: b != ""), lambda b: F.struct(F.lit("INHERITS").alias("edge_type"), b.alias("target_name"))))
     none = F.lit(None).cast("string")
     return numbered.select(
-        "repository_id", "file_path", "language", F.col("ordinal").cast("int").alias("ordinal"), F.col("_up.ordinal").cast("int").alias("parent_ordinal"), kind.alias("kind"), "name",
+        "repository_id", "file_path", "language", F.col("ordinal").cast("int").alias("ordinal"), "parent_ordinal", kind.alias("kind"), "name",
         (F.col("at") + 1).cast("int").alias("line"), none.alias("docstring"), none.alias("metadata_json"),
         F.coalesce(relations, F.array().cast("array<struct<edge_type:string,target_name:string>>")).alias("relations"), none.alias("error"),
     )
