@@ -15,7 +15,9 @@ member ids than a result can show.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -179,6 +181,26 @@ class PointTree:
 
 # ---------------------------------------------------------------- in Spark
 
+_HOME = "group string, shard int, kind string, n long, block binary, cid long, near array<long>, sims array<float>"
+
+
+def _results(group: str, ids: np.ndarray, found: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
+    """One row a query with its neighbours."""
+    return pd.DataFrame({"group": group, "shard": -1, "kind": "result", "n": 1, "block": None, "cid": ids, "near": list(found), "sims": list(sims)})
+
+
+def _block(group: str, shard: int, kind: str, ids: np.ndarray, radius: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+    """Many vectors with their ids and radii in one binary value."""
+    data = np.int64(len(ids)).tobytes() + ids.astype(np.int64).tobytes() + radius.astype(np.float32).tobytes() + np.ascontiguousarray(x, np.float32).tobytes()
+    return pd.DataFrame({"group": [group], "shard": [shard], "kind": [kind], "n": [len(ids)], "block": [data], "cid": [0], "near": [None], "sims": [None]})
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    ids = np.frombuffer(data, np.int64, n, 8)
+    radius = np.frombuffer(data, np.float32, n, 8 + 8 * n)
+    return ids, radius, np.frombuffer(data, np.float32, -1, 8 + 12 * n).reshape(n, -1)
+
 
 def _first_members(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The least ``k`` node ids of each class; a class of any size is spread over salts first."""
@@ -197,7 +219,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
     different lengths are never compared.  A repeated row counts once; of
     several vectors of a node the neighbours of each come out.  Among equal
     similarities the lower node id comes first, and a similarity counts as
-    equal where the unit vectors agree to five decimals.
+    equal where the unit vectors agree to five decimals (by a 128-bit hash).
     """
     size = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows = (
@@ -207,7 +229,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
         .where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
         .withColumn("group", F.concat_ws("/", "model", F.size("vector")))
         .withColumn("unit", F.transform("vector", lambda x: (x / F.col("norm")).cast("float")))
-        .withColumn("class", F.md5(F.array_join(F.transform("unit", lambda x: F.round(x.cast("double"), 5) + F.lit(0.0)), ",")))
+        .withColumn("steps", F.transform("unit", lambda x: F.rint(x * F.lit(100_000.0)).cast("int")))
+        .withColumn("class", F.concat_ws("/", F.xxhash64("steps"), F.xxhash64(F.lit(1), "steps")))
         .select("node_id", "model", "group", "class", "unit")
     )
     # Which node is of which class.
@@ -240,51 +263,49 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
 
     placed = cut(classes.select("group", "cid", "unit").mapInPandas(assign, "group string, shard int, cid long, unit array<float>"))
 
-    def at_home(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x, ids = np.stack(part["unit"].to_numpy()).astype(np.float32), part["cid"].to_numpy()
+    def at_home(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A shard has about shard_rows directions.
+        part = pd.concat(list(batches))
+        x, ids = np.stack(part["unit"].to_numpy()).astype(np.float32), part["cid"].to_numpy(np.int64)
         found, sims = PointTree(x, ids).search(x, ids, k, relax)
-        radius = np.sqrt(np.maximum(2.0 - 2.0 * sims[:, -1], 0.0))
+        radius = np.sqrt(np.maximum(2.0 - 2.0 * sims[:, -1], 0.0)).astype(np.float32)
+        yield _results(key[0], ids, found, sims)
+        yield _block(key[0], key[1], "host", ids, radius, x)
         reach = shared.value[key[0]].bounds(x) * relax < radius[:, None]
-        reach[:, key[1]] = False
-        out = part[["group", "cid", "unit"]].copy()
-        out["radius"] = radius
-        out["near"] = list(found)
-        out["sims"] = list(sims)
-        out["visit"] = [np.flatnonzero(r).astype(np.int32) for r in reach]
-        return out
-
-    home = cut(
-        placed.groupBy("group", "shard").applyInPandas(
-            at_home, "group string, cid long, unit array<float>, radius float, near array<long>, sims array<float>, visit array<int>"
-        )
-    )
-    visits = home.select("group", "cid", "unit", "radius", F.explode("visit").alias("shard"))
-    copies = visits.groupBy("group", "shard").agg(F.ceil(F.count("*") / VISIT_ROWS).cast("int").alias("copies"))
-    visits = visits.join(copies, ["group", "shard"]).select(
-        "group", "shard", F.pmod(F.xxhash64("cid"), F.col("copies")).cast("int").alias("copy"), "cid", "unit", "radius"
+        for shard in range(reach.shape[1]):
+            asks = reach[:, shard]
+            if shard != key[1] and asks.any():
+                yield _block(key[0], shard, "guest", ids[asks], radius[asks], x[asks])
+
+    home = cut(placed.groupBy("group", "shard").applyInPandas(at_home, _HOME))
+    guests = home.where("kind = 'guest'").select("group", "shard", "n", "block")
+    copies = guests.groupBy("group", "shard").agg(F.ceil(F.sum("n") / VISIT_ROWS).cast("int").alias("copies"))
+    # Blocks of vectors travel, not rows: a guest block to one copy of its host.
+    guests = guests.join(copies, ["group", "shard"]).select(
+        "group", "shard", F.pmod(F.xxhash64("block"), F.col("copies")).cast("int").alias("copy"), "block"
     )
     spread = copies.select(F.col("group").alias("g"), F.col("shard").alias("s"), F.expr("explode(sequence(0, copies - 1)) as host_copy"))
-    hosts = placed.join(spread, (F.col("group") == F.col("g")) & (F.col("shard") == F.col("s"))).select(
-        F.col("g").alias("group"), F.col("s").alias("shard"), F.col("host_copy").alias("copy"), F.col("cid").alias("cid"), F.col("unit").alias("unit")
-    )
+    hosts = home.where("kind = 'host'").join(spread, (F.col("group") == F.col("g")) & (F.col("shard") == F.col("s")))
+    hosts = hosts.select(F.col("g").alias("group"), F.col("s").alias("shard"), F.col("host_copy").alias("copy"), F.col("block").alias("block"))
 
     def abroad(key: tuple, guests: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
-        if not len(guests) or not len(host):
-            return pd.DataFrame({"group": [], "cid": [], "near": [], "sims": []})
-        x = np.stack(host["unit"].to_numpy()).astype(np.float32)
-        q = np.stack(guests["unit"].to_numpy()).astype(np.float32)
-        found, sims = PointTree(x, host["cid"].to_numpy()).search(q, guests["cid"].to_numpy(), k, relax, guests["radius"].to_numpy())
-        some = (found >= 0).any(axis=1)
-        return pd.DataFrame(
-            {"group": guests["group"][some], "cid": guests["cid"][some], "near": list(found[some]), "sims": list(sims[some])}
-        )
+        parts = []
+        if len(guests) and len(host):
+            own, _, x = _unpack(host["block"].iloc[0])
+            tree = PointTree(x, own)
+            for block in guests["block"]:
+                ids, radius, q = _unpack(block)
+                found, sims = tree.search(q, ids, k, relax, radius)
+                some = (found >= 0).any(axis=1)
+                parts.append(_results(key[0], ids[some], found[some], sims[some])[["group", "cid", "near", "sims"]])
+        return pd.concat(parts) if parts else pd.DataFrame({"group": [], "cid": [], "near": [], "sims": []})
 
     away = (
-        visits.groupBy("group", "shard", "copy")
+        guests.groupBy("group", "shard", "copy")
         .cogroup(hosts.groupBy("group", "shard", "copy"))
         .applyInPandas(abroad, "group string, cid long, near array<long>, sims array<float>")
     )
-    both = home.select("group", "cid", "near", "sims").unionByName(away)
+    both = home.where("kind = 'result'").select("group", "cid", "near", "sims").unionByName(away)
     best = (
         both.select("group", "cid", F.explode(F.arrays_zip("near", "sims")).alias("n"))
         .select("group", "cid", F.col("n.near").alias("ncid"), F.col("n.sims").cast("double").alias("sim"))
