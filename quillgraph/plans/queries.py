@@ -476,21 +476,45 @@ WITH {_EVIDENCE}, asked(pattern, layer, n) AS (VALUES {_PATTERN_VALUES})
 SELECT repository_id, pattern, round(avg(confidence) * (count(*) / n::DOUBLE), 2) AS confidence, count(*) AS matched
 FROM layers JOIN asked USING (layer) GROUP BY repository_id, pattern, n HAVING count(*) / n::DOUBLE >= 0.5
 """
-SQL["flow_matrix"] = f"""
-WITH {_EVIDENCE},
+_FILE_LAYERS = f"""{_EVIDENCE},
 f AS (SELECT DISTINCT repository_id, file_path FROM nodes WHERE node_type = 'file' AND file_path IS NOT NULL),
 fs AS (SELECT *, regexp_replace(lower(regexp_extract(file_path, '([^/]*)$', 1)), '(.)\\.[^.]*$', '\\1') AS st FROM f),
 seg AS (SELECT repository_id, file_path, unnest(string_split(file_path, '/')[1:-2]) AS s FROM f),
+scored AS (SELECT fs.repository_id, fs.file_path, fr.layer, fr.w AS weight, fr.o FROM fs JOIN fr ON CASE WHEN length(k) <= 3 THEN contains('_' || st || '_', '_' || k || '_') ELSE contains(st, k) END),
 hits AS (
-  SELECT fs.repository_id, fs.file_path, fr.layer, fr.w AS weight, fr.o FROM fs JOIN fr ON CASE WHEN length(k) <= 3 THEN contains('_' || st || '_', '_' || k || '_') ELSE contains(st, k) END
+  SELECT * FROM scored
   UNION ALL SELECT repository_id, file_path, layer, weight, o + 2000 FROM named WHERE node_type IN ('class', 'interface', 'enum') AND weight >= 0.6 AND file_path IS NOT NULL
   UNION ALL SELECT repository_id, file_path, dr.layer, dr.w, dr.o + 1000 FROM seg JOIN dr ON lower(s) = k),
 best AS (SELECT repository_id, file_path, layer FROM (
   SELECT h.*, row_number() OVER (PARTITION BY repository_id, file_path ORDER BY weight DESC, o) AS r FROM hits h JOIN layers USING (repository_id, layer)) WHERE r = 1),
 placed AS (SELECT n.id, n.repository_id, b.layer FROM nodes n JOIN best b USING (repository_id, file_path) WHERE node_type = 'file'),
-imp AS (SELECT DISTINCT source_node_id, target_node_id FROM edges WHERE edge_type = 'IMPORTS')
-SELECT s.repository_id, s.layer AS source_layer, t.layer AS target_layer, count(*) AS n
-FROM imp JOIN placed s ON s.id = source_node_id JOIN placed t ON t.id = target_node_id WHERE s.layer <> t.layer GROUP BY 1, 2, 3
+imp AS (SELECT DISTINCT source_node_id, target_node_id FROM edges WHERE edge_type = 'IMPORTS'),
+flows AS (SELECT s.repository_id, s.layer AS source_layer, t.layer AS target_layer, count(*) AS n
+  FROM imp JOIN placed s ON s.id = source_node_id JOIN placed t ON t.id = target_node_id WHERE s.layer <> t.layer GROUP BY 1, 2, 3)
+"""
+SQL["file_layers"] = f"WITH {_FILE_LAYERS} SELECT repository_id, file_path, layer FROM best"
+SQL["flow_matrix"] = f"WITH {_FILE_LAYERS} SELECT * FROM flows"
+_DIRECTIONS = ", ".join(f"('{a}', '{b}')" for a, b in rules.EXPECTED_FLOWS)
+SQL["flow_directions"] = f"""
+WITH {_FILE_LAYERS}, d(source_layer, target_layer) AS (VALUES {_DIRECTIONS}),
+x AS (SELECT repository_id, source_layer, target_layer, n AS forward, 0 AS reverse FROM flows JOIN d USING (source_layer, target_layer)
+  UNION ALL SELECT repository_id, d.source_layer, d.target_layer, 0, n FROM flows JOIN d ON flows.source_layer = d.target_layer AND flows.target_layer = d.source_layer)
+SELECT repository_id, source_layer, target_layer, sum(forward)::BIGINT AS forward, sum(reverse)::BIGINT AS reverse, sum(forward) >= sum(reverse) AS expected FROM x GROUP BY 1, 2, 3
+"""
+_NO_DOMAIN = ", ".join(f"'{x}'" for x in architecture.NO_DOMAIN)
+SQL["domain_coverage"] = f"""
+WITH {_FILE_LAYERS},
+i AS (SELECT *, regexp_extract(file_path, '^([^/]+)/', 1) AS domain FROM nodes WHERE file_path IS NOT NULL),
+inside AS (SELECT * FROM i WHERE domain <> '' AND NOT starts_with(domain, '.') AND domain NOT IN ({_NO_DOMAIN})),
+df AS (SELECT DISTINCT repository_id, domain, file_path FROM inside WHERE node_type = 'file'),
+sizes AS (SELECT repository_id, domain, count(*) AS files FROM df GROUP BY 1, 2 HAVING count(*) >= 2),
+one AS (SELECT repository_id, file_path, layer FROM (SELECT s.*, row_number() OVER (PARTITION BY repository_id, file_path ORDER BY o) AS r
+  FROM scored s JOIN layers USING (repository_id, layer) WHERE weight >= 0.5) WHERE r = 1),
+service AS (SELECT repository_id, domain, count(*) AS k FROM df JOIN one USING (repository_id, file_path) WHERE layer IN ('controller', 'business', 'data') GROUP BY 1, 2),
+kinds AS (SELECT repository_id, domain, count(DISTINCT node_type) AS kinds FROM inside JOIN df USING (repository_id, domain, file_path) GROUP BY 1, 2),
+x AS (SELECT repository_id, domain, files, coalesce(k, 0) AS service_files, round(least(0.3::DOUBLE + coalesce(k, 0) / files::DOUBLE * 0.4::DOUBLE + kinds / 5.0::DOUBLE * 0.3::DOUBLE, 1.0::DOUBLE), 2) AS confidence
+  FROM sizes JOIN kinds USING (repository_id, domain) LEFT JOIN service USING (repository_id, domain))
+SELECT * FROM x WHERE service_files >= 2 OR confidence >= 0.4
 """
 
 
@@ -612,6 +636,13 @@ _META = """
 WITH m AS (SELECT id, CASE WHEN starts_with(metadata_json, '"') AND json_valid(metadata_json) THEN metadata_json::JSON ->> '$' WHEN NOT starts_with(metadata_json, '"') THEN metadata_json END AS t FROM nodes),
 o AS (SELECT id, CASE WHEN json_valid(t) AND starts_with(ltrim(t), '{') THEN t END AS t FROM m)
 """
+SQL["node_text"] = _META + """
+, n AS (SELECT nodes.*, t FROM nodes JOIN o USING (id))
+SELECT id AS node_id, concat_ws(chr(10), node_type || ': ' || name, 'file: ' || file_path,
+  'docstring: ' || nullif(t ->> '$.docstring', ''), CASE WHEN node_type IN ('function', 'method') THEN 'signature: ' || nullif(t ->> '$.signature', '') END,
+  CASE WHEN node_type = 'method' THEN 'parent: ' || nullif(t ->> '$.parent_name', '') END, CASE WHEN node_type = 'function' THEN 'module: ' || nullif(t ->> '$.parent_name', '') END,
+  CASE WHEN json_array_length(t, '$.parameters') > 0 THEN 'parameters: ' || array_to_string((t -> '$.parameters')::VARCHAR[], ', ') END, 'returns: ' || nullif(t ->> '$.return_type', '')) AS text FROM n
+"""
 SQL["metadata_extract"] = _META + "SELECT id, t ->> '$.language' AS language, t ->> '$.return_type' AS return_type, t ->> '$.signature' AS signature FROM o"
 
 
