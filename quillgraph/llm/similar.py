@@ -225,7 +225,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
     rows = (
         vectors.select("node_id", "model", "vector")
         .where(F.col("node_id").isNotNull() & F.col("model").isNotNull())
-        .withColumn("norm", F.sqrt(size))
+        # The explode keeps the norm from being computed again for every element.
+        .select("node_id", "model", "vector", F.explode(F.array(F.sqrt(size))).alias("norm"))
         .where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
         .withColumn("group", F.concat_ws("/", "model", F.size("vector")))
         .withColumn("unit", F.transform("vector", lambda x: (x / F.col("norm")).cast("float")))
