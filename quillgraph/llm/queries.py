@@ -59,7 +59,7 @@ WHERE p.k * t.n >= 3 * a.k * b.k
 
 @_query
 def p2_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    return similar.nearest_vectors(load(spark, root, "node_vectors"))
+    return similar.nearest_vectors(load(spark, root, "node_vectors")).withColumn("similarity", F.round("similarity", 6))
 
 
 @_query

@@ -333,7 +333,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
         "node_id",
         (F.col("rank") + 1).alias("rank"),
         F.col("n.neighbour_id").alias("neighbour_id"),
-        F.round("n.sim", 6).alias("similarity"),
+        F.col("n.sim").alias("similarity"),
     )
 
 
