@@ -26,16 +26,19 @@ def open_store(spark: SparkSession, store: str) -> dict[str, DataFrame]:
         if name == "node_vectors":
             schema = schema.add("repository_id", "long") if "repository_id" not in schema.names else schema
         path = f"{store}/{name}.parquet"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        df = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+        df = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
         out[name] = df.select(*(F.col(f.name).cast(f.dataType) for f in schema))
     return out
 
 
-def _sources(spark: SparkSession, path: str, repository_id: int) -> DataFrame:
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _sources(spark: SparkSession, path: str, repository_id: int, only: list[str] | None = None) -> DataFrame:
     """(repository_id, file_path, language, text) of the text files of a tree; undecodable bytes are replaced."""
-    scanned = tree.scan_tree(spark, path)
+    scanned = tree.scan_tree(spark, path, only=only)
     return scanned.select(
         F.lit(repository_id).cast("long").alias("repository_id"), "file_path", manifest.language_of("file_path").alias("language"),
         F.col("content").cast("string").alias("text"),
@@ -48,6 +51,12 @@ def graph_of(sources: DataFrame, repository_id: int) -> tuple[DataFrame, DataFra
     entities = parsed.where("error IS NULL")
     nodes, held = build.structure(repository_id, sources.select("file_path"), entities.select("file_path", "ordinal", "parent_ordinal", "kind", "name", "metadata_json"))
     nodes = cut(nodes)
+    errors = parsed.where("error IS NOT NULL").select("file_path", "error")
+    return nodes, held.unionByName(_relations(nodes, sources, entities)), errors
+
+
+def _relations(nodes: DataFrame, sources: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges of the imports in ``sources`` and the relations of ``entities`` among ``nodes``."""
     files = nodes.where(F.col("node_type") == "file").select("repository_id", "file_path", "id")
     found = imports.resolve_imports(imports.extract_imports(sources), files.select("repository_id", "file_path"))
     source = files.toDF("repository_id", "source_path", "source_node_id")
@@ -59,12 +68,10 @@ def graph_of(sources: DataFrame, repository_id: int) -> tuple[DataFrame, DataFra
     loose = imported.unionByName(related).groupBy("repository_id", "source_node_id", "target_node_id", "edge_type").agg(F.count("*").alias("n"))
     # Repeated relations stay repeated, each with an id of its own.
     loose = loose.withColumn("k", F.explode(F.expr("sequence(1L, n)")))
-    loose = loose.select(
+    return loose.select(
         build.stable_id("source_node_id", "target_node_id", "edge_type", "k").alias("id"), "repository_id", "source_node_id", "target_node_id", "edge_type",
         F.lit(None).cast("string").alias("metadata_json"),
     )
-    errors = parsed.where("error IS NOT NULL").select("file_path", "error")
-    return nodes, held.unionByName(loose), errors
 
 
 def index_repository(spark: SparkSession, path: str, store: str, name: str | None = None) -> dict[str, int]:
@@ -89,26 +96,49 @@ def index_repository(spark: SparkSession, path: str, store: str, name: str | Non
     return {"files": sources.count(), "nodes": nodes.count(), "edges": edges.count(), "errors": errors.count()}
 
 
+#: Changed files that are read by name; more than that are indexed anew.
+NAMED_FILES = 10_000
+
+
 def update_files(spark: SparkSession, path: str, store: str, changed: DataFrame) -> dict[str, int]:
     """Bring the files in ``changed`` (file_path) of a repository up to date: gone ones go, others are read again.
 
-    Names and imports of the whole repository are resolved again, so edges into
-    the changed files from others are rebuilt and not lost.
+    Only these files are read and parsed.  Ids depend on the file and the place
+    in it, so edges from other files into an entity that is still there under
+    its name stay, and those into one that is gone go.
     """
     path = path.rstrip("/")
+    names = [r["file_path"] for r in changed.select("file_path").distinct().limit(NAMED_FILES + 1).collect()]
+    if len(names) > NAMED_FILES:
+        counts = index_repository(spark, path, store)
+        return {"nodes": counts["nodes"], "edges": counts["edges"]}
     repository_id = spark.range(1).select(build.stable_id(F.lit(path))).first()[0]
-    before = cut(open_store(spark, store)["nodes"].where(F.col("repository_id") == repository_id))
-    sources = cut(_sources(spark, path, repository_id))
-    nodes, edges, _ = graph_of(sources, repository_id)
-    touched = changed.select("file_path").distinct()
-    kept = before.join(touched, "file_path", "left_anti").select("id", "repository_id", "node_type", "name", "file_path", "metadata_json")
-    known = sources.select("file_path").join(touched, "file_path", "left_semi")
-    fresh = nodes.join(known, "file_path", "left_semi").select(*kept.columns)
-    folders = nodes.where(F.col("node_type") == "directory").select(*kept.columns)
-    merged = cut(kept.where("node_type <> 'directory'").unionByName(fresh).unionByName(folders))
+    opened = open_store(spark, store)
+    own = F.col("repository_id") == repository_id
+    before, old = cut(opened["nodes"].where(own)), cut(opened["edges"].where(own))
+    touched = F.broadcast(changed.select("file_path").distinct().limit(NAMED_FILES))
+    there = [n for n in names if _exists(spark, f"{path}/{n}")]
+    if there:
+        sources = cut(_sources(spark, path, repository_id, there))
+    else:
+        sources = spark.createDataFrame([], "repository_id long, file_path string, language string, text string")
+    entities = cut(parse.parse_sources(sources).where("error IS NULL"))
+    fresh, held = build.structure(repository_id, sources.select("file_path"), entities.select("file_path", "ordinal", "parent_ordinal", "kind", "name", "metadata_json"))
+    gone = before.where(F.col("node_type") != "directory").join(touched, "file_path", "left_semi").select("id", "name")
+    # Places that now hold another name: what pointed there points nowhere.
+    lost = gone.join(fresh.select("id", "name"), ["id", "name"], "left_anti").select(F.col("id").alias("target_node_id"))
+    gone = gone.select("id")
+    kept = before.join(gone, "id", "left_anti").select(*before.columns)
+    merged = kept.unionByName(fresh.select(*before.columns)).dropDuplicates(["id"])
+    # A directory stays while a file lies below it.
+    folders = build.directory_tree(merged.where(F.col("node_type") == "file").select("repository_id", "file_path")).select(F.col("directory").alias("file_path")).distinct()
+    empty = merged.where(F.col("node_type") == "directory").join(folders, "file_path", "left_anti").select("id")
+    merged = cut(merged.join(empty, "id", "left_anti").select(*before.columns))
     ids = merged.select("id")
+    stay = old.join(gone.withColumnRenamed("id", "source_node_id"), "source_node_id", "left_anti").join(lost, "target_node_id", "left_anti").select(*old.columns)
+    edges = stay.unionByName(held.select(*old.columns)).unionByName(_relations(merged, sources, entities).select(*old.columns)).dropDuplicates(["id"])
     sound = edges.join(ids.select(F.col("id").alias("source_node_id")), "source_node_id", "left_semi").join(ids.select(F.col("id").alias("target_node_id")), "target_node_id", "left_semi")
-    sound = cut(sound.select(*edges.columns))
+    sound = cut(sound.select(*old.columns))
     tables.save(merged, store, "nodes", "repository_id")
     tables.save(sound, store, "edges", "repository_id")
     return {"nodes": merged.count(), "edges": sound.count()}

@@ -91,15 +91,17 @@ def is_binary(path: Column, content: Column) -> Column:
     )
 
 
-def scan_tree(spark: SparkSession, root: str, patterns: list[str] | None = None, gitignore: list[str] | None = None) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, patterns: list[str] | None = None, gitignore: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
     """(file_path, size, content) of the text files below ``root``, paths relative to it.
 
+    With ``only`` nothing but these relative paths is read.
+
     Ignored directories, names that begin with a dot, paths that a pattern or
     the root's gitignore leaves out and binary files don't come out.  An empty
     tree gives no row.
     """
     root = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root if only is None else [f"{root}/{p}" for p in only])
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(root) + "/", "")
     files = files.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("file_path"), F.col("length").alias("size"), "content")
     parts = F.split("file_path", "/")

@@ -30,12 +30,18 @@ def test_index_update_and_embed(spark, tmp_path, collect):
     assert again == counts and index.open_store(spark, store)["nodes"].count() == counts["nodes"]
 
     (root / "web/part.js").unlink()
-    write(root, {"lib/util.py": "class Base:\n    pass\n\ndef helper2(x):\n    return x\n", "new/a.py": "def fresh():\n    pass\n"})
-    changed = spark.createDataFrame([("web/part.js",), ("lib/util.py",), ("new/a.py",)], "file_path string")
+    (root / "web/main.js").unlink()
+    write(root, {"lib/util.py": "class Base:\n    pass\n\ndef helper2(x):\n    return x\n", "new/a.py": "from lib.util import Base\n\ndef fresh():\n    return greet(1)\n"})
+    changed = spark.createDataFrame([("web/part.js",), ("web/main.js",), ("lib/util.py",), ("new/a.py",)], "file_path string")
     index.update_files(spark, str(root), store, changed)
     opened = index.open_store(spark, store)
     left = {r["name"] for r in opened["nodes"].collect()}
-    assert {"helper2", "fresh", "new", "Greeter"} <= left and not {"helper", "web/part.js", "x"} & left
+    assert {"helper2", "fresh", "new", "Greeter"} <= left and not {"helper", "web/part.js", "web/main.js", "web", "x"} & left
+    names = {r["id"]: r["name"] for r in opened["nodes"].collect()}
+    kinds = {(names[r["source_node_id"]], names[r["target_node_id"]], r["edge_type"]) for r in opened["edges"].collect()}
+    # Edges from files that didn't change stay where their end is still there.
+    assert {("Greeter", "Base", "INHERITS"), ("hello.py", "lib/util.py", "IMPORTS"), ("new/a.py", "lib/util.py", "IMPORTS"), ("fresh", "greet", "CALLS"), ("new", "new/a.py", "CONTAINS")} <= kinds
+    assert ("greet", "helper2", "CALLS") not in kinds
     assert build.orphans(opened["nodes"], opened["edges"]).count() == 0
 
     new, old = index.embed(spark, store, similarity.HashingEncoder(32))
