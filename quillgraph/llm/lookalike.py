@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.session import cut
+
 # Letters of the same look in Latin, Cyrillic and Greek.  A dot
 # stands where a script has no such letter.
 LOOKS = """
@@ -203,7 +205,8 @@ def lookalike_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str
     between the differing stored texts of one form, so many exact copies of a
     text cost no more than the pairs they are part of.
     """
-    keyed = (
+    # Read three times below: written once, as an id and two digests.
+    keyed = cut(
         documents.where(F.length(text_col) > 0)
         .select(F.col(id_col).alias("id"), F.md5(F.col(text_col)).alias("stored"), F.md5(form_column(F.col(text_col))).alias("look"))
         .distinct()
