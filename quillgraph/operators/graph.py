@@ -62,6 +62,7 @@ def impact(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
     frontier = cut(starts.select("id").distinct())
     seen: DataFrame | None = None
     level = 0
+    # A node reached over several edge types stands in the frontier as often.
     while max_depth is None or level < max_depth:
         level += 1
         n = frontier.count()
@@ -69,10 +70,10 @@ def impact(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
             break
         step = incoming.join(_side(frontier, n), F.col("t") == F.col("id")).select(F.col("dependent").alias("id"), "via_edge").distinct()
         if seen is not None:
-            step = step.join(seen.select("id").distinct(), "id", "left_anti")
+            step = step.join(seen.select("id"), "id", "left_anti")
         step = cut(step.select(F.lit(level).alias("level"), "id", "via_edge"))
         seen = step if seen is None else seen.unionByName(step)
-        frontier = step.select("id").distinct()
+        frontier = step.select("id")
     return seen if seen is not None else starts.sparkSession.createDataFrame([], "level int, id long, via_edge string")
 
 
