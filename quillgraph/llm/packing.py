@@ -65,20 +65,26 @@ def token_counts(documents: DataFrame, id_col: str, text_col: str, vocabulary: s
 # ---------------------------------------------------------------- the linear program
 
 
-def price(weights: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+def rooms_of(sizes: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """For every room from the smallest size on, the room that each size that fits leaves."""
+    return [room - sizes[: np.searchsorted(sizes, room, side="right")] for room in range(int(sizes[0]), capacity + 1)]
+
+
+def price(weights: np.ndarray, sizes: np.ndarray, capacity: int, rooms: list[np.ndarray] | None = None) -> tuple[float, np.ndarray]:
     """The pattern of greatest weight that fits, by unbounded knapsack: (weight, count of each class)."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(int(sizes.min()), capacity + 1):
-        fits = np.searchsorted(sizes, room, side="right")
-        values = best[room - sizes[:fits]] + weights[:fits]
-        k = int(values.argmax())
+    least = int(sizes[0])
+    for room, left in enumerate(rooms or rooms_of(sizes, capacity), least):
+        values = best[left]
+        values += weights[: len(left)]
+        k = values.argmax()
         if values[k] > best[room - 1]:
             best[room], choice[room] = values[k], k
         else:
             best[room] = best[room - 1]
     counts, room = np.zeros(len(sizes), np.int64), capacity
-    while room > 0:
-        if choice[room] < 0 or best[room] == best[room - 1]:
+    while room >= least:
+        if choice[room] < 0:
             room -= 1
             continue
         counts[choice[room]] += 1
@@ -98,10 +104,11 @@ def configuration_lp(demand: np.ndarray, sizes: np.ndarray, capacity: int, epsil
     rounds = max(1.0, math.log(max(n, 2)) / epsilon**2)
     used: dict[bytes, float] = {}
     bound, active = 0.0, np.ones(n, bool)
+    rooms = rooms_of(sizes, capacity)
     while active.any():
         live = np.where(active, weights, 0.0)
         live /= live.max()
-        value, counts = price(live, sizes, capacity)
+        value, counts = price(live, sizes, capacity, rooms)
         # By duality, demand . y is a lower bound for any y under which no pattern weighs more than one.
         bound = max(bound, float((demand * live).sum() / value))
         counts[~active] = 0
