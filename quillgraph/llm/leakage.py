@@ -183,7 +183,7 @@ def leaked_items(
 
     ``passages`` counts the positions in the document at which
     ``overlap_words`` consecutive words of the item begin and ``score`` is the
-    best BM25 score among them.  Null and empty texts hold no passage; an item
+    best BM25 score among them.  Null and empty texts hold no passage and a row without id is left out; an item
     of fewer words than ``overlap_words`` can't be found.  A document in
     several rows of the same id comes out once, with its best row's figures.
     The index is broadcast in passes of at most ``MAX_CELLS`` impacts, and the
@@ -197,7 +197,7 @@ def leaked_items(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    texts = documents.where(F.length(text_col) > 0).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = documents.where((F.length(text_col) > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     passage = (overlap_words + 1) // 2
     found = None
     for index in _passes(items, item_col, item_text_col, overlap_words, passage):

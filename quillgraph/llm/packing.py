@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,12 +54,14 @@ def token_counts(documents: DataFrame, id_col: str, text_col: str, vocabulary: s
     """(id, tokens) of every row with a non-empty text."""
     schema = T.StructType([T.StructField(id_col, documents.schema[id_col].dataType), T.StructField("tokens", T.LongType())])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Arrow keeps the ids as they are, nulls and large numbers included.
         encode = tokenizer(vocabulary).encode_ordinary
         for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "tokens": [len(encode(t)) for t in batch[text_col]]})
+            tokens = pa.array([len(encode(t)) for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), tokens], names=[id_col, "tokens"])
 
-    return documents.where(F.length(text_col) > 0).select(id_col, text_col).mapInPandas(count, schema)
+    return documents.where(F.length(text_col) > 0).select(id_col, text_col).mapInArrow(count, schema)
 
 
 # ---------------------------------------------------------------- the linear program

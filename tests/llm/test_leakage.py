@@ -44,7 +44,8 @@ def material(seed=4):
 def test_against_brute_force(spark, monkeypatch):
     docs, items = material()
     docs += [(500, None), (501, ""), (502, " ".join(f"w{i % 60}" for i in range(300_000))), (0, docs[0][1])]
-    frame = spark.createDataFrame([(d, t, "x", 1.0, 2) for d, t in docs], DOCS)
+    nameless = [(None, docs[0][1]), (None, "x")]
+    frame = spark.createDataFrame([(d, t, "x", 1.0, 2) for d, t in docs + nameless], DOCS)
     tests = spark.createDataFrame([(i, t, "s") for i, t in items], ITEMS)
     want = brute(docs, items)
     assert len(want) > 20
