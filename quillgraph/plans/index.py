@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph import tables
 from quillgraph.operators import build, imports, manifest, similarity
@@ -24,7 +25,7 @@ def open_store(spark: SparkSession, store: str) -> dict[str, DataFrame]:
     for name in ("repositories", *_PARTITIONED):
         schema = tables.SCHEMAS[name]
         if name == "node_vectors":
-            schema = schema.add("repository_id", "long") if "repository_id" not in schema.names else schema
+            schema = T.StructType([*schema.fields, T.StructField("repository_id", T.LongType())])
         path = f"{store}/{name}.parquet"
         df = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
         out[name] = df.select(*(F.col(f.name).cast(f.dataType) for f in schema))
