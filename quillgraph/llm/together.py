@@ -3,9 +3,10 @@
 Pair counts are exact.  Items that can't reach the asked count or ratio are
 left out first, which loses no pair.  Baskets of up to ``NARROW`` remaining
 items give their pairs as rows, counted with map-side combination.  Wider
-baskets never give pairs as rows: the items of a group are spread over blocks,
-a task holds the count matrix of two blocks, adds the wide baskets (and the
-narrow counts that fall there) to it, and lets out only the pairs that pass.
+baskets never give pairs as rows: the items of a group are spread over blocks
+and the wide baskets of two blocks over slices, a task adds those of a slice to
+the count matrix of the blocks and lets out the counts of that slice.  Only the
+sums over all slices and the narrow baskets are held against count and ratio.
 
 The null model is the bipartite configuration model fitted to every item's
 frequency and every basket's size: item a is in basket c with probability
@@ -31,6 +32,8 @@ from quillgraph.session import cut
 NARROW = 48
 #: Items of a block, about; a task holds a matrix of the square of it.
 BLOCK_ITEMS = 2048
+#: Items of the wide baskets of a task, about.
+SLICE_ITEMS = 1_000_000
 #: Bins of the p-values, for each power of ten.
 BINS = 64
 
@@ -86,10 +89,9 @@ def _candidates(records: DataFrame, min_count: int, min_ratio: float) -> DataFra
     return records.join(able, ["group", "item"])
 
 
-def _tile(key: tuple, wide: pd.DataFrame, narrow: pd.DataFrame, min_count: int, min_ratio: float) -> pd.DataFrame:
-    """The pairs of two blocks of items that pass."""
+def _tile(key: tuple, wide: pd.DataFrame) -> pd.DataFrame:
+    """The pairs, a < b, of two blocks of items in a slice of the wide baskets, each with its count there."""
     degree: dict[int, int] = {}
-    n = int(wide["n"].iloc[0]) if len(wide) else int(narrow["n"].iloc[0])
     sides: list[dict[int, int]] = [{}, {}]
 
     def index(side: int, item: int, size: int) -> int:
@@ -102,27 +104,37 @@ def _tile(key: tuple, wide: pd.DataFrame, narrow: pd.DataFrame, min_count: int,
     rows = []
     for a, na, b, nb in zip(wide["items_a"], wide["sizes_a"], wide["items_b"], wide["sizes_b"]):
         rows.append((np.array([index(0, *x) for x in zip(a, na)]), np.array([index(1, *x) for x in zip(b, nb)])))
-    pairs = [
-        (index(0, a, na), index(1, b, nb), c)
-        for a, na, b, nb, c in zip(narrow["a"], narrow["n_a"], narrow["b"], narrow["n_b"], narrow["n_ab"])
-    ]
     counts = np.zeros((len(sides[0]), len(sides[1])), np.int32)
     for a, b in rows:
         counts[np.ix_(a, b)] += 1
-    for a, b, c in pairs:
-        counts[a, b] += c
-        if one_block:
-            counts[b, a] += c
     left, right = np.array(list(sides[0]), np.int64), np.array(list(sides[1]), np.int64)
-    size_a = np.array([degree[i] for i in left], np.int64)
-    size_b = np.array([degree[i] for i in right], np.int64)
-    passes = counts >= min_count
-    passes &= counts.astype(np.int64) * n >= min_ratio * np.outer(size_a, size_b)
-    if one_block:
-        passes = np.triu(passes, 1)
-    i, j = np.nonzero(passes)
+    i, j = np.nonzero(np.triu(counts, 1) if one_block else counts)
+    a, b = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
+    size_of = pd.Series(degree)
     return pd.DataFrame(
-        {"group": key[0], "a": left[i], "n_a": size_a[i], "b": right[j], "n_b": size_b[j], "n_ab": counts[i, j].astype(np.int64), "n": n}
+        {"group": key[0], "a": a, "n_a": size_of.loc[a].to_numpy(), "b": b, "n_b": size_of.loc[b].to_numpy(), "n_ab": counts[i, j].astype(np.int64), "n": int(wide["n"].iloc[0])}
+    )
+
+
+def _tiles(wide: DataFrame) -> DataFrame:
+    """(group, block_a, block_b, slice, n, items_a, sizes_a, items_b, sizes_b): each wide basket in every two blocks it meets.
+
+    ``wide`` has (group, basket, n, item, n_item, block).  The baskets of two
+    blocks are spread by hash over slices of about ``SLICE_ITEMS`` items.
+    """
+    part = wide.groupBy("group", "basket", "n", "block").agg(F.sort_array(F.collect_list(F.struct("item", "n_item"))).alias("s"))
+    part = cut(part.select("group", "basket", "n", "block", F.col("s.item").alias("items"), F.col("s.n_item").alias("sizes")))
+    held = part.select("group", "basket", "block", F.size("items").alias("k"))
+    met = held.withColumnsRenamed({"block": "block_a", "k": "k_a"}).join(held.withColumnsRenamed({"block": "block_b", "k": "k_b"}), ["group", "basket"])
+    loads = met.where("block_a <= block_b").groupBy("group", "block_a", "block_b").agg(F.sum(F.col("k_a") + F.col("k_b")).alias("load"))
+    slices = cut(loads.select("group", "block_a", "block_b", F.ceil(F.col("load") / SLICE_ITEMS).alias("slices")))
+    other = part.select("group", "basket", F.col("block").alias("block_b"), F.col("items").alias("items_b"), F.col("sizes").alias("sizes_b"))
+    return (
+        part.withColumnsRenamed({"block": "block_a", "items": "items_a", "sizes": "sizes_a"})
+        .join(other, ["group", "basket"])
+        .join(slices, ["group", "block_a", "block_b"])
+        .withColumn("slice", F.pmod(F.xxhash64("basket", F.lit(1)), F.col("slices")))
+        .select("group", "block_a", "block_b", "slice", "n", "items_a", "sizes_a", "items_b", "sizes_b")
     )
 
 
@@ -150,51 +162,10 @@ def pair_counts(records: DataFrame, min_count: int = 5, min_ratio: float = 3.0)
     narrow = pairs.groupBy("group", "n", "a", "n_a", "b", "n_b").agg(F.count("*").alias("n_ab"))
 
     wide = sized.where(F.col("width") > NARROW).join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
-    part = wide.groupBy("group", "basket", "n", "block").agg(F.sort_array(F.collect_list(one)).alias("s"))
-    part = cut(part.select("group", "basket", "n", "block", F.col("s.item").alias("items"), F.col("s.n_item").alias("sizes")))
-    other = part.select("group", "basket", F.col("block").alias("block_b"), F.col("items").alias("items_b"), F.col("sizes").alias("sizes_b"))
-    tiles = (
-        part.withColumnsRenamed({"block": "block_a", "items": "items_a", "sizes": "sizes_a"})
-        .join(other, ["group", "basket"])
-        .where("block_a <= block_b")
-        .select("group", "block_a", "block_b", "n", "items_a", "sizes_a", "items_b", "sizes_b")
-    )
-
-    place = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    placed = narrow.join(blocks, "group").withColumn("pa", place("a")).withColumn("pb", place("b"))
-    turned = F.col("pa") > F.col("pb")
-    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
-    placed = cut(
-        placed.select(
-            "group", "n", "n_ab", pick("pa", "pb").alias("block_a"), pick("pb", "pa").alias("block_b"),
-            pick("a", "b").alias("a"), pick("n_a", "n_b").alias("n_a"), pick("b", "a").alias("b"), pick("n_b", "n_a").alias("n_b"),
-        )
-    )
-    keys = ["group", "block_a", "block_b"]
-    with_wide = part.select("group", F.col("block").alias("x"), "basket")
-    tile_keys = (
-        with_wide.select("group", "basket", F.col("x").alias("block_a"))
-        .join(with_wide.select("group", "basket", F.col("x").alias("block_b")), ["group", "basket"])
-        .where("block_a <= block_b")
-        .select(*keys)
-        .distinct()
-    )
-    tile_keys = cut(tile_keys)
+    dense = _tiles(wide).groupBy("group", "block_a", "block_b", "slice").applyInPandas(_tile, "group long, a long, n_a long, b long, n_b long, n_ab long, n long")
+    counts = narrow.unionByName(dense).groupBy("group", "a", "n_a", "b", "n_b", "n").agg(F.sum("n_ab").alias("n_ab"))
     passing = (F.col("n_ab") >= min_count) & (F.col("n_ab") * F.col("n") >= min_ratio * F.col("n_a") * F.col("n_b"))
-    columns = ["group", "a", "n_a", "b", "n_b", "n_ab", "n"]
-    alone = placed.join(tile_keys, keys, "left_anti").where(passing).select(*columns)
-    shared = placed.join(tile_keys, keys, "left_semi")
-    # toDF renames, so that the sides of the cogroup share no column.
-    dense = (
-        tiles.toDF(*tiles.columns)
-        .groupBy(*keys)
-        .cogroup(shared.toDF(*shared.columns).groupBy(*keys))
-        .applyInPandas(
-            lambda key, w, s: _tile(key, w, s, min_count, min_ratio),
-            "group long, a long, n_a long, b long, n_b long, n_ab long, n long",
-        )
-    )
-    return alone.unionByName(dense)
+    return counts.where(passing).select("group", "a", "n_a", "b", "n_b", "n_ab", "n")
 
 
 # ---------------------------------------------------------------- surprise

@@ -42,6 +42,23 @@ def test_counts_against_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_wide_baskets_of_a_hot_group_are_split(spark, monkeypatch):
+    rng = random.Random(7)
+    baskets = {(1, c): set(rng.sample(range(40), 12)) for c in range(200)}
+    rows = [(g, c, i) for (g, c), items in baskets.items() for i in items]
+    monkeypatch.setattr(together, "NARROW", 4)
+    monkeypatch.setattr(together, "SLICE_ITEMS", 600, raising=False)
+    wide = spark.createDataFrame([(g, c, 200, i, 60, 0) for g, c, i in rows], "`group` long, basket long, n long, item long, n_item long, block int")
+    loads = together._tiles(wide).groupBy("group", "block_a", "block_b", "slice").agg({"n": "count"}).collect()
+    assert sum(r["count(n)"] for r in loads) == 200 and len(loads) == 8 and max(r["count(n)"] for r in loads) * 24 < 2 * 600
+    # The parts of a pair's count pass together only.
+    want = brute(baskets, 20, 1.0)
+    assert want
+    table = spark.createDataFrame(rows, "`group` long, basket long, item long")
+    got = {(r["group"], *sorted((r["a"], r["b"]))): r["n_ab"] for r in pair_counts(table, 20, 1.0).collect()}
+    assert got == want
+
+
 def test_null_model_keeps_degrees():
     items, baskets = {1: 30, 3: 10, 9: 2}, {2: 24, 5: 6}
     x, y = fit_null(items, baskets)
