@@ -25,12 +25,12 @@ def _query(f: Query) -> Query:
 
 @_query
 def p1_pairs(spark: SparkSession, root: str) -> DataFrame:
-    return together.files_together(load(spark, root, "commits"), load(spark, root, "commit_files"))
+    return together.files_together(load(spark, root, "commits"), load(spark, root, "commit_files"), min_count=1, min_ratio=0.0)
 
 
 @_query
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    pairs = p1_pairs(spark, root).where((F.col("n_ab") >= 5) & (F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b")))
+    pairs = together.files_together(load(spark, root, "commits"), load(spark, root, "commit_files"), min_count=5, min_ratio=3.0)
     return pairs.where(F.col("p_value").isNotNull()).select("repository_id", "file_path_a", "file_path_b")
 
 

@@ -34,6 +34,8 @@ NARROW = 48
 BLOCK_ITEMS = 2048
 #: Items of the wide baskets of a task, about.
 SLICE_ITEMS = 1_000_000
+#: Kinds of pairs that are judged together, about.
+KINDS = 256
 #: Bins of the p-values, for each power of ten.
 BINS = 64
 
@@ -61,7 +63,8 @@ def tail(p: np.ndarray, times: np.ndarray, least: int) -> float:
     if least <= 0:
         return 1.0
     mean = float((p * times).sum())
-    top = least if mean > least else least + 64
+    # Beyond, at least twelve standard deviations.
+    top = least if mean > least else least + max(64, 12 * math.isqrt(least) + 12)
     dist = np.zeros(top + 1)
     dist[0] = 1.0
     logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
@@ -177,7 +180,9 @@ def surprising_pairs(records: DataFrame, min_count: int = 5, min_ratio: float =
     ``ratio`` is n_ab n / (n_a n_b), ``expected`` the mean under the null model.
     The q-value is Benjamini-Hochberg's with all pairs of the group's items as
     tests; pairs that aren't reported count as tests but not as rejections, and
-    p-values are rounded up to a bin, so it is an upper bound.
+    p-values are rounded up to a bin, so it is an upper bound.  With a
+    ``min_count`` of 1 and a ``min_ratio`` of 0 only pairs that never meet, whose
+    p-value is 1, aren't reported, and only the rounding is left.
     """
     records = cut(records)
     pairs = cut(pair_counts(records, min_count, min_ratio))
@@ -200,19 +205,25 @@ def surprising_pairs(records: DataFrame, min_count: int = 5, min_ratio: float =
         fit, "group long, degrees array<long>, x array<double>, y array<double>, times array<long>, items long"
     )
     fitted = cut(fitted)
-    kinds = pairs.select("group", "n_a", "n_b", "n_ab").distinct()
+    kinds = cut(pairs.select("group", "n_a", "n_b", "n_ab").distinct())
+    # A group's fit travels once with up to about KINDS kinds of pairs.
+    lots = kinds.groupBy("group").agg(F.ceil(F.count("*") / KINDS).alias("lots"))
+    lot = F.pmod(F.xxhash64("n_a", "n_b", "n_ab"), F.col("lots"))
+    kinds = kinds.join(lots, "group").groupBy("group", lot.alias("lot")).agg(F.collect_list(F.struct("n_a", "n_b", "n_ab")).alias("kinds"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for r in batch.itertuples(index=False):
                 at = dict(zip(r.degrees, r.x))
                 y, times = np.asarray(r.y, float), np.asarray(r.times, float)
-                both = (at[r.n_a] * y / (1 + at[r.n_a] * y)) * (at[r.n_b] * y / (1 + at[r.n_b] * y))
-                out.append((r.group, r.n_a, r.n_b, r.n_ab, float((both * times).sum()), tail(both, times, r.n_ab)))
-            yield pd.DataFrame(out, columns=["group", "n_a", "n_b", "n_ab", "expected", "p_value"])
-
-    judged = kinds.join(fitted.drop("items"), "group").mapInPandas(
+                out = []
+                for k in r.kinds:
+                    both = (at[k["n_a"]] * y / (1 + at[k["n_a"]] * y)) * (at[k["n_b"]] * y / (1 + at[k["n_b"]] * y))
+                    out.append((r.group, k["n_a"], k["n_b"], k["n_ab"], float((both * times).sum()), tail(both, times, k["n_ab"])))
+                yield pd.DataFrame(out, columns=["group", "n_a", "n_b", "n_ab", "expected", "p_value"])
+
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    judged = kinds.join(fitted.drop("items"), "group").repartition(tasks, "group", "lot").mapInPandas(
         judge, "group long, n_a long, n_b long, n_ab long, expected double, p_value double"
     )
     rows = pairs.join(judged, ["group", "n_a", "n_b", "n_ab"])

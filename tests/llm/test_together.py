@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from quillgraph.llm import together
+from quillgraph.llm import queries, together
 from quillgraph.llm.together import files_together, fit_null, pair_counts, tail
 
 COMMITS = "id long, repository_id long, hash string, author string, item string, n long"
@@ -79,6 +79,25 @@ def test_tail_is_poisson_binomial():
     assert 0 < tail(np.array([1e-4]), np.array([1000]), 20) < 1e-35
 
 
+def test_tail_of_a_large_count_near_its_mean():
+    # P(X >= mean + 1) of a binomial of mean 10000 is near a half; the next 64 counts hold a third of it.
+    assert tail(np.array([0.5]), np.array([20000]), 10000) == pytest.approx(0.5028, abs=2e-3)
+
+
+def test_pairs_are_all_that_meet(spark, tmp_path):
+    """p1_pairs has rare and unsurprising pairs too; p1_found keeps the thresholds."""
+    rng = random.Random(3)
+    touched = {c: set(rng.sample(range(12), rng.choice([1, 2, 4]))) for c in range(60)} | {c: {20, 21} for c in range(60, 64)} | {c: {30, 31} for c in range(64, 70)}
+    spark.createDataFrame([(c, 1, f"h{c}") for c in touched], "id long, repository_id long, hash string").write.parquet(f"{tmp_path}/commits.parquet")
+    spark.createDataFrame([(c, f"f{i:02}", "M") for c, s in touched.items() for i in s], "commit_id long, file_path string, change_type string").write.parquet(f"{tmp_path}/commit_files.parquet")
+    want = {(f"f{a:02}", f"f{b:02}"): n for (_, a, b), n in brute({(1, c): s for c, s in touched.items()}, 1, 0).items()}
+    pairs = {(r["file_path_a"], r["file_path_b"]): r for r in queries.p1_pairs(spark, str(tmp_path)).collect()}
+    assert {k: r["n_ab"] for k, r in pairs.items()} == want and all(r["p_value"] <= r["q_value"] for r in pairs.values())
+    assert pairs["f20", "f21"]["n_ab"] == 4 and pairs["f20", "f21"]["q_value"] < 0.05 and min(r["ratio"] for r in pairs.values()) < 3
+    found = {(r["file_path_a"], r["file_path_b"]) for r in queries.p1_found(spark, str(tmp_path)).collect()}
+    assert ("f30", "f31") in found and found == {k for k, r in pairs.items() if r["n_ab"] >= 5 and r["ratio"] >= 3}
+
+
 def test_files(spark, collect):
     commits = [(i, 1, f"h{i % 20}", "x", "i", 3) for i in range(40)] + [(100, None, "z", None, None, None), (101, 1, None, None, None, None)]
     commits += [(200 + i, 1, f"q{i}", "x", "i", 1) for i in range(40)]
