@@ -42,22 +42,24 @@ _UNIT = regex.compile(
     regex.VERBOSE | regex.DOTALL,
 )
 _HEAD = r"""
-^ (?P<indent>[ \t]*+)
+(?P<indent>[ \t]*+)
 (?P<signature>
   (?: (?:@[\w.]++(?:(?&parens))?\s*+) )*+
   (?: (?:export|default|public|private|protected|static|final|abstract|async|pub|const|unsafe|extern|inline|override|virtual)\s++ )*+
-  (?: (?:def|fn|func|function|fun|sub)\s++ (?:(?&parens)\s*+)? | (?:[\w<>\[\]*&:.,?]++\s++)?(?=[A-Za-z_]\w*\s*\([^;{}]*\{) )
+  (?: (?:def|fn|func|function|fun|sub)\s++ (?:(?&parens)\s*+)? | (?!(?:class|record|struct|interface|enum|trait|new)\s | (?:if|for|foreach|while|switch|catch|else|elif|return|throw|await|yield)\b | (?:when|using|lock|synchronized|with|match)\s+\()
+        (?:[\w<>\[\]*&:.,?]++\s++)?(?=[A-Za-z_]\w*\s*(?&parens)[^;{}]*\{) )
   (?P<name>[A-Za-z_]\w*+[?!]?) \s*+ (?:<[^<>]*+>)? (?P<params>(?&parens))? (?:[^:{;\n]|:(?![ \t]*\n))*+
 )
 """
 #: A comment before a definition with a body in braces, or with an indented one.
 _SOURCE = regex.compile(
-    _PARTS + r"^[ \t]*+" + _COMMENT + r"\s*+" + _HEAD + r":?[ \t]*+(?P<body>(?&braces) | (?:\n (?P=indent)[ \t]++ [^\n]*+ | \n[ \t]*+(?=\n) )++ )",
+    _PARTS + r"^[ \t]*+" + _COMMENT + r"(?:[ \t]*+\n)*+" + _HEAD + r":?[ \t]*+(?P<body>(?&braces) | (?:\n (?P=indent)[ \t]++ [^\n]*+ | \n[ \t]*+(?=\n) )++ )",
     regex.VERBOSE | regex.DOTALL | regex.MULTILINE,
 )
 #: A definition with an indented body that opens with its documentation.
 _SOURCE_INNER = regex.compile(
     _PARTS
+    + r"^"
     + _HEAD
     + r":[ \t]*\n (?P=indent)[ \t]++ (?P<comment>\"{3}(?:[^\"\\]|\\.|\"(?!\"\"))*+\"{3} | '{3}(?:[^'\\]|\\.|'(?!''))*+'{3})"
     + r"(?P<body>(?:\n (?P=indent)[ \t]++ [^\n]*+ | \n[ \t]*+(?=\n) )*+ )",
@@ -274,14 +276,37 @@ def documented_nodes(nodes: DataFrame) -> DataFrame:
     return rows.select("id", "name", "metadata_json").mapInPandas(pairs, _PAIRS)
 
 
+#: Comments, and strings; those that may go over several lines are named.
+_QUOTED = regex.compile(
+    r"""/\*.*?\*/ | //[^\n]*+ | \#[^\n]*+ | (?P<long>\"{3}.*?\"{3} | \'{3}.*?\'{3} | `(?:[^`\\]|\\.)*+`) | "(?:[^"\\\n]|\\.)*+" | '(?:[^'\\\n]|\\.)*+'""",
+    regex.VERBOSE | regex.DOTALL,
+)
+
+
+def _nested(pattern: regex.Pattern, text: str) -> Iterator[regex.Match]:
+    """The matches of a pattern, also those within the body of another, but not within a string there."""
+    at = end = 0
+    quoted: list[tuple[int, int]] | None = None
+    while m := pattern.search(text, at):
+        if m.start() < end and quoted is None:
+            quoted = [q.span() for q in _QUOTED.finditer(text) if q["long"]]
+        if m.start() < end and any(x < m.start() < y for x, y in quoted):
+            at = m.start("signature")
+            continue
+        yield m
+        at, end = m.start("body"), max(end, m.end())
+
+
 def source_units(text: str) -> list[tuple[str, str, str, str]]:
-    """(name, signature, body, documentation) of the documented definitions in a source text."""
+    """(name, signature, body, documentation) of the documented definitions in a source text, nested ones too."""
+    inner = list(_nested(_SOURCE_INNER, text))
+    # A docstring is no comment of what follows it in the body.
+    taken = {m.start("comment") for m in inner}
     out = []
-    for pattern in (_SOURCE, _SOURCE_INNER):
-        for m in pattern.finditer(text):
-            doc = clean(m["comment"])
-            if not trivial(doc, m["name"]):
-                out.append((m["name"], m["signature"].strip(), m["body"].strip("\n"), doc))
+    for m in [m for m in _nested(_SOURCE, text) if m.start("comment") not in taken] + inner:
+        doc = clean(m["comment"])
+        if not trivial(doc, m["name"]):
+            out.append((m["name"], m["signature"].strip(), m["body"].strip("\n"), doc))
     return out
 
 

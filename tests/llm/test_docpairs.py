@@ -38,6 +38,22 @@ def test_units_protect_strings_and_balance():
     assert [(u[0], u[3]) for u in source_units(inner)] == [("load", "Reads the table at a path.")]
 
 
+def test_units_within_units():
+    text = "/** Runs every job in turn. */\nfunction outer(a) {\n  // Adds one to a value.\n  function inner(b) {\n    return b + 1;\n  }\n  const t = `\n  // Is text, no code.\n  function fake(c) {\n  }\n  `;\n}\n"
+    assert [u[0] for u in source_units(text)] == ["outer", "inner"]
+    steps = "// Runs every job in turn.\nfunction outer(a) {\n  // Skips the empty ones.\n  if (a) { run(a); }\n  // Waits for the rest.\n  later(function () { return 1; });\n  // Makes a reader of rows.\n  return open(a, () => { go(); });\n}\n"
+    assert [u[0] for u in source_units(steps)] == ["outer"]
+    python = '# Opens the table for all readers.\ndef load(path):\n    """Reads the table at a path."""\n    def line(x):\n        """Splits a row into cells."""\n        return x\n    return line\n'
+    assert [(u[0], u[3]) for u in source_units(python)] == [("load", "Opens the table for all readers."), ("load", "Reads the table at a path."), ("line", "Splits a row into cells.")]
+
+
+def test_a_class_with_parameters_is_no_function():
+    for head in ("class Foo(val x: Int)", "public record Foo(int x)"):
+        text = f"/** Holds a number of rows. */\n{head} {{\n  /** Adds the rows of a table. */\n  public int add(int y) {{\n    return y;\n  }}\n}}\n"
+        assert [u[0] for u in source_units(text)] == ["add"]
+    assert [u[0] for u in source_units("/** Finds the row of a key. */\npublic object Find(int key) {\n  return null;\n}\n")] == ["Find"]
+
+
 def test_pairs():
     meta = json.dumps({"signature": "f(a, g(b))", "docstring": "/** Waits (at most) once; see `x)`. */", "parameters": ["a"]})
     assert pair_of("f", meta) == ("f(a, g(b))", "a, g(b)", "Waits (at most) once; see `x)`.", "")
