@@ -209,6 +209,7 @@ def profile(author: str, email: str | None) -> tuple[str, str, list[str]]:
     initials = [w for w in words if len(w) == 1]
 
     given = family = None
+    login = False
     named = [(w, g) for w in long if (g := _given(w))]
     if len(long) >= 2:
         if order_comma:
@@ -234,7 +235,7 @@ def profile(author: str, email: str | None) -> tuple[str, str, list[str]]:
             given = named[0][1]
         else:
             # A login: initial and family name.
-            given, family = long[0][0], long[0][1:]
+            given, family, login = long[0][0], long[0][1:], True
     else:
         return "", "", []
 
@@ -267,7 +268,9 @@ def profile(author: str, email: str | None) -> tuple[str, str, list[str]]:
         # The mail address names somebody else: a shared mailbox.
         from_mail = given_by_mail = None
     # A login that is no initial and family name has the whole family name in its mail.
-    return "person", given_by_mail or given, [family] + ([from_mail] if from_mail and from_mail != family else [])
+    # Of a login of two or three letters too little is left for one.
+    own = [] if login and len(family) < 3 else [family]
+    return "person", given_by_mail or given, own + ([from_mail] if from_mail and from_mail != family else [])
 
 
 _PROFILE = T.StructType(
@@ -387,7 +390,7 @@ def name_entities(commits: DataFrame) -> DataFrame:
     profiles = cut(identity_profiles(commits))
     read = profiles.where(F.col("kind").isin("person", "org") & (F.size("family") > 0))
     spelled = read.select("identity", "kind", F.explode(F.split("given", "/")).alias("given"), "family")
-    spelled = spelled.select("identity", "kind", "given", F.explode("family").alias("spelling")).where(F.length("spelling") >= 3)
+    spelled = spelled.select("identity", "kind", "given", F.explode("family").alias("spelling")).where(F.length("spelling") >= 2)
     name_id = F.xxhash64("kind", "given", "spelling")
     spelled = cut(spelled.withColumn("name_id", name_id))
     names = spelled.select("name_id", "kind", "given", "spelling").distinct()
@@ -395,8 +398,8 @@ def name_entities(commits: DataFrame) -> DataFrame:
     kept = _without_ambiguous(links)
 
     # Spellings of one identity belong together too.
-    firsts = spelled.groupBy("identity").agg(F.min("name_id").alias("a"), F.max("name_id").alias("b"))
-    own = firsts.where("a <> b").select("a", "b")
+    firsts = spelled.groupBy("identity").agg(F.min("name_id").alias("a"))
+    own = spelled.join(firsts, "identity").where(F.col("a") != F.col("name_id")).select("a", F.col("name_id").alias("b")).distinct()
     joined = components(kept.unionByName(own))
     at = firsts.join(joined, firsts["a"] == joined["member"], "left").select("identity", F.coalesce("component", "a").alias("component"))
     whole = profiles.select("identity").join(at, "identity", "left")

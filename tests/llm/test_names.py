@@ -66,6 +66,18 @@ def test_initial_between_relatives_links_to_none(spark):
     assert len({r["entity"] for r in out}) == 3
 
 
+def test_family_names_of_two_letters(spark):
+    people = [("Wei Li", "a@x.example"), ("wei li", "b@y.example"), ("Wei Lu", "c@x.example"), ("Sara Li", "d@x.example"), ("wli", "e@x.example")]
+    by = {r["identity"].split(" <")[0]: r["entity"] for r in name_entities(spark.createDataFrame([(*p, "", "", "") for p in people], SCHEMA)).collect()}
+    assert by["Wei Li"] == by["wei li"] and len(set(by.values())) == 4
+
+
+def test_all_readings_of_an_identity_belong_together(spark):
+    people = [("Ted Smyth", "ted.smith@x.example")] + [(f"{g} {f}", None) for g in ("Edward", "Theodore") for f in ("Smith", "Smyth")]
+    out = name_entities(spark.createDataFrame([(*p, "", "", "") for p in people], SCHEMA)).collect()
+    assert len(out) == 5 and len({r["entity"] for r in out}) == 1
+
+
 def test_common_suffixes_are_refined(spark, monkeypatch):
     rows = [(i, "person", g, s) for i, (g, s) in enumerate([("anna", "harbourson"), ("anna", "harborson"), ("albert", "harbourson"), ("alan", "baxterson"), ("amy", "dickerson")])]
     table = spark.createDataFrame(rows, "name_id long, kind string, given string, spelling string")
