@@ -43,15 +43,17 @@ def directory_tree(files: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
-def structure(repository_id: int, files: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the directories, files and entities of a repository.
+def structure(repository_id: int | None, files: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the directories, files and entities of a repository, or with None of all in the tables' repository_id.
 
     ``files`` has (file_path); ``entities`` has (file_path, ordinal,
     parent_ordinal, kind, name, metadata_json), the parent null for those on
     the file's top level.  Modules give no node and their children hang on the
     module's own parent.
     """
-    files = files.select(F.lit(repository_id).cast("long").alias("repository_id"), "file_path").distinct()
+    if repository_id is not None:
+        files, entities = (t.withColumn("repository_id", F.lit(repository_id).cast("long")) for t in (files, entities))
+    files = files.select("repository_id", "file_path").distinct()
     tree = directory_tree(files)
     key = lambda kind, path, n: stable_id("repository_id", F.lit(kind), path, F.lit(n) if isinstance(n, int) else n)
     folders = tree.select("repository_id", F.col("directory").alias("file_path"), "parent")
@@ -59,10 +61,10 @@ def structure(repository_id: int, files: DataFrame, entities: DataFrame) -> tupl
     dir_nodes = folders.select(key("directory", F.col("file_path"), 0).alias("id"), "repository_id", F.lit("directory").alias("node_type"), F.regexp_extract("file_path", "([^/]*)$", 1).alias("name"), "file_path", nothing)
     file_nodes = files.select(key("file", F.col("file_path"), 0).alias("id"), "repository_id", F.lit("file").alias("node_type"), F.col("file_path").alias("name"), "file_path", nothing)
 
-    modules = entities.where(F.col("kind") == "module").select(F.col("file_path").alias("m_path"), F.col("ordinal").alias("m"), F.col("parent_ordinal").alias("onward"))
-    inner = entities.where(F.col("kind") != "module").join(modules, (F.col("file_path") == F.col("m_path")) & (F.col("parent_ordinal") == F.col("m")), "left")
+    modules = entities.where(F.col("kind") == "module").select(F.col("repository_id").alias("m_repository"), F.col("file_path").alias("m_path"), F.col("ordinal").alias("m"), F.col("parent_ordinal").alias("onward"))
+    inner = entities.where(F.col("kind") != "module").join(modules, (F.col("repository_id") == F.col("m_repository")) & (F.col("file_path") == F.col("m_path")) & (F.col("parent_ordinal") == F.col("m")), "left")
     above_module = F.when(F.col("m").isNotNull(), F.col("onward")).otherwise(F.col("parent_ordinal"))
-    inner = inner.select("file_path", "ordinal", above_module.alias("parent_ordinal"), "kind", "name", "metadata_json").withColumn("repository_id", F.lit(repository_id).cast("long"))
+    inner = inner.select("repository_id", "file_path", "ordinal", above_module.alias("parent_ordinal"), "kind", "name", "metadata_json")
     entity_nodes = inner.select(key("entity", F.col("file_path"), F.col("ordinal")).alias("id"), "repository_id", retyped(F.col("kind"), F.col("name")).alias("node_type"), "name", "file_path", "metadata_json", "parent_ordinal")
     nodes = dir_nodes.unionByName(file_nodes).unionByName(entity_nodes.drop("parent_ordinal"))
 

@@ -768,9 +768,9 @@ def parse_errors(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def build_structure(spark: SparkSession, root: str) -> DataFrame:
-    sources = _sources(spark, root).where(F.col("repository_id") == 1)
+    sources = _sources(spark, root)
     entities = parse.parse_sources(sources).where("error IS NULL")
-    nodes, _ = build.structure(1, sources.select("file_path"), entities.select("file_path", "ordinal", "parent_ordinal", "kind", "name", "metadata_json"))
+    nodes, _ = build.structure(None, sources.select("repository_id", "file_path"), entities.select("repository_id", "file_path", "ordinal", "parent_ordinal", "kind", "name", "metadata_json"))
     return nodes.groupBy("node_type").agg(F.count("*").alias("n"))
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import commit_time, estimate_tokens, parsed_metadata
 from quillgraph.operators import architecture, build, compress, history, imports, manifest, similarity
+from quillgraph.plans import queries as core
 from quillgraph.plans import router
 from quillgraph.tables import SCHEMAS, empty, load, save
 
@@ -179,3 +180,16 @@ def test_context_package(spark):
     assert compress.estimate(router.context_package({"nodes": nodes, "edges": edges}, 10)) <= 12
     assert router.answer("what depends on UserController", {"nodes": nodes, "edges": edges}).count() == 0
     assert router.answer("find a.py", {"nodes": nodes, "edges": edges}).count() == 0
+
+
+def test_structure_of_all_repositories(spark, collect, tmp_path):
+    """Equal paths of two repositories stay apart, and build_structure leaves no repository out."""
+    files = spark.createDataFrame([(r, "src/a.py") for r in (1, 2)] + [(2, "b.py")], "repository_id long, file_path string")
+    entities = spark.createDataFrame([(1, "src/a.py", 0, None, "module", "m", None), (1, "src/a.py", 1, 0, "class", "A", None), (2, "src/a.py", 1, 0, "function", "f", None), (2, "src/a.py", 0, None, "class", "B", None)], "repository_id long, file_path string, ordinal int, parent_ordinal int, kind string, name string, metadata_json string")
+    for k, whole in enumerate(build.structure(None, files, entities)):
+        each = [build.structure(r, *(t.where(f"repository_id = {r}").drop("repository_id") for t in (files, entities)))[k] for r in (1, 2)]
+        assert collect(whole) == collect(each[0].unionByName(each[1]))
+    heads = [(r, f"d/f{r}.py", 10, 1, 10, "x = 1\n") for r in (1, 2, 3)]
+    spark.createDataFrame(heads, "repository_id long, file_path string, n_bytes long, n_lines long, longest_line long, head string").write.parquet(f"{tmp_path}/source_heads.parquet")
+    counts = {r["node_type"]: r["n"] for r in core.build_structure(spark, str(tmp_path)).collect()}
+    assert counts["file"] == 3 and counts["directory"] == 3
