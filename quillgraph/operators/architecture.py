@@ -1,84 +1,109 @@
 """Layers, patterns and domains, by rules joined with names.
 
-The catalogs are a few dozen rows each and fixed in the code, so they are
-broadcast; everything else is grouped by repository.
+The catalogs are a few dozen rows each and fixed in the code, so they stand in
+the plan as array literals; everything else is grouped by repository.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import base_name, stem
 from quillgraph.operators import rules
 
 
-def _rules(spark: SparkSession, table: str) -> DataFrame:
-    """(ordinal, keyword, layer, weight) of a catalog."""
-    data = [(i, k, layer, float(w)) for i, (k, layer, w) in enumerate(rules.rows(table))]
-    return F.broadcast(spark.createDataFrame(data, "ordinal int, keyword string, layer string, weight double"))
+def _literals(table: tuple) -> Column:
+    """A catalog of (keyword, layer, weight) as an array, so that rules cost no join and no further scan."""
+    return F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("keyword"), F.lit(layer).alias("layer"), F.lit(float(w)).alias("weight")) for i, (k, layer, w) in enumerate(table)))
+
+
+def _weighted(hits: Column, factor: Callable[[Column], Column], shift: int = 0) -> Column:
+    """Hits as (layer, ordinal, weight), the weight times a factor that depends on the rule."""
+    return F.transform(hits, lambda r: F.struct(r["layer"].alias("layer"), (r["ordinal"] + shift).alias("ordinal"), (r["weight"] * factor(r)).alias("weight")))
 
 
 def normalise_layer(column):
     """One name for each layer."""
-    names = F.create_map(*(F.lit(x) for kv in rules.rows(rules.ALIASES) for x in kv))
+    names = F.create_map(*(F.lit(x) for kv in rules.ALIASES for x in kv))
     return F.coalesce(F.try_element_at(names, column), column)
 
 
-def score_names(names: DataFrame, column: str = "name") -> DataFrame:
-    """Rows joined with every class rule that fits: full weight as an ending, 0.8 as a start, 0.5 inside."""
-    lower = F.replace(F.lower(column), F.lit("-"), F.lit("_"))
-    scored = names.withColumn("_l", lower).join(_rules(names.sparkSession, rules.CLASS_RULES), F.col("_l").contains(F.col("keyword")))
-    factor = F.when(F.col("_l").endswith(F.col("keyword")), 1.0).when(F.col("_l").startswith(F.col("keyword")), 0.8).otherwise(0.5)
-    return scored.withColumn("weight", F.col("weight") * factor).drop("_l")
+def class_hits(name: Column, shift: int = 0) -> Column:
+    """Every class rule that fits a name: full weight as an ending, 0.8 as a start, 0.5 inside."""
+    lower = F.replace(F.lower(name), F.lit("-"), F.lit("_"))
+    factor = lambda r: F.when(lower.endswith(r["keyword"]), 1.0).when(lower.startswith(r["keyword"]), 0.8).otherwise(0.5)
+    return _weighted(F.filter(_literals(rules.CLASS_RULES), lambda r: lower.contains(r["keyword"])), factor, shift)
 
 
-def score_file_names(names: DataFrame, column: str = "name") -> DataFrame:
-    """Rows joined with every file rule whose keyword is in the stem; short ones only between underscores."""
-    part = F.concat(F.lit("_"), stem(F.lower(base_name(column))), F.lit("_"))
-    fits = F.when(F.length("keyword") <= 3, F.col("_s").contains(F.concat(F.lit("_"), F.col("keyword"), F.lit("_")))).otherwise(
-        F.expr("substring(_s, 2, length(_s) - 2)").contains(F.col("keyword"))
-    )
-    return names.withColumn("_s", part).join(_rules(names.sparkSession, rules.FILE_RULES), fits).drop("_s")
+def file_hits(name: Column) -> Column:
+    """Every file rule whose keyword is in the stem of a name; short ones only between underscores."""
+    inner = stem(F.lower(base_name(name)))
+    between = F.concat(F.lit("_"), inner, F.lit("_"))
+    fits = lambda r: F.when(F.length(r["keyword"]) <= 3, between.contains(F.concat(F.lit("_"), r["keyword"], F.lit("_")))).otherwise(inner.contains(r["keyword"]))
+    return _weighted(F.filter(_literals(rules.FILE_RULES), fits), lambda r: F.lit(1.0))
+
 
+def directory_hits(name: Column, shift: int = 0) -> Column:
+    """The directory rule of a name."""
+    return _weighted(F.filter(_literals(rules.DIRECTORY_RULES), lambda r: r["keyword"] == F.lower(name)), lambda r: F.lit(1.0), shift)
 
-def score_directories(names: DataFrame, column: str = "name") -> DataFrame:
-    """Rows joined with the directory rule of their name."""
-    return names.withColumn("_l", F.lower(column)).join(
-        _rules(names.sparkSession, rules.DIRECTORY_RULES), F.col("_l") == F.col("keyword")
-    ).drop("_l")
 
+_EVIDENCE = ("repository_id", "node_id", "layer", "kind", "source", "ordinal", "weight")
 
-def layer_evidence(nodes: DataFrame) -> DataFrame:
-    """(repository_id, node_id, layer, kind, source, ordinal, weight): every hint at a layer.
+
+def layer_evidence(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(repository_id, node_id, layer, kind, source, ordinal, weight): every hint at a layer, from one pass over the nodes.
 
     Class-like names count from a weight of 0.6, function names from 0.7 and
     then with 0.8 of it; an interface named I... speaks for data, a class named
-    Abstract... for business where no rule fits better.
+    Abstract... for business where no rule fits better.  ``known`` has the
+    (repository_id, framework) whose own files and folders are hints too.
     """
-    nodes = nodes.where(F.col("name").isNotNull()).select("repository_id", F.col("id").alias("node_id"), "node_type", "name")
-    classes = nodes.where(F.col("node_type").isin("class", "interface", "enum"))
-    functions = nodes.where(F.col("node_type").isin("function", "method"))
-    files = nodes.where(F.col("node_type") == "file")
-    folders = nodes.where(F.col("node_type") == "directory")
-
-    def part(rows: DataFrame, kind: str, factor: float = 1.0) -> DataFrame:
-        return rows.select(
-            "repository_id", "node_id", normalise_layer(F.col("layer")).alias("layer"), F.lit(kind).alias("kind"),
-            F.col("name").alias("source"), "ordinal", (F.col("weight") * factor).alias("weight"),
-        )
-
-    prefix = F.when((F.col("node_type") == "interface") & F.col("name").rlike("^I[A-Z]"), F.struct(F.lit("data").alias("layer"), F.lit(0.7).alias("weight"))).when(
-        F.col("name").rlike("^Abstract[A-Z]"), F.struct(F.lit("business").alias("layer"), F.lit(0.6).alias("weight"))
-    )
-    named = classes.withColumn("_p", prefix).where(F.col("_p").isNotNull()).select("*", "_p.layer", "_p.weight", F.lit(1000).alias("ordinal"))
-    return (
-        part(score_names(classes).where("weight >= 0.6"), "class_naming")
-        .unionByName(part(named, "interface_naming"))
-        .unionByName(part(score_names(functions).where("weight >= 0.7"), "function_naming", 0.8))
-        .unionByName(part(score_file_names(files), "file_naming"))
-        .unionByName(part(score_directories(folders), "directory"))
+    rows = nodes.where(F.col("name").isNotNull()).select("repository_id", F.col("id").alias("node_id"), "node_type", "name", "file_path")
+    kind, name = F.col("node_type"), F.col("name")
+    classes = kind.isin("class", "interface", "enum")
+    one = lambda layer, weight: F.array(F.struct(F.lit(layer).alias("layer"), F.lit(1000).alias("ordinal"), F.lit(weight).alias("weight")))
+    prefix = F.when((kind == "interface") & name.rlike("^I[A-Z]"), one("data", 0.7)).when(classes & name.rlike("^Abstract[A-Z]"), one("business", 0.6))
+    hits = class_hits(name)
+    functions = F.transform(F.filter(hits, lambda h: h["weight"] >= 0.7), lambda h: F.struct(h["layer"].alias("layer"), h["ordinal"].alias("ordinal"), (h["weight"] * 0.8).alias("weight")))
+    none = F.array().cast("array<struct<kind:string,layer:string,ordinal:int,weight:double>>")
+    told = lambda label, array: F.coalesce(F.transform(array, lambda h: F.struct(F.lit(label).alias("kind"), h["layer"].alias("layer"), h["ordinal"].alias("ordinal"), h["weight"].alias("weight"))), none)
+    hints = (
+        F.when(classes, F.concat(told("class_naming", F.filter(hits, lambda h: h["weight"] >= 0.6)), told("interface_naming", prefix)))
+        .when(kind.isin("function", "method"), told("function_naming", functions))
+        .when(kind == "file", told("file_naming", file_hits(name)))
+        .when(kind == "directory", told("directory", directory_hits(name)))
     )
+    found = rows.where(kind.isin("class", "interface", "enum", "function", "method", "file", "directory")).select("repository_id", "node_id", name.alias("source"), F.explode(hints).alias("h"))
+    found = found.select("repository_id", "node_id", normalise_layer(F.col("h.layer")).alias("layer"), "h.kind", "source", "h.ordinal", "h.weight")
+    return found if known is None else found.unionByName(framework_evidence(nodes, known))
+
+
+def framework_evidence(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """The hints of frameworks' own files, of applications of Django and of Rails' folders, in repositories that have the framework."""
+    rows = nodes.where(F.col("file_path").isNotNull() & F.col("name").isNotNull() & F.col("node_type").isin("file", "directory"))
+    last = F.lower(base_name("name"))
+    own = F.array(
+        *(
+            F.struct(
+                F.lit(framework).alias("framework"), F.lit("framework_file").alias("kind"), F.lit(layer).alias("layer"), F.lit(float(w)).alias("weight"), F.lit(i).alias("ordinal"),
+                F.lit(keyword.lower()).alias("whole"), F.lit(keyword.lower().rsplit(".", 1)[0]).alias("stem"),
+            )
+            for i, (framework, keyword, layer, w) in enumerate(rules.FRAMEWORK_FILE_RULES)
+        )
+    )
+    hint = lambda framework, kind, layer, weight: F.struct(F.lit(framework).alias("framework"), F.lit(kind).alias("kind"), F.lit(layer).alias("layer"), F.lit(weight).alias("weight"), F.lit(0).alias("ordinal"))
+    files = F.transform(F.filter(own, lambda r: (r["whole"] == last) | (r["stem"] == stem(last))), lambda r: F.struct(*(r[c].alias(c) for c in ("framework", "kind", "layer", "weight", "ordinal"))))
+    django = F.when(last.isin(*rules.DJANGO_APP_FILES) & F.col("file_path").contains("/"), F.array(hint("django", "django_app", "controller", 0.5)))
+    none = F.array().cast("array<struct<framework:string,kind:string,layer:string,weight:double,ordinal:int>>")
+    rails = F.filter(F.array(*(F.when(F.col("file_path") == path, hint("rails", "rails_convention", layer, 1.0)) for path, layer in rules.RAILS_FOLDERS)), lambda x: x.isNotNull())
+    hints = F.when(F.col("node_type") == "file", F.concat(files, F.coalesce(django, none))).otherwise(rails)
+    asked = rows.select("repository_id", F.col("id").alias("node_id"), F.col("file_path").alias("source"), F.explode(hints).alias("h")).select("repository_id", "node_id", "source", "h.*")
+    met = asked.join(known.select("repository_id", "framework").distinct(), ["repository_id", "framework"], "left_semi")
+    return met.select(*(normalise_layer(F.col("layer")).alias("layer") if c == "layer" else c for c in _EVIDENCE))
 
 
 def layers(evidence: DataFrame) -> DataFrame:
@@ -101,7 +126,7 @@ def layer_examples(evidence: DataFrame, k: int = 8) -> DataFrame:
 def patterns(found: DataFrame) -> DataFrame:
     """(repository_id, pattern, confidence, matched): patterns of whose layers at least half were found."""
     spark = found.sparkSession
-    needed = [(p, layer, len(asked)) for p, *asked in rules.rows(rules.PATTERNS) for layer in asked]
+    needed = [(p, layer, len(asked)) for p, *asked in rules.PATTERNS for layer in asked]
     needed = F.broadcast(spark.createDataFrame(needed, "pattern string, layer string, asked int"))
     grouped = found.join(needed, "layer").groupBy("repository_id", "pattern", "asked").agg(F.avg("confidence").alias("mean"), F.count("*").alias("matched"))
     ratio = F.col("matched") / F.col("asked")
@@ -119,8 +144,8 @@ def frameworks(repositories: DataFrame, nodes: DataFrame) -> DataFrame:
     key = F.regexp_replace(F.lower("f.name"), "[ -]", "_")
     key = F.when(key.isin("ruby_on_rails", "ruby_rails"), "rails").otherwise(key)
     stated = named.select("repository_id", key.alias("framework"), F.col("f.confidence").alias("confidence"))
-    segments = spark.createDataFrame([(f, s, float(w)) for f, s, w in rules.rows(rules.FRAMEWORK_SEGMENTS)], "framework string, hint string, weight double")
-    names = spark.createDataFrame([(f, s, float(w)) for f, s, w in rules.rows(rules.FRAMEWORK_FILES)], "framework string, hint string, weight double")
+    segments = spark.createDataFrame(list(rules.FRAMEWORK_SEGMENTS), "framework string, hint string, weight double")
+    names = spark.createDataFrame(list(rules.FRAMEWORK_FILES), "framework string, hint string, weight double")
     folders = nodes.where((F.col("node_type") == "directory") & F.col("file_path").isNotNull())
     inner = F.concat(F.lit("/"), F.lower("file_path"), F.lit("/"))
     by_folder = folders.join(F.broadcast(segments), inner.contains(F.concat(F.lit("/"), F.col("hint"), F.lit("/")))).select("repository_id", "framework", "hint", "weight").distinct()
@@ -135,7 +160,7 @@ def frameworks(repositories: DataFrame, nodes: DataFrame) -> DataFrame:
 def framework_patterns(found: DataFrame, known: DataFrame) -> DataFrame:
     """(repository_id, framework, confidence) of the frameworks' own patterns, for frameworks known with at least 0.3."""
     spark = found.sparkSession
-    asked = [(f, None if c == "-" else float(c), layer, len(ls)) for f, c, *ls in rules.rows(rules.FRAMEWORK_PATTERNS) for layer in ls]
+    asked = [(f, c, layer, len(ls)) for f, c, *ls in rules.FRAMEWORK_PATTERNS for layer in ls]
     asked = F.broadcast(spark.createDataFrame(asked, "framework string, fixed double, layer string, n int"))
     sure = known.where(F.col("confidence") >= 0.3).select("repository_id", "framework").distinct()
     rows = found.join(asked, "layer").join(sure, ["repository_id", "framework"], "left_semi")
@@ -145,12 +170,13 @@ def framework_patterns(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def file_layers(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(repository_id, file_path, layer): of each file the layer of greatest weight among those found, the first rule on a tie."""
-    files = nodes.where((F.col("node_type") == "file") & F.col("file_path").isNotNull()).select("repository_id", "file_path", F.col("file_path").alias("name")).distinct()
-    hits = score_file_names(files).select("repository_id", "file_path", "layer", "weight", "ordinal")
-    inside = nodes.where(F.col("node_type").isin("class", "interface", "enum") & F.col("file_path").isNotNull()).select("repository_id", "file_path", "name")
-    hits = hits.unionByName(score_names(inside).where("weight >= 0.6").select("repository_id", "file_path", "layer", "weight", (F.col("ordinal") + 2000).alias("ordinal")))
-    parts = files.select("repository_id", "file_path", F.explode(F.slice(F.split("file_path", "/"), 1, F.greatest(F.size(F.split("file_path", "/")) - 1, F.lit(0)))).alias("name"))
-    hits = hits.unionByName(score_directories(parts).select("repository_id", "file_path", "layer", "weight", (F.col("ordinal") + 1000).alias("ordinal")))
+    path = F.col("file_path")
+    folders = F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    hits = F.when(F.col("node_type") == "file", F.concat(file_hits(path), F.flatten(F.transform(folders, lambda x: directory_hits(x, 1000))))).otherwise(
+        F.filter(class_hits(F.col("name"), 2000), lambda h: h["weight"] >= 0.6)
+    )
+    rows = nodes.where(path.isNotNull() & ((F.col("node_type") == "file") | F.col("node_type").isin("class", "interface", "enum") & F.col("name").isNotNull()))
+    hits = rows.select("repository_id", "file_path", F.explode(hits).alias("h")).select("repository_id", "file_path", "h.*")
     hits = hits.join(found.select("repository_id", "layer"), ["repository_id", "layer"], "left_semi")
     return hits.groupBy("repository_id", "file_path").agg(F.max_by("layer", F.struct(F.col("weight"), -F.col("ordinal"))).alias("layer"))
 
@@ -185,7 +211,7 @@ def domains(nodes: DataFrame, found: DataFrame) -> DataFrame:
     top = F.regexp_extract("file_path", r"^([^/]+)/", 1)
     inside = nodes.where(F.col("file_path").isNotNull()).withColumn("domain", top).where((F.col("domain") != "") & ~F.col("domain").startswith(".") & ~F.col("domain").isin(*NO_DOMAIN))
     files = inside.where(F.col("node_type") == "file").select("repository_id", "domain", "file_path").distinct()
-    scored = score_file_names(files, "file_path").where("weight >= 0.5").join(found.select("repository_id", "layer"), ["repository_id", "layer"], "left_semi")
+    scored = files.select("*", F.explode(file_hits(F.col("file_path"))).alias("h")).select(*files.columns, "h.*").where("weight >= 0.5").join(found.select("repository_id", "layer"), ["repository_id", "layer"], "left_semi")
     layered = scored.groupBy("repository_id", "domain", "file_path").agg(F.min_by("layer", "ordinal").alias("layer"))
     sizes = files.groupBy("repository_id", "domain").agg(F.count("*").alias("files"))
     service = layered.where(F.col("layer").isin("controller", "business", "data")).groupBy("repository_id", "domain").agg(F.count("*").alias("service_files"))

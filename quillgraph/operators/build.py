@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Endings of class names that make a class another kind, the first that fits.
@@ -61,9 +61,12 @@ def structure(repository_id: int | None, files: DataFrame, entities: DataFrame)
     dir_nodes = folders.select(key("directory", F.col("file_path"), 0).alias("id"), "repository_id", F.lit("directory").alias("node_type"), F.regexp_extract("file_path", "([^/]*)$", 1).alias("name"), "file_path", nothing)
     file_nodes = files.select(key("file", F.col("file_path"), 0).alias("id"), "repository_id", F.lit("file").alias("node_type"), F.col("file_path").alias("name"), "file_path", nothing)
 
-    modules = entities.where(F.col("kind") == "module").select(F.col("repository_id").alias("m_repository"), F.col("file_path").alias("m_path"), F.col("ordinal").alias("m"), F.col("parent_ordinal").alias("onward"))
-    inner = entities.where(F.col("kind") != "module").join(modules, (F.col("repository_id") == F.col("m_repository")) & (F.col("file_path") == F.col("m_path")) & (F.col("parent_ordinal") == F.col("m")), "left")
-    above_module = F.when(F.col("m").isNotNull(), F.col("onward")).otherwise(F.col("parent_ordinal"))
+    # Modules may nest: of each file the parents of its modules, and the climb to the first that is no module.
+    modules = entities.where(F.col("kind") == "module").groupBy("repository_id", "file_path").agg(F.map_from_entries(F.collect_list(F.struct("ordinal", "parent_ordinal"))).alias("up"))
+    modules = modules.toDF("m_repository", "m_path", "up")
+    inner = entities.where(F.col("kind") != "module").join(modules, F.col("repository_id").eqNullSafe(F.col("m_repository")) & (F.col("file_path") == F.col("m_path")), "left")
+    climb = F.aggregate(F.map_keys("up"), F.col("parent_ordinal"), lambda at, _: F.when(F.map_contains_key("up", F.coalesce(at, F.lit(-1))), F.try_element_at("up", at)).otherwise(at))
+    above_module = F.when(F.col("up").isNull(), F.col("parent_ordinal")).otherwise(climb)
     inner = inner.select("repository_id", "file_path", "ordinal", above_module.alias("parent_ordinal"), "kind", "name", "metadata_json")
     entity_nodes = inner.select(key("entity", F.col("file_path"), F.col("ordinal")).alias("id"), "repository_id", retyped(F.col("kind"), F.col("name")).alias("node_type"), "name", "file_path", "metadata_json", "parent_ordinal")
     nodes = dir_nodes.unionByName(file_nodes).unionByName(entity_nodes.drop("parent_ordinal"))
@@ -126,9 +129,9 @@ def replace_rows(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of the rows of equal keys the first in order."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(window)).where("_r = 1").drop("_r")
+    """Of the rows of equal keys the first in order, combined on the map side."""
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first"))
+    return first.select("_first.*")
 
 
 def without_repository(repository_id: int, **tables: DataFrame) -> dict[str, DataFrame]:

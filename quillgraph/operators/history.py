@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import commit_time
+from quillgraph.operators.build import stable_id
 
 
 def file_history(commits: DataFrame, commit_files: DataFrame, path: str, limit: int = 30) -> DataFrame:
@@ -71,3 +72,16 @@ def count_authors(commits: DataFrame, commit_authors: DataFrame) -> DataFrame:
     return both.select(
         "repository_id", "email", F.coalesce("name", "seen_name").alias("name"), F.coalesce("seen", "stored").alias("commit_count")
     )
+
+
+def add_authors(fresh: DataFrame, commit_authors: DataFrame) -> DataFrame:
+    """(id, repository_id, name, email, commit_count): stored authors, their counts raised by new commits; ids come from repository and address.
+
+    A null address stands for no author.
+    """
+    new = fresh.where(F.col("email").isNotNull()).groupBy("repository_id", "email").agg(F.countDistinct("hash").alias("more"), F.min("author").alias("new_name"))
+    both = commit_authors.join(new, ["repository_id", "email"], "full")
+    return both.select(
+        F.coalesce("id", stable_id("repository_id", "email")).alias("id"), "repository_id", F.coalesce("name", "new_name").alias("name"), "email",
+        F.when(F.col("commit_count").isNotNull() | F.col("more").isNotNull(), F.coalesce("commit_count", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("commit_count"),
+    )

@@ -80,15 +80,17 @@ def monorepos(files: DataFrame) -> DataFrame:
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """(repository_id, framework, confidence): sum of the weights of the indicators met, one at most."""
-    spark = files.sparkSession
-    plain = spark.createDataFrame([(f, p, w) for f, p, pattern, _, w in FINGERPRINTS if pattern is None], "framework string, file_path string, weight double")
-    hits = files.join(F.broadcast(plain), "file_path").select("repository_id", "framework", "file_path", "weight")
-    for framework, path, pattern, by_line, weight in FINGERPRINTS:
-        if pattern is not None:
-            fits = F.col("content").rlike(("(?m)" if by_line else "") + pattern)
-            hits = hits.unionByName(files.where((F.col("file_path") == path) & fits).select("repository_id", F.lit(framework).alias("framework"), "file_path", F.lit(weight).alias("weight")))
-    return hits.distinct().groupBy("repository_id", "framework").agg(F.round(F.least(F.sum("weight"), F.lit(1.0)), 4).alias("confidence"))
+    """(repository_id, framework, confidence): sum of the weights of the indicators met, one at most.
+
+    One pass over the files: each is held against all indicators of its name.
+    """
+    checks = [
+        F.when((F.col("file_path") == path) & (F.lit(True) if pattern is None else F.col("content").rlike(("(?m)" if by_line else "") + pattern)), F.struct(F.lit(framework).alias("framework"), F.lit(i).alias("rule"), F.lit(weight).alias("weight")))
+        for i, (framework, path, pattern, by_line, weight) in enumerate(FINGERPRINTS)
+    ]
+    named = files.where(F.col("file_path").isin(*dict.fromkeys(path for _, path, *_ in FINGERPRINTS)))
+    hits = named.select("repository_id", F.explode(F.filter(F.array(*checks), lambda x: x.isNotNull())).alias("h")).select("repository_id", "h.*").distinct()
+    return hits.groupBy("repository_id", "framework").agg(F.round(F.least(F.sum("weight"), F.lit(1.0)), 4).alias("confidence"))
 
 
 def directory_count(files: DataFrame) -> DataFrame:

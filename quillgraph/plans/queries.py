@@ -442,11 +442,11 @@ def architecture_rows(spark: SparkSession, root: str) -> DataFrame:
     return architecture.architecture_rows(found, architecture.patterns(found), architecture.domains(load(spark, root, "nodes"), found))
 
 
-def _values(table: str) -> str:
-    return ", ".join(f"({i}, '{k}', '{layer}', {w}::DOUBLE)" for i, (k, layer, w) in enumerate(rules.rows(table)))
+def _values(table: tuple) -> str:
+    return ", ".join(f"({i}, '{k}', '{layer}', {w}::DOUBLE)" for i, (k, layer, w) in enumerate(table))
 
 
-_ALIAS = "CASE layer " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.rows(rules.ALIASES)) + " ELSE layer END"
+_ALIAS = "CASE layer " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.ALIASES) + " ELSE layer END"
 _EVIDENCE = f"""
 cr(o, k, layer, w) AS (VALUES {_values(rules.CLASS_RULES)}), fr(o, k, layer, w) AS (VALUES {_values(rules.FILE_RULES)}), dr(o, k, layer, w) AS (VALUES {_values(rules.DIRECTORY_RULES)}),
 n AS (SELECT *, replace(lower(name), '-', '_') AS l, regexp_replace(lower(regexp_extract(name, '([^/]*)$', 1)), '(.)\\.[^.]*$', '\\1') AS st FROM nodes WHERE name IS NOT NULL),
@@ -470,7 +470,7 @@ WITH {_EVIDENCE}, d AS (SELECT DISTINCT repository_id, layer, source FROM ev),
 r AS (SELECT *, row_number() OVER (PARTITION BY repository_id, layer ORDER BY source) AS r FROM d)
 SELECT repository_id, layer, string_agg(source, ', ' ORDER BY source) AS examples FROM r WHERE r <= 8 GROUP BY 1, 2
 """
-_PATTERN_VALUES = ", ".join(f"('{p}', '{layer}', {len(ls)})" for p, *ls in rules.rows(rules.PATTERNS) for layer in ls)
+_PATTERN_VALUES = ", ".join(f"('{p}', '{layer}', {len(ls)})" for p, *ls in rules.PATTERNS for layer in ls)
 SQL["pattern_match"] = f"""
 WITH {_EVIDENCE}, asked(pattern, layer, n) AS (VALUES {_PATTERN_VALUES})
 SELECT repository_id, pattern, round(avg(confidence) * (count(*) / n::DOUBLE), 2) AS confidence, count(*) AS matched

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import architecture, compress, graph, history, search, summary
@@ -35,32 +35,30 @@ def confidence_column(text: Column) -> Column:
     return F.when(intent_column(text) != "search", 0.8).when(text.rlike(r"[A-Z]\w+"), 0.5).otherwise(0.3)
 
 
-def classify(question: str, strict: bool = True) -> tuple[str, list[str]]:
-    """The family and the targets of one question, the question itself where it names none.
+def target_column(text: Column, strict: bool = True) -> Column:
+    """(family, targets) of a column of questions, with the question itself as target where a family names none.
 
-    In a family a pattern that asks for no target ends the search, as soon as
-    it fits, if ``strict``; else captured targets are kept.
+    All patterns of all families are tried at once; of those that fit, the one
+    of the first family, greatest priority and first place decides.  With
+    ``strict`` a pattern that asks for no target outranks those of its family
+    that do; else it comes after them.
     """
-    for name, rules in FAMILIES:
-        best: tuple[int, list[str]] | None = None
-        none_asked = False
-        for priority, pattern, group in rules:
-            m = re.search(pattern, question)
-            if m is None:
-                continue
-            if group == 0:
-                none_asked = True
-                if strict:
-                    return name, [question]
-                continue
-            targets = [g for g in m.groups() if g] if group == -1 else [m.group(group)]
-            if best is None or priority > best[0]:
-                best = (priority, targets)
-        if best:
-            return name, best[1]
-        if none_asked:
-            return name, [question]
-    return "search", [question]
+    tried = []
+    for nth, (name, rules) in enumerate(FAMILIES):
+        for place, (priority, pattern, group) in enumerate(rules):
+            groups = range(1, re.compile(pattern).groups + 1) if group < 0 else (group,)
+            found = F.array(text) if group == 0 else F.filter(F.array(*(F.regexp_extract(text, pattern, g) for g in groups)), lambda x: x != "")
+            bare = int((group == 0) == strict)
+            order = F.struct(F.lit(-nth).alias("family"), F.lit(bare).alias("bare"), F.lit(priority).alias("priority"), F.lit(-place).alias("place"))
+            tried.append(F.when(text.rlike(pattern), F.struct(order.alias("order"), F.lit(name).alias("family"), found.alias("targets"))))
+    best = F.array_max(F.filter(F.array(*tried), lambda x: x.isNotNull()))
+    return F.when(best.isNotNull(), F.struct(best["family"].alias("family"), best["targets"].alias("targets"))).otherwise(F.struct(F.lit("search").alias("family"), F.array(text).alias("targets")))
+
+
+def classify(spark: SparkSession, question: str, strict: bool = True) -> tuple[str, list[str]]:
+    """The family and the targets of one question."""
+    row = spark.createDataFrame([(question,)], "q string").select(target_column(F.col("q"), strict).alias("t")).first()["t"]
+    return row["family"], list(row["targets"])
 
 
 def answer(question: str, tables: dict[str, DataFrame], repository_id: int | None = None, strict: bool = False) -> DataFrame:
@@ -69,8 +67,8 @@ def answer(question: str, tables: dict[str, DataFrame], repository_id: int | Non
     ``tables`` has the graph tables by name.  A target that no node fits gives
     an empty result.
     """
-    family, targets = classify(question, strict)
     nodes, edges = tables["nodes"], tables["edges"]
+    family, targets = classify(nodes.sparkSession, question, strict)
     if repository_id is not None:
         nodes, edges = (t.where(F.col("repository_id") == repository_id) for t in (nodes, edges))
     if family == "architecture":

@@ -16,6 +16,7 @@ def local_session(cores: int = 8, app: str = "quillgraph") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -25,10 +26,18 @@ def local_session(cores: int = 8, app: str = "quillgraph") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; pick one only where none is set."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Without one a single machine takes a temporary folder; on a cluster no
+    folder of one machine would do, so there it is an error.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-ckpt-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not sc.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
 def cut(df: DataFrame) -> DataFrame:

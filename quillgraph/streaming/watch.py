@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.operators.manifest import language_of
+from quillgraph.plans import index
 from quillgraph.session import ensure_checkpoint_dir
 
 
@@ -60,20 +61,24 @@ def moved_as_pairs(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.explode(both).alias("e"), "ts").select("event_id", "e.path", "e.op", "ts")
 
 
-def apply_changes(
-    stream: DataFrame, read_store: Callable[[], DataFrame], write_store: Callable[[DataFrame], None], parse: Callable[[DataFrame], DataFrame], checkpoint: str
-) -> None:
-    """Keep a node table in step with a stream of (event_id, path, op, ts).
+def watched(events: DataFrame, root: str) -> DataFrame:
+    """(event_id, path, op, ts) of events on source files below ``root``, paths relative to it."""
+    inside = events.where(F.col("path").startswith(root.rstrip("/") + "/"))
+    relative = inside.withColumn("path", F.substring("path", len(root.rstrip("/")) + 2, 1 << 30))
+    return relative.where(language_of("path") != "unknown").select("event_id", "path", "op", "ts")
 
-    In every micro-batch the last operation of each path counts: its rows are
-    taken out of the store and, unless it was deleted, the rows ``parse`` makes
-    of it are put in.  Running a batch twice gives the same store.
+
+def follow(stream: DataFrame, spark: SparkSession, root: str, store: str, checkpoint: str) -> None:
+    """Keep the store of an indexed tree in step with a stream of (event_id, path, op, ts), paths relative to it.
+
+    In every micro-batch each path counts once: nodes, edges and vectors of its
+    file are replaced by what the tree holds now, in the partition of that
+    repository.  Running a batch twice gives the same store.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        last = last_operations(batch)
-        kept = read_store().join(last.select(F.col("path").alias("file_path")), "file_path", "left_anti")
-        fresh = parse(last.where(F.col("op") != "deleted").select("path"))
-        write_store(kept.unionByName(fresh.select(*kept.columns)))
+        last = last_operations(batch).select(F.col("path").alias("file_path"))
+        if not last.isEmpty():
+            index.update_files(spark, root, store, last)
 
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -45,3 +45,17 @@ def save(df: DataFrame, root: str, name: str, *partition_by: str) -> None:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/{name}.parquet")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def replace_repository(df: DataFrame, root: str, name: str, repository_id: int) -> None:
+    """Put the rows of one repository in place of those stored; without rows its partition goes."""
+    if not df.isEmpty():
+        return save(df, root, name, "repository_id")
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.parquet/repository_id={repository_id}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 from quillgraph.operators import build, search, similarity
 from quillgraph.plans import index
+from quillgraph.streaming import watch
 
 
 def write(root, tree):
@@ -54,3 +57,71 @@ def test_empty_tree(spark, tmp_path):
     store = str(tmp_path / "store")
     assert index.index_repository(spark, str(tmp_path / "none"), store)["nodes"] == 0
     assert index.open_store(spark, store)["repositories"].count() == 1
+
+
+def test_names_ignore_files_and_emptied_trees(spark, tmp_path):
+    root, store = tmp_path / "repo", str(tmp_path / "store")
+    write(root, {"pkg/__init__.py": "from pkg import _core\n", "pkg/_core.py": "def run():\n    pass\n", "main.py": "import pkg\n", "gen/out.py": "x = 1\n", "old.py": "x = 1\n", ".gitignore": "gen/\n", ".quillignore": "# c\nold*\n"})
+    index.index_repository(spark, str(root), store)
+    opened = index.open_store(spark, store)
+    names = {r["id"]: r["name"] for r in opened["nodes"].collect()}
+    assert {"pkg/__init__.py", "pkg/_core.py", "main.py"} <= set(names.values()) and not {"gen/out.py", "old.py", "gen"} & set(names.values())
+    imports = {(names[r["source_node_id"]], names[r["target_node_id"]]) for r in opened["edges"].where("edge_type = 'IMPORTS'").collect()}
+    assert ("main.py", "pkg/__init__.py") in imports
+    index.embed(spark, store, similarity.HashingEncoder(8))
+    for name in ("pkg/__init__.py", "pkg/_core.py"):
+        (root / name).unlink()
+    index.update_files(spark, str(root), store, spark.createDataFrame([("pkg/__init__.py",), ("pkg/_core.py",)], "file_path string"))
+    left = index.open_store(spark, store)
+    assert [r["name"] for r in left["nodes"].collect()] == ["main.py"] and left["edges"].count() == 0 and left["node_vectors"].count() == 1
+    (root / "main.py").unlink()
+    assert index.update_files(spark, str(root), store, spark.createDataFrame([("main.py",)], "file_path string")) == {"nodes": 0, "edges": 0}
+    assert index.open_store(spark, store)["nodes"].count() == 0
+    write(root, {"again.py": "x = 1\n"})
+    index.index_repository(spark, str(root), store)
+    (root / "again.py").unlink()
+    assert index.index_repository(spark, str(root), store)["nodes"] == 0
+    assert index.open_store(spark, store)["nodes"].count() == 0
+
+
+def test_modules_nest(spark, tmp_path):
+    root, store = tmp_path / "repo", str(tmp_path / "store")
+    write(root, {"a.rb": "module A\n  module B\n    class C\n      # Says it.\n      def d(x)\n        help(x)\n      end\n    end\n  end\nend\ndef help(x)\nend\n", "s.sql": "CREATE TABLE shop.\"item list\" (id INT, size DOUBLE PRECISION);\n"})
+    index.index_repository(spark, str(root), store)
+    opened = index.open_store(spark, store)
+    names = {r["id"]: r["name"] for r in opened["nodes"].collect()}
+    edges = {(names.get(r["source_node_id"]), names.get(r["target_node_id"]), r["edge_type"]) for r in opened["edges"].collect()}
+    assert {("a.rb", "C", "DEFINES"), ("C", "d", "DEFINES"), ("d", "help", "CALLS"), ("s.sql", "item list", "CONTAINS"), ("item list", "size", "DECLARES")} <= edges
+    assert build.orphans(opened["nodes"], opened["edges"]).count() == 0
+    text = {r["node_id"]: r["text"] for r in similarity.node_text(opened["nodes"]).collect()}
+    method = next(i for i, n in names.items() if n == "d")
+    assert "docstring: Says it." in text[method] and "parent: C" in text[method] and "signature: def d(x)" in text[method]
+
+
+def test_follow_a_stream(spark, tmp_path):
+    root, store = tmp_path / "repo", str(tmp_path / "store")
+    write(root, {"a.py": "def one():\n    pass\n", "b.py": "def two():\n    pass\n"})
+    index.index_repository(spark, str(root), store)
+    write(root, {"a.py": "def three():\n    pass\n"})
+    (root / "b.py").unlink()
+    events = spark.createDataFrame([(1, "a.py", "modified", None), (2, "b.py", "deleted", None)], "event_id long, path string, op string, ts timestamp").withColumn("ts", F.current_timestamp())
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    watch.follow(stream, spark, str(root), store, str(tmp_path / "progress"))
+    assert {r["name"] for r in index.open_store(spark, store)["nodes"].collect()} == {"a.py", "three"}
+
+
+def test_history_and_architecture_in_the_store(spark, tmp_path):
+    root, store = tmp_path / "repo", str(tmp_path / "store")
+    write(root, {"app/models.py": "class UserRepository:\n    pass\n\nclass ItemRepository:\n    pass\n\nclass OrderDao:\n    pass\n", "manage.py": "x = 1\n"})
+    index.index_repository(spark, str(root), store)
+    record = lambda c, name, mail: f"{c * 40}||{name}||{mail}||2026-01-02 03:04:05 +0200||m\n\nA\tapp/models.py\n"
+    logs = spark.createDataFrame([(record("a", "Ann", "a@x") + record("b", "Bob", "b@x") + record("c", "Ann", "a@x"),)], "text string")
+    assert index.index_history(spark, str(root), store, logs) == {"new": 3, "commits": 3, "commit_files": 3, "commit_authors": 2}
+    assert index.index_history(spark, str(root), store, logs)["new"] == 0
+    opened = index.open_store(spark, store)
+    assert {(r["email"], r["commit_count"]) for r in opened["commit_authors"].collect()} == {("a@x", 2), ("b@x", 1)}
+    assert index.store_architecture(spark, store, index.repository_of(spark, str(root))) > 0
+    kept = {(r["layer"], r["pattern"]) for r in index.open_store(spark, store)["architecture"].collect()}
+    # The manifest names the framework, whose own files are evidence.
+    assert ("data", None) in kept and ("controller", None) in kept and ("pattern", "repository") in kept

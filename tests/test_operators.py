@@ -11,15 +11,18 @@ NODES = "id long, repository_id long, node_type string, name string, file_path s
 
 
 def test_scoring(spark, collect):
+    def scored(table, hits):
+        return [(r["name"], r["h"]["layer"], r["h"]["weight"]) for r in table.select("name", F.explode(hits(F.col("name"))).alias("h")).collect()]
+
     names = spark.createDataFrame([("UserController",), ("UserService",), ("UserRepository",), ("AbstractFactory",), ("ServiceBus",), ("MyServiceX",)], "name string")
-    best = {(r["name"], r["layer"]): r["weight"] for r in architecture.score_names(names).collect()}
+    best = {(n, layer): w for n, layer, w in scored(names, architecture.class_hits)}
     assert best["UserController", "controller"] == 1.0 and best["UserService", "business"] == 1.0 and best["UserRepository", "data"] == 1.0
     assert best["ServiceBus", "business"] == 0.8 and best["MyServiceX", "business"] == 0.5 and best["AbstractFactory", "infrastructure"] == 0.7
     files = spark.createDataFrame([("user_controller.py",), ("test_helpers.py",), ("capitalize.py",), ("x/api.py",), ("my_api_v1.py",), ("dao.go",)], "name string")
-    found = {(r["name"], r["layer"]) for r in architecture.score_file_names(files).collect()}
+    found = {x[:2] for x in scored(files, architecture.file_hits)}
     assert {("user_controller.py", "controller"), ("test_helpers.py", "testing"), ("test_helpers.py", "utility"), ("x/api.py", "api"), ("my_api_v1.py", "api"), ("dao.go", "data")} == found
     folders = spark.createDataFrame([("controllers",), ("Tests",), ("xtests",)], "name string")
-    assert {(r["name"], r["layer"]) for r in architecture.score_directories(folders).collect()} == {("controllers", "controller"), ("Tests", "testing")}
+    assert {x[:2] for x in scored(folders, architecture.directory_hits)} == {("controllers", "controller"), ("Tests", "testing")}
     layer = spark.createDataFrame([("models",), ("service",), ("routes",), ("unknown",)], "layer string").select(architecture.normalise_layer(F.col("layer")))
     assert [r[0] for r in layer.collect()] == ["data", "business", "controller", "unknown"]
 
@@ -49,15 +52,15 @@ def test_frameworks(spark):
     ],
 )
 def test_intents(spark, question, family, target):
-    name, targets = router.classify(question)
+    name, targets = router.classify(spark, question)
     assert name == family and (target is None or targets[0] == target)
     row = spark.createDataFrame([(question,)], "q string").select(router.intent_column(F.col("q"))).first()
     assert row[0] == family
 
 
-def test_router_keeps_targets_unless_strict():
-    assert router.classify("impact of Widget") == ("impact", ["impact of Widget"])
-    assert router.classify("impact of Widget", strict=False) == ("impact", ["Widget"])
+def test_router_keeps_targets_unless_strict(spark):
+    assert router.classify(spark, "impact of Widget") == ("impact", ["impact of Widget"])
+    assert router.classify(spark, "impact of Widget", strict=False) == ("impact", ["Widget"])
 
 
 def test_times(spark):

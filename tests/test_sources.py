@@ -1,3 +1,4 @@
+import json
 import time
 
 import pytest
@@ -19,6 +20,18 @@ def test_scan(spark, tmp_path, collect):
     assert paths() == {"hello.py", "main.js", "README.md", "notes", "out/gen.o2", "keep/me.log", "keep/other.log"}
     assert paths(patterns=["*.md", "out/*"], gitignore=["*.log", "!me.log", "/notes"]) == {"hello.py", "main.js", "keep/me.log"}
     assert files.ignore_lines("# c\n\n*.md \n") == ["*.md"]
+    only = spark.createDataFrame([("main.js",), ("gone.js",), ("node_modules/react/i.js",), ("pic.svg",)], "file_path string")
+    assert paths(only=only) == {"main.js"}
+
+
+def test_scan_private_names_and_depth(spark, tmp_path):
+    names = ["pkg/__init__.py", "pkg/a.py", "pkg/_private.py", "pkg/_inner/b.py", "top.py", "a/b/c/d/e/f/g.py", "with space/x+y%20.py"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / "link.py").symlink_to(tmp_path / "top.py")
+    assert sorted(r["file_path"] for r in files.scan_tree(spark, str(tmp_path)).collect()) == sorted(names)
+    assert files.read_lines(str(tmp_path), "top.py") == ["x = 1"] and files.read_lines(str(tmp_path), "none") == []
 
 
 @pytest.mark.parametrize(
@@ -87,6 +100,66 @@ def test_parse(spark):
     assert parent["python", "bar"] == 0 and parent["java", "run"] == 0 and parent["ruby", "top"] is None
 
 
+RELATIONS = [
+    ("javascript", "class B extends A {\n  run() {\n    helper(1);\n    this.other();\n    helper(2);\n  }\n}\n", {("B", "INHERITS", "A"), ("run", "CALLS", "helper")}),
+    ("typescript", "class B extends A<T> implements C, D {\n}\ninterface E extends F {}\n", {("B", "INHERITS", "A"), ("B", "INHERITS", "C"), ("B", "INHERITS", "D"), ("E", "INHERITS", "F")}),
+    ("go", "func main() {\n\trun(1)\n\tfmt.Println(2)\n}\n", {("main", "CALLS", "run")}),
+    ("rust", "trait T: A + B {}\nimpl T for P {\n    fn go(&self) -> u8 {\n        work()\n    }\n}\n", {("T", "INHERITS", "A"), ("T", "INHERITS", "B"), ("T impl P", "IMPLEMENTS", "T"), ("go", "CALLS", "work")}),
+    ("java", "public class A<T> extends B<T> implements C, D {\n    void run() {\n        help(\"x(y)\"); // no(1)\n    }\n}\n", {("A", "INHERITS", "B"), ("A", "IMPLEMENTS", "C"), ("A", "IMPLEMENTS", "D"), ("run", "CALLS", "help")}),
+    ("kotlin", "class A(val x: Int) : B(), C {\n    fun run() {\n        help()\n    }\n}\ninterface I : J\n", {("A", "IMPLEMENTS", "B"), ("A", "IMPLEMENTS", "C"), ("I", "INHERITS", "J"), ("run", "CALLS", "help")}),
+    ("csharp", "public class A : B, IC\n{\n    public void Run()\n    {\n        Help();\n    }\n}\n", {("A", "INHERITS", "B"), ("A", "INHERITS", "IC"), ("Run", "CALLS", "Help")}),
+    ("php", "class A extends B implements C {\n    function run() {\n        help(1);\n    }\n}\n", {("A", "INHERITS", "B"), ("A", "IMPLEMENTS", "C"), ("run", "CALLS", "help")}),
+    ("ruby", "class A < B::C\n  def run\n    help(1)\n  end\nend\n", {("A", "INHERITS", "B::C"), ("run", "CALLS", "help")}),
+    ("swift", "class A: B, C {\n    func run() {\n        help()\n    }\n}\nextension A {\n}\n", {("A", "INHERITS", "B"), ("A", "INHERITS", "C"), ("run", "CALLS", "help")}),
+    ("scala", "class A extends B with C {\n  def run() = help(1)\n}\ntrait T extends U\n", {("A", "IMPLEMENTS", "B"), ("A", "IMPLEMENTS", "C"), ("T", "INHERITS", "U"), ("run", "CALLS", "help")}),
+    ("elixir", "defimpl Size, for: Map do\n  def size(x) do\n    help(x)\n  end\nend\n", {("Size (impl)", "IMPLEMENTS", "Size"), ("size", "CALLS", "help")}),
+    ("c", "int run(int a) {\n    if (a) return help(a);\n}\n", {("run", "CALLS", "help")}),
+    ("cpp", "int run(int a) {\n    return help(a);\n}\n", {("run", "CALLS", "help")}),
+    ("lua", "function run()\n  help(1)\nend\n", {("run", "CALLS", "help")}),
+    ("julia", "function run(x)\n  help(x)\nend\n", {("run", "CALLS", "help")}),
+    ("zig", "pub fn run() void {\n    help();\n}\n", {("run", "CALLS", "help")}),
+    ("groovy", "class A extends B {\n    def run(a) {\n        help(a)\n    }\n}\n", {("A", "INHERITS", "B"), ("run", "CALLS", "help")}),
+]
+
+
+def test_relations_of_lines(spark):
+    rows = [(1, f"{lang}.x", lang, text) for lang, text, _ in RELATIONS]
+    out = parse.parse_sources(spark.createDataFrame(rows, "repository_id long, file_path string, language string, text string")).collect()
+    for lang, _, expected in RELATIONS:
+        got = [(r["name"], x["edge_type"], x["target_name"]) for r in out if r["language"] == lang for x in r["relations"]]
+        assert set(got) == expected and len(got) == len(expected), (lang, got)
+
+
+TYPESCRIPT = [
+    ("function identity<T>(arg: T): T { return arg; }", "function", "identity", "<T>"), ("interface Props { a: string }", "interface", "Props", None), ("interface Response<T> { data: T }", "interface", "Response", "<T>"),
+    ("type UserID = string;", "type_alias", "UserID", None), ("type Result<T> = T | null;", "type_alias", "Result", "<T>"), ("enum Color { Red }", "enum", "Color", None),
+    ("export default function() { return 1; }", "function", "default", None), ("const handler = (e: Event) => {};", "function", "handler", None), ("const wrap = <T>(x: T) => x;", "function", "wrap", "<T>"),
+    ("const App = () => <div/>;", "function", "App", None), ("function render() { return <div>Hi</div>; }", "function", "render", None), ("const Header: React.FC = () => <h1/>;", "function", "Header", None),
+    ("export default function identity<T>(arg: T): T { return arg; }", "function", "identity", "<T>"),
+]
+
+
+@pytest.mark.parametrize("language", ["typescript", "tsx"])
+def test_typescript(spark, language):
+    rows = [(1, f"{i:02d}", language, text) for i, (text, *_) in enumerate(TYPESCRIPT)]
+    out = parse.parse_sources(spark.createDataFrame(rows, "repository_id long, file_path string, language string, text string")).orderBy("file_path", "ordinal").collect()
+    assert [(r["kind"], r["name"], json.loads(r["metadata_json"]).get("type_parameters")) for r in out] == [x[1:] for x in TYPESCRIPT]
+
+
+def test_documentation_and_metadata_of_lines(spark):
+    java = "/**\n * Runs it.\n */\n@Entity\n@Table(name = \"people\")\npublic final class Person {\n    private String name;\n\n    // Says hello.\n    public String hello(String to, int n) throws X {\n    }\n}\n"
+    go = "// Baz adds.\nfunc (b Bar) Baz(x int, y int) int {\n}\n"
+    table = spark.createDataFrame([(1, "P.java", "java", java), (1, "b.go", "go", go)], "repository_id long, file_path string, language string, text string")
+    entities = parse.parse_sources(table)
+    out = {r["name"]: (r["docstring"], json.loads(r["metadata_json"])) for r in entities.collect()}
+    assert out["Person"][0] == "Runs it." and out["Person"][1]["modifiers"] == ["public", "final"] and out["Person"][1]["decorators"][0] == "@Entity"
+    assert out["hello"][0] == "Says hello." and out["hello"][1]["parameters"] == ["String to", "int n"] and out["hello"][1]["parent_name"] == "Person"
+    assert out["Baz"][0] == "Baz adds." and out["Baz"][1]["parameters"] == ["x int", "y int"] and out["Baz"][1]["exported"] is True
+    assert [tuple(r)[2:] for r in ddl.annotated_tables(entities).collect()] == [("people", "name")]
+    declared = ddl.declared_entities(table, entities).collect()
+    assert {(r["kind"], r["name"]) for r in declared} == {("table", "people"), ("constant", "name")}
+
+
 def test_python_relations(spark):
     text = "class A(Base, Protocol):\n    x = 1\n    @property\n    def p(self): return f(g(1))\n\n@app.get('/x')\ndef end(a, b): pass\n"
     out = {r["name"]: r for r in parse.parse_python(spark.createDataFrame([(1, "a.py", "python", text)], "repository_id long, file_path string, language string, text string")).collect()}
@@ -125,15 +198,10 @@ def test_streams(spark, tmp_path, collect):
     runs = collect(watch.debounced(spark.read.parquet(str(tmp_path / "in"))).select("path", "events"))
     assert runs == [("a", 3), ("b", 1), ("b", 1)]
 
-    store = {"df": spark.createDataFrame([("a", "old"), ("c", "old")], "file_path string, name string")}
-
-    def put(df):
-        rows = [tuple(r) for r in df.collect()]
-        store["df"] = spark.createDataFrame(rows, "file_path string, name string")
 
-    parse_ = lambda changed: changed.select(F.col("path").alias("file_path"), F.lit("new").alias("name"))
-    watch.apply_changes(read(), lambda: store["df"], put, parse_, str(tmp_path / "progress"))
-    assert collect(store["df"]) == [("a", "new"), ("b", "new"), ("c", "old")]
+def test_watched(spark, collect):
+    rows = spark.createDataFrame([(1, "/r/a.py", "created", None), (2, "/r/b.txt", "created", None), (3, "/rest/c.py", "created", None)], "event_id long, path string, op string, ts timestamp")
+    assert [r[1] for r in collect(watch.watched(rows, "/r/"))] == ["a.py"]
 
 
 def test_moves(spark, collect):
