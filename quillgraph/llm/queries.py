@@ -31,7 +31,7 @@ def p1_pairs(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     pairs = together.files_together(load(spark, root, "commits"), load(spark, root, "commit_files"), min_count=5, min_ratio=3.0)
-    return pairs.where(F.col("p_value").isNotNull()).select("repository_id", "file_path_a", "file_path_b")
+    return pairs.select("repository_id", "file_path_a", "file_path_b")
 
 
 SQL["p1_found"] = r"""

@@ -6,7 +6,9 @@ space into shards; every shard holds a vantage-point tree of its own.  A query
 is answered in its own shard first, which gives a radius, and then in every
 shard, and there in every leaf, that the triangle inequality doesn't rule out:
 one with lower bound ``b`` is left out if ``b * relax >= radius``.  With
-``relax`` one the search is exact; a larger factor leaves out more.
+``relax`` one the search is exact; a larger factor leaves out more.  Where only
+neighbours of at least some similarity are asked for, no radius is longer than
+the distance of that similarity.
 
 Vectors of one direction are searched as one class, so a direction shared by
 very many nodes costs no more than another, and each class carries no more
@@ -35,39 +37,48 @@ VISIT_ROWS = 65_536
 LEAF_ROWS = 256
 #: See the module's text; the loss is stated in the README.
 RELAX = 6.0
+#: The same for the search of pairs above a similarity, whose radius is short from the start.
+PAIR_RELAX = 5.0
 _SALTS = 64
 
 
 @dataclass
 class ShardTree:
-    """Vantage points with their radii; each shard is a path of inside/outside turns."""
+    """Vantage points with their radii and what lies inside and outside: another point, or shard s as -s - 1."""
 
     points: np.ndarray
     radii: np.ndarray
-    paths: list[list[tuple[int, bool]]]
+    inner: list[int]
+    outer: list[int]
+    shards: int
 
     def bounds(self, x: np.ndarray) -> np.ndarray:
         """Lower bounds of the distance from each row to each shard; zero in its own."""
         if not len(self.points):
             return np.zeros((len(x), 1), np.float32)
-        gap = _distance(x, self.points) - self.radii
-        out = np.zeros((len(x), len(self.paths)), np.float32)
-        for s, path in enumerate(self.paths):
-            for v, inside in path:
-                np.maximum(out[:, s], gap[:, v] if inside else -gap[:, v], out=out[:, s])
+        out = np.zeros((len(x), self.shards), np.float32)
+        # Down the tree: a bound of a subtree holds for all of its shards.
+        below = [(0, np.zeros(len(x), np.float32))]
+        while below:
+            at, bound = below.pop()
+            if at < 0:
+                out[:, -at - 1] = bound
+                continue
+            gap = _distance(x, self.points[at : at + 1])[:, 0] - self.radii[at]
+            below += [(self.inner[at], np.maximum(bound, gap)), (self.outer[at], np.maximum(bound, -gap))]
         return out
 
     def home(self, x: np.ndarray) -> np.ndarray:
-        """The shard of each row: the one path whose turns it takes."""
-        if not len(self.points):
-            return np.zeros(len(x), np.int32)
-        outside = _distance(x, self.points) >= self.radii
+        """The shard of each row: the one its turns lead to."""
         out = np.zeros(len(x), np.int32)
-        for s, path in enumerate(self.paths):
-            ok = np.ones(len(x), bool)
-            for v, inside in path:
-                ok &= outside[:, v] != inside
-            out[ok] = s
+        below = [(0, np.arange(len(x)))] if len(self.points) else []
+        while below:
+            at, rows = below.pop()
+            if at < 0:
+                out[rows] = -at - 1
+                continue
+            outside = _distance(x[rows], self.points[at : at + 1])[:, 0] >= self.radii[at]
+            below += [(self.inner[at], rows[~outside]), (self.outer[at], rows[outside])]
         return out
 
 
@@ -86,27 +97,31 @@ def _vantage(x: np.ndarray, rng: np.random.Generator) -> tuple[int, np.ndarray]:
 def fit_shards(sample: np.ndarray, shards: int) -> ShardTree:
     """Halve the sample at the median distance until there are ``shards`` parts."""
     rng = np.random.default_rng(7)
-    points, radii, paths = [], [], []
-
-    def split(rows: np.ndarray, path: list[tuple[int, bool]], parts: int) -> None:
-        if parts <= 1 or len(rows) < 2:
-            paths.append(path)
-            return
-        k, distances = _vantage(sample[rows], rng)
-        radius = float(np.median(distances))
-        inside = distances < radius
-        if not inside.any() or inside.all():
-            paths.append(path)
-            return
-        v = len(points)
+    points, radii, inner, outer = [], [], [], []
+    made = 0
+
+    def split(rows: np.ndarray, parts: int) -> int:
+        nonlocal made
+        inside = None
+        if parts > 1 and len(rows) > 1:
+            k, distances = _vantage(sample[rows], rng)
+            radius = float(np.median(distances))
+            inside = distances < radius
+        if inside is None or not inside.any() or inside.all():
+            made += 1
+            return -made
+        at = len(points)
         points.append(sample[rows[k]])
         radii.append(radius)
-        split(rows[inside], [*path, (v, True)], parts // 2)
-        split(rows[~inside], [*path, (v, False)], parts - parts // 2)
+        inner.append(0)
+        outer.append(0)
+        inner[at] = split(rows[inside], parts // 2)
+        outer[at] = split(rows[~inside], parts - parts // 2)
+        return at
 
-    split(np.arange(len(sample)), [], shards)
+    split(np.arange(len(sample)), shards)
     width = sample.shape[1] if sample.ndim == 2 else 0
-    return ShardTree(np.array(points, np.float32).reshape(-1, width), np.array(radii, np.float32), paths)
+    return ShardTree(np.array(points, np.float32).reshape(-1, width), np.array(radii, np.float32), inner, outer, made)
 
 
 class PointTree:
@@ -211,9 +226,12 @@ def _first_members(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     return salted.groupBy(*keys).agg(F.sort_array(F.collect_list("node_id")).alias("members"))
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard_rows: int = SHARD_ROWS, least: float = -1.0) -> DataFrame:
     """(model, node_id, rank, neighbour_id, similarity): the ``k`` most similar nodes of every node.
 
+    With ``least``, those of at least that similarity: no search goes farther
+    than that from a query, so the higher it is the fewer shards are visited.
+
     ``vectors`` has (node_id, model, vector).  A null id, model or vector, a
     null or non-finite element and an all-zero vector take no part; vectors of
     different lengths are never compared.  A repeated row counts once; of
@@ -247,7 +265,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
     for group, n in totals.items():
         shards = max(1, -(-n // shard_rows))
         if shards == 1:
-            trees[group] = ShardTree(np.zeros((0, 0), np.float32), np.zeros(0, np.float32), [[]])
+            trees[group] = ShardTree(np.zeros((0, 0), np.float32), np.zeros(0, np.float32), [], [], 1)
             continue
         part = classes.where(F.col("group") == group)
         part = part.where(F.pmod(F.xxhash64("class"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / n))) if n > SAMPLE_ROWS else part
@@ -264,11 +282,14 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
 
     placed = cut(classes.select("group", "cid", "unit").mapInPandas(assign, "group string, shard int, cid long, unit array<float>"))
 
+    # A little beyond the least similarity, so that rounding loses none.
+    reach_most = float(np.sqrt(max(0.0, 2.0 - 2.0 * least))) + 1e-4
+
     def at_home(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A shard has about shard_rows directions.
         part = pd.concat(list(batches))
         x, ids = np.stack(part["unit"].to_numpy()).astype(np.float32), part["cid"].to_numpy(np.int64)
-        found, sims = PointTree(x, ids).search(x, ids, k, relax)
+        found, sims = PointTree(x, ids).search(x, ids, k, relax, np.full(len(x), reach_most, np.float32))
         radius = np.sqrt(np.maximum(2.0 - 2.0 * sims[:, -1], 0.0)).astype(np.float32)
         yield _results(key[0], ids, found, sims)
         yield _block(key[0], key[1], "host", ids, radius, x)
@@ -298,8 +319,9 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
                 ids, radius, q = _unpack(block)
                 found, sims = tree.search(q, ids, k, relax, radius)
                 some = (found >= 0).any(axis=1)
-                parts.append(_results(key[0], ids[some], found[some], sims[some])[["group", "cid", "near", "sims"]])
-        return pd.concat(parts) if parts else pd.DataFrame({"group": [], "cid": [], "near": [], "sims": []})
+                if some.any():
+                    parts.append(_results(key[0], ids[some], found[some], sims[some])[["group", "cid", "near", "sims"]])
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["group", "cid", "near", "sims"], dtype=object)
 
     away = (
         guests.groupBy("group", "shard", "copy")
@@ -321,6 +343,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
     )
     theirs = best.join(lists.select("group", F.col("cid").alias("ncid"), "members"), ["group", "ncid"])
     own = lists.select("group", "cid", F.lit(1.0).alias("sim"), "members")
+    theirs = theirs.where(F.col("sim") >= least)
     shown = theirs.select("group", "cid", "sim", "members").unionByName(own)
     shown = shown.select("group", "cid", "sim", F.explode("members").alias("neighbour_id"))
     order = Window.partitionBy("group", "cid").orderBy(F.desc("sim"), "neighbour_id")
@@ -337,9 +360,9 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
     )
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.9, k: int = 10, relax: float = RELAX) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float = 0.9, k: int = 10, relax: float = PAIR_RELAX, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(node_id_a, node_id_b): cosine at least ``least`` and one among the other's ``k`` nearest."""
-    near = nearest_vectors(vectors, k, relax).where(F.col("similarity") >= least)
+    near = nearest_vectors(vectors, k, relax, shard_rows, least)
     return near.select(
         F.least("node_id", "neighbour_id").alias("node_id_a"), F.greatest("node_id", "neighbour_id").alias("node_id_b")
     ).distinct()

@@ -38,12 +38,14 @@ SLICE_ITEMS = 1_000_000
 KINDS = 256
 #: Bins of the p-values, for each power of ten.
 BINS = 64
+#: Degrees up to this are fitted one by one, greater ones in bins of this ratio, so that a fit is bounded.
+EXACT_DEGREES, DEGREE_RATIO = 256, 1.02
 
 
 # ---------------------------------------------------------------- the null model
 
 
-def fit_null(items: dict[int, int], baskets: dict[int, int], rounds: int = 2000) -> tuple[dict[int, float], dict[int, float]]:
+def fit_null(items: dict[float, int], baskets: dict[float, int], rounds: int = 2000) -> tuple[dict[float, float], dict[float, float]]:
     """x by item frequency and y by basket size; both arguments map a degree to how many have it."""
     d, m = np.array(list(items), float), np.array(list(items.values()), float)
     s, w = np.array(list(baskets), float), np.array(list(baskets.values()), float)
@@ -186,12 +188,20 @@ def surprising_pairs(records: DataFrame, min_count: int = 5, min_ratio: float =
     """
     records = cut(records)
     pairs = cut(pair_counts(records, min_count, min_ratio))
-    items = records.groupBy("group", "item").agg(F.count("*").alias("degree")).groupBy("group", "degree").agg(F.count("*").alias("times"))
-    sizes = records.groupBy("group", "basket").agg(F.count("*").alias("degree")).groupBy("group", "degree").agg(F.count("*").alias("times"))
-    histograms = items.withColumn("side", F.lit("item")).unionByName(sizes.withColumn("side", F.lit("basket")))
+    degree = F.col("degree")
+    binned = F.when(degree <= EXACT_DEGREES, degree).otherwise(EXACT_DEGREES + F.floor(F.log(degree / EXACT_DEGREES) / math.log(DEGREE_RATIO)))
+
+    def histogram(of: str) -> DataFrame:
+        # Bins of degrees, each with its mean degree.
+        degrees = records.groupBy("group", of).agg(F.count("*").alias("degree"))
+        bins = degrees.groupBy("group", binned.alias("bin")).agg(F.avg("degree").alias("degree"), F.count("*").alias("times"))
+        return bins.select("group", "degree", "times", F.lit(of).alias("side"))
+
+    histograms = histogram("item").unionByName(histogram("basket"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        # Two histograms of degrees: their length is bounded by the square root of the records.
+        # Two histograms of at most EXACT_DEGREES bins and one for each further DEGREE_RATIO.
+        part = part.sort_values("degree")
         of = {side: dict(zip(p["degree"], p["times"])) for side, p in part.groupby("side")}
         x, y = fit_null(of["item"], of["basket"])
         return pd.DataFrame(
@@ -202,7 +212,7 @@ def surprising_pairs(records: DataFrame, min_count: int = 5, min_ratio: float =
         )
 
     fitted = histograms.groupBy("group").applyInPandas(
-        fit, "group long, degrees array<long>, x array<double>, y array<double>, times array<long>, items long"
+        fit, "group long, degrees array<double>, x array<double>, y array<double>, times array<long>, items long"
     )
     fitted = cut(fitted)
     kinds = cut(pairs.select("group", "n_a", "n_b", "n_ab").distinct())
@@ -214,7 +224,8 @@ def surprising_pairs(records: DataFrame, min_count: int = 5, min_ratio: float =
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                at = dict(zip(r.degrees, r.x))
+                # Between the mean degrees of two bins x goes straight on.
+                at = {n: float(np.interp(n, r.degrees, r.x)) for k in r.kinds for n in (k["n_a"], k["n_b"])}
                 y, times = np.asarray(r.y, float), np.asarray(r.times, float)
                 out = []
                 for k in r.kinds:
@@ -256,13 +267,16 @@ def files_together(commits: DataFrame, commit_files: DataFrame, min_count: int =
     give no row.
     """
     known = commits.where(F.col("repository_id").isNotNull() & F.col("hash").isNotNull())
-    of = known.select(F.col("id").alias("commit_id"), F.col("repository_id").alias("group"), F.xxhash64("repository_id", "hash").alias("basket"))
+    # The same commit under several ids is one basket, named by the least.
+    one = known.groupBy("repository_id", "hash").agg(F.min("id").alias("basket"))
+    of = known.join(one, ["repository_id", "hash"]).select(F.col("id").alias("commit_id"), F.col("repository_id").alias("group"), "basket")
     paths = commit_files.where(F.col("file_path").isNotNull()).select("commit_id", normal_path().alias("path"))
     touched = paths.join(of, "commit_id").select("group", "basket", "path").distinct()
-    touched = cut(touched.withColumn("item", F.xxhash64("group", "path")))
-    found = surprising_pairs(touched.select("group", "basket", "item"), min_count, min_ratio)
-    # Only the paths that are in a pair.
-    named = touched.select("item", "path").distinct()
+    touched = cut(touched)
+    # Ids of their own, so that counts are exact at any number of files.
+    named = cut(touched.select("group", "path").distinct().withColumn("item", F.monotonically_increasing_id()))
+    found = surprising_pairs(touched.join(named, ["group", "path"]).select("group", "basket", "item"), min_count, min_ratio)
+    named = named.select("item", "path")
     a, b = named.toDF("a", "path_1"), named.toDF("b", "path_2")
     both = found.join(a, "a").join(b, "b")
     turned = F.col("path_1") > F.col("path_2")

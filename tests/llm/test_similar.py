@@ -24,7 +24,7 @@ def test_factor_one_is_exact():
     tree = fit_shards(x, 8)
     homes = tree.home(x)
     assert len(set(homes)) == 8 and (tree.bounds(x)[ids, homes] <= 1e-6).all()
-    assert ShardTree(np.zeros((0, 0), np.float32), np.zeros(0, np.float32), [[]]).home(x).max() == 0
+    assert ShardTree(np.zeros((0, 0), np.float32), np.zeros(0, np.float32), [], [], 1).home(x).max() == 0
 
 
 def test_recall_against_brute_force(spark):
@@ -44,6 +44,20 @@ def test_recall_against_brute_force(spark):
         assert np.mean([len(got[i] & exact[i]) / 10 for i in exact]) >= least
 
 
+def test_pairs_above_a_similarity(spark, collect):
+    x = clustered(700, 16, 5)
+    x[600:] = x[:100] + 0.05 * np.random.default_rng(1).normal(size=(100, 16)).astype(np.float32)
+    table = spark.createDataFrame([(i, "m", v.tolist(), "c", 1, 0.5) for i, v in enumerate(x)], SCHEMA)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    near = np.argsort(-s, axis=1)[:, :10]
+    want = {(min(i, j), max(i, j)) for i in range(len(x)) for j in near[i].tolist() if s[i, j] >= 0.98}
+    assert len(want) > 100
+    assert set(collect(similar_pairs(table, 0.98, relax=1.0, shard_rows=64))) == want
+    assert len(set(collect(similar_pairs(table, 0.98, shard_rows=64))) & want) >= 0.97 * len(want)
+
+
 def test_edge_cases(spark, collect):
     one, two = [1.0, 0.0], [0.0, 2.0]
     data = [(i, "m", [3.0, 0.0] if i % 2 else one, "c", 0, 0.0) for i in range(30)]  # one direction, differing norms
