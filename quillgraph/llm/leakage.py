@@ -1,15 +1,17 @@
 """Evaluation texts leaking into training text.
 
-The held-out items form a BM25 inverted index.  Every document is cut into
-passages of half of ``overlap_words`` words, so that any ``overlap_words``
-consecutive words hold a whole passage.  Each passage is a query, answered by
-block-max WAND: an upper bound over all items, then one for each block of
-items, and only the blocks whose bound reaches the threshold are scored item by
-item.  The threshold of an item is the least score of any passage of its own
-words, so a passage that does occur in a document is always retrieved.  As the
-verification demands every word, a word that an item lacks makes the item's
-score, and a block's bound if all its items lack it, fall below any threshold.
-What is retrieved is verified word by word around the passage.
+The held-out items form a BM25 inverted index of sparse posting lists, built in
+Spark and cut into shards of bounded size.  Every document is cut into passages
+of half of ``overlap_words`` words, so that any ``overlap_words`` consecutive
+words hold a whole passage.  Each passage is a query, answered by block-max
+WAND: the passage's rarest term is the pivot, whose list gives the blocks of
+items to look at; a block is left out as soon as the greatest impacts that the
+passage's terms have in it don't reach its threshold, and only what is left is
+scored item by item.  The threshold of an item is the least score of any
+passage of its own words, so a passage that does occur in a document is always
+retrieved.  As the verification demands every word, a block or an item that
+lacks one is left out like one below its threshold.  What is retrieved is
+verified word by word around the passage.
 
 Both texts are brought to their look-alike form first; a word is a longest run
 of letters and digits in lower case.
@@ -17,6 +19,7 @@ of letters and digits in lower case.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,32 +30,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.lookalike import visual_form
+from quillgraph.llm.lookalike import Looks, shared_letters
+from quillgraph.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
-#: Cells of the impact matrix of one index: bounds what a pass broadcasts (4 bytes each, twice).
-MAX_CELLS = 16_000_000
-BLOCK_ITEMS = 4
-_NEVER = np.float32(-1e6)
+#: Postings of one shard of the index, about: bounds what a pass broadcasts (some 30 bytes each).
+MAX_POSTINGS = 6_000_000
+#: Items of a block; its items are neighbours by number.
+BLOCK_ITEMS = 8
+#: Passages that are looked up together.
+CHUNK = 1 << 16
+K1, B = 1.2, 0.75
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(visual_form(text).lower())
+def words_of(text: str, looks: Looks) -> list[str]:
+    return _WORD.findall(looks.form(text).lower())
 
 
 @dataclass
 class Index:
-    """Impacts of every term in every item, block maxima, and thresholds."""
+    """Posting lists of the terms by item and by block of items, thresholds, and the words of the items."""
 
     term_ids: dict[str, int]
-    item_ids: list[int]
-    impact: np.ndarray  # (terms + 1, items); the last row stands for a word of no item
-    block_max: np.ndarray  # (terms + 1, blocks)
-    term_max: np.ndarray  # (terms + 1,)
+    item_ids: list
+    keys: np.ndarray  # term * items + item, sorted
+    impacts: np.ndarray
+    block_keys: np.ndarray  # term * blocks + block, sorted
+    block_max: np.ndarray
+    block_start: np.ndarray  # where a term's blocks begin among the block keys
+    term_max: np.ndarray
     item_threshold: np.ndarray
     block_threshold: np.ndarray
-    shingles: np.ndarray  # sorted hashes of all runs of overlap words
-    runs: dict[bytes, list[int]]  # the runs themselves, with the items they are in
+    words: np.ndarray  # the coded words of all items
+    run_hash: np.ndarray  # sorted hashes of the runs of overlap words
+    run_at: np.ndarray  # where in ``words`` each begins
+    run_item: np.ndarray
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,105 +81,140 @@ def _run_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def build_index(items: list[tuple[int, list[str]]], overlap: int, passage: int, k1: float = 1.2, b: float = 0.75) -> Index:
-    """Index the items; each has at least ``overlap`` words."""
+def _lookup(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The values of sorted keys; minus infinity where a key isn't there."""
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], np.float32(-np.inf))
+
+
+def build_index(items: list[tuple[object, list[str]]], df: dict[str, int], n_items: int, mean_words: float, overlap: int, passage: int) -> Index:
+    """Index the items of a shard; each has at least ``overlap`` words. ``df``, ``n_items`` and ``mean_words`` are those of all shards."""
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in items for w in ws))}
+    n = len(items)
     coded = [np.fromiter((vocabulary[w] for w in ws), np.int64, len(ws)) for _, ws in items]
-    counts = np.zeros((len(vocabulary) + 1, len(items)), np.float32)
-    for i, ids in enumerate(coded):
-        np.add.at(counts[:, i], ids, 1)
-    lengths = np.array([len(ws) for _, ws in items], np.float32)
-    df = (counts > 0).sum(axis=1, dtype=np.float32)
-    idf = np.log1p((len(items) - df + 0.5) / (df + 0.5))
-    impact = idf[:, None] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * lengths / lengths.mean()))
-    impact = impact.astype(np.float32)
-    impact[counts == 0] = _NEVER
-    threshold = np.empty(len(items), np.float32)
-    hashes, runs = [], {}
+    lengths = np.array([len(ws) for ws in coded])
+    words, owner = np.concatenate(coded), np.repeat(np.arange(n), lengths)
+    keys, tf = np.unique(words * n + owner, return_counts=True)
+    terms, holders = keys // n, keys % n
+    frequency = np.array([df[w] for w in vocabulary], np.float64)
+    idf = np.log1p((n_items - frequency + 0.5) / (frequency + 0.5))
+    impacts = (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[holders] / mean_words))).astype(np.float32)
+
+    of_word = impacts[np.searchsorted(keys, words * n + owner)]
+    ends = np.cumsum(lengths)
+    threshold = np.empty(n, np.float32)
+    run_at, run_item, hashes = [], [], []
     for i, ids in enumerate(coded):
-        spans = np.lib.stride_tricks.sliding_window_view(ids, passage)
+        begin = ends[i] - lengths[i]
+        spans = np.lib.stride_tricks.sliding_window_view(of_word[begin : ends[i]], passage)
         # A repeated word counts as often as it stands there, as in the search.
-        threshold[i] = impact[spans, i].sum(axis=1).min() - 1e-3
-        hashes.append(_run_hashes(ids, overlap))
-        for run in np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, overlap)):
-            owners = runs.setdefault(run.tobytes(), [])
-            if i not in owners:
-                owners.append(i)
-    cuts = np.arange(0, len(items), BLOCK_ITEMS)
-    block_max = np.ascontiguousarray(np.maximum.reduceat(impact, cuts, axis=1))
+        threshold[i] = spans.sum(axis=1).min() - 1e-3
+        codes = _run_hashes(ids, overlap)
+        hashes.append(codes)
+        run_at.append(begin + np.arange(len(codes)))
+        run_item.append(np.full(len(codes), i, np.int64))
+    order = np.argsort(np.concatenate(hashes), kind="stable")
+
+    blocks = -(-n // BLOCK_ITEMS)
+    block_keys, first = np.unique(terms * blocks + holders // BLOCK_ITEMS, return_index=True)
     return Index(
-        vocabulary,
-        [i for i, _ in items],
-        impact,
-        block_max,
-        block_max.max(axis=1),
-        threshold,
-        np.minimum.reduceat(threshold, cuts),
-        np.unique(np.concatenate(hashes)),
-        runs,
-    )
+        vocabulary, [i for i, _ in items], keys, impacts, block_keys, np.maximum.reduceat(impacts, first),
+        np.searchsorted(block_keys, np.arange(len(vocabulary) + 1) * blocks), np.maximum.reduceat(impacts, np.searchsorted(terms, np.arange(len(vocabulary)))),
+        threshold, np.minimum.reduceat(threshold, np.arange(0, n, BLOCK_ITEMS)),
+        words, np.concatenate(hashes)[order], np.concatenate(run_at)[order], np.concatenate(run_item)[order],
+    )
+
 
+def _retrieve(index: Index, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, item, score) of what reaches its threshold; all terms of the passages are in the index."""
+    n, blocks = len(index.item_ids), len(index.block_threshold)
+    held = index.block_start[passages + 1] - index.block_start[passages]
+    pivot = np.take_along_axis(passages, held.argmin(axis=1)[:, None], 1)[:, 0]
+    count = index.block_start[pivot + 1] - index.block_start[pivot]
+    rows = np.repeat(np.arange(len(passages)), count)
+    within = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+    block = index.block_keys[index.block_start[pivot[rows]] + within] % blocks
+    bound = np.zeros(len(rows), np.float32)
+    for k in range(passages.shape[1]):
+        # What the terms so far and the best of those to come can reach.
+        bound += _lookup(index.block_keys, index.block_max, passages[rows, k] * blocks + block)
+        rest = index.term_max[passages[:, k + 1 :]].sum(axis=1)
+        ok = bound + rest[rows] >= index.block_threshold[block]
+        rows, block, bound = rows[ok], block[ok], bound[ok]
+    items = block[:, None] * BLOCK_ITEMS + np.arange(BLOCK_ITEMS)
+    rows, items = np.repeat(rows, BLOCK_ITEMS), items.ravel()
+    ok = items < n
+    rows, items = rows[ok], items[ok]
+    score = np.zeros(len(rows), np.float32)
+    for k in range(passages.shape[1]):
+        score += _lookup(index.keys, index.impacts, passages[rows, k] * n + items)
+        ok = score > -np.inf
+        rows, items, score = rows[ok], items[ok], score[ok]
+    ok = score >= index.item_threshold[items]
+    return rows[ok], items[ok], score[ok]
 
-def search(index: Index, ids: np.ndarray, overlap: int, passage: int, chunk: int = 8192) -> list[tuple[int, int, float]]:
-    """(position, item number, score) of every verified run of ``overlap`` words in the coded words."""
-    retrieved, kept_item, kept_score = [], [], []
+
+def search(index: Index, ids: np.ndarray, overlap: int, passage: int) -> list[tuple[int, int, float]]:
+    """(position, item number, score) of every verified run of ``overlap`` words in the coded words; -1 stands for a word of no item."""
     segments = ids[: len(ids) // passage * passage].reshape(-1, passage)
-    alive = np.flatnonzero(index.term_max[segments].sum(axis=1) >= index.item_threshold.min())
-    for at in range(0, len(alive), chunk):
-        part = segments[alive[at : at + chunk]]
-        bounds = index.block_max[part[:, 0]]
-        for k in range(1, passage):
-            bounds += index.block_max[part[:, k]]
-        rows, blocks = np.nonzero(bounds >= index.block_threshold)
-        items = blocks[:, None] * BLOCK_ITEMS + np.arange(BLOCK_ITEMS)
-        rows, items = np.repeat(rows, BLOCK_ITEMS), items.ravel()
-        inside = items < len(index.item_ids)
-        rows, items = rows[inside], items[inside]
-        scores = index.impact[part[rows].T, items].sum(axis=0)
-        hit = scores >= index.item_threshold[items]
-        retrieved.append(alive[at + rows[hit]] * passage)
-        kept_item.append(items[hit])
-        kept_score.append(scores[hit])
-    if not retrieved:
-        return []
-    starts, items, scores = map(np.concatenate, (retrieved, kept_item, kept_score))
-    # Verification: the runs that hold the whole passage.
-    where = (starts[:, None] - np.arange(overlap - passage, -1, -1)).ravel()
-    which = np.repeat(np.arange(len(starts)), overlap - passage + 1)
-    ok = (where >= 0) & (where + overlap <= len(ids))
-    where, which = where[ok], which[ok]
-    at, back = np.unique(where, return_inverse=True)
-    run = ids[at[:, None] + np.arange(overlap)]
-    codes = np.zeros(len(at), np.uint64)
-    mixed = (run.astype(np.uint64) + np.uint64(1)) * _MIX
-    mixed ^= mixed >> np.uint64(29)
-    for k in range(overlap):
-        codes = codes * np.uint64(1_000_003) + mixed[:, k]
-    likely = np.isin(codes, index.shingles)
+    alive = np.flatnonzero((segments >= 0).all(axis=1))
+    alive = alive[index.term_max[segments[alive]].sum(axis=1) >= index.item_threshold.min()]
     out: dict[tuple[int, int], float] = {}
-    for j in np.flatnonzero(likely[back]):
-        position, item = int(where[j]), int(items[which[j]])
-        if item in index.runs.get(np.ascontiguousarray(run[back[j]]).tobytes(), ()):
-            out[position, item] = max(out.get((position, item), 0.0), float(scores[which[j]]))
+    for at in range(0, len(alive), CHUNK):
+        part = alive[at : at + CHUNK]
+        rows, items, scores = _retrieve(index, segments[part])
+        starts = part[rows] * passage
+        # Verification: the runs that hold the whole passage.
+        where = (starts[:, None] - np.arange(overlap - passage, -1, -1)).ravel()
+        which = np.repeat(np.arange(len(starts)), overlap - passage + 1)
+        ok = (where >= 0) & (where + overlap <= len(ids))
+        where, which = where[ok], which[ok]
+        places, back = np.unique(where, return_inverse=True)
+        run = ids[places[:, None] + np.arange(overlap)]
+        codes = np.zeros(len(places), np.uint64)
+        mixed = (run.astype(np.uint64) + np.uint64(1)) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+        for k in range(overlap):
+            codes = codes * np.uint64(1_000_003) + mixed[:, k]
+        low, high = np.searchsorted(index.run_hash, codes), np.searchsorted(index.run_hash, codes, side="right")
+        for j in np.flatnonzero((high > low)[back]):
+            place, item = back[j], items[which[j]]
+            same = index.run_at[low[place] : high[place]][index.run_item[low[place] : high[place]] == item]
+            if any((index.words[x : x + overlap] == run[place]).all() for x in same):
+                key = int(where[j]), int(item)
+                out[key] = max(out.get(key, 0.0), float(scores[which[j]]))
     return [(position, item, score) for (position, item), score in out.items()]
 
 
-def _passes(items: DataFrame, id_col: str, text_col: str, overlap: int, passage: int) -> Iterator[Index]:
-    """Indexes of bounded size over all items, a few at a time."""
-    group: list[tuple[int, list[str]]] = []
-    terms: set[str] = set()
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).distinct()
-    for item_id, text in rows.orderBy(id_col, text_col).toLocalIterator():
-        words = words_of(text)
-        if len(words) < overlap:
-            continue
-        if group and (len(group) + 1) * (len(terms | set(words)) + 1) > MAX_CELLS:
-            yield build_index(group, overlap, passage)
-            group, terms = [], set()
-        group.append((item_id, words))
-        terms.update(words)
-    if group:
-        yield build_index(group, overlap, passage)
+def _shards(items: DataFrame, id_col: str, text_col: str, overlap: int, passage: int) -> tuple[DataFrame, int]:
+    """(shard, index) of the items' index in shards of about ``MAX_POSTINGS``, each packed in one value; and their number."""
+    letters = shared_letters(items.sparkSession)
+    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).distinct()
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        looks = Looks(letters.value)
+        for batch in batches:
+            yield pd.DataFrame({"_id": batch["_id"], "words": [words_of(t, looks) for t in batch["_text"]]})
+
+    schema = T.StructType([T.StructField("_id", items.schema[id_col].dataType), T.StructField("words", T.ArrayType(T.StringType()))])
+    known = cut(rows.mapInPandas(tokens, schema).where(F.size("words") >= overlap))
+    total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(F.array_distinct("words"))), F.lit(0)).alias("postings"), F.avg(F.size("words")).alias("mean")).first()
+    n_items, mean, shards = total["n"], total["mean"], -(-total["postings"] // MAX_POSTINGS)
+    known = known.withColumn("shard", F.pmod(F.xxhash64("_id", "words"), F.lit(max(shards, 1))).cast("int"))
+    df = known.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # The terms of a shard with their frequencies over all shards.
+    terms = known.select(F.col("shard").alias("of"), F.explode(F.array_distinct("words")).alias("term")).distinct().join(df, "term")
+
+    def build(key: tuple, part: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        if part.empty:
+            return pd.DataFrame({"shard": [], "index": []})
+        part = part.sort_values("_id", kind="stable")
+        listed = [(i, list(ws)) for i, ws in zip(part["_id"].tolist(), part["words"])]
+        index = build_index(listed, dict(zip(counts["term"], counts["df"])), n_items, mean, overlap, passage)
+        return pd.DataFrame({"shard": [key[0]], "index": [pickle.dumps(index, protocol=5)]})
+
+    packed = known.groupBy("shard").cogroup(terms.groupBy("of")).applyInPandas(build, "shard int, index binary")
+    return packed, shards
 
 
 def leaked_items(
@@ -186,9 +233,11 @@ def leaked_items(
     best BM25 score among them.  Null and empty texts hold no passage and a row without id is left out; an item
     of fewer words than ``overlap_words`` can't be found.  A document in
     several rows of the same id comes out once, with its best row's figures.
-    The index is broadcast in passes of at most ``MAX_CELLS`` impacts, and the
-    documents are read once a pass: one pass holds several thousand items.
+    One shard of the index, some hundred thousand items, is broadcast at a
+    time.  The documents are read and tokenised once: where there are several
+    shards, their words are written to the checkpoint folder for the passes.
     """
+    spark = documents.sparkSession
     out_type = T.StructType(
         [
             T.StructField(id_col, documents.schema[id_col].dataType),
@@ -197,23 +246,37 @@ def leaked_items(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    texts = documents.where((F.length(text_col) > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     passage = (overlap_words + 1) // 2
+    packed, shards = _shards(items, item_col, item_text_col, overlap_words, passage)
+    letters = shared_letters(spark)
+    texts = documents.where((F.length(text_col) > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        looks = Looks(letters.value)
+        for batch in batches:
+            yield pd.DataFrame({"_id": batch["_id"], "_text": [" ".join(words_of(t, looks)) for t in batch["_text"]]})
+
+    several = shards > 1
+    if several:
+        texts = cut(texts.mapInPandas(tokens, texts.schema))
+
     found = None
-    for index in _passes(items, item_col, item_text_col, overlap_words, passage):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+    for row in packed.toLocalIterator():
+        shared = spark.sparkContext.broadcast(row["index"])
 
         def query(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            outside, code = len(index.term_ids), index.term_ids.get
+            index: Index = pickle.loads(shared.value)
+            looks, code = Looks(letters.value), index.term_ids.get
             for batch in batches:
                 coded, starts, at = [], [], 0
                 for text in batch["_text"]:
-                    words = words_of(text)
-                    coded.append(np.fromiter((code(w, outside) for w in words), np.int64, len(words)))
-                    coded.append(np.array([outside]))
+                    words = text.split(" ") if several else words_of(text, looks)
+                    # The next text begins a passage of its own, so none spans two texts.
+                    gap = passage - len(words) % passage
+                    coded.append(np.fromiter((code(w, -1) for w in words), np.int64, len(words)))
+                    coded.append(np.full(gap, -1))
                     starts.append(at)
-                    at += len(words) + 1
+                    at += len(words) + gap
                 hits = search(index, np.concatenate(coded), overlap_words, passage) if coded else []
                 frame = pd.DataFrame(hits, columns=["at", "item", "score"])
                 row = np.searchsorted(np.array(starts), frame["at"].to_numpy(), side="right") - 1
@@ -228,5 +291,5 @@ def leaked_items(
         part = texts.mapInPandas(query, out_type)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return documents.sparkSession.createDataFrame([], out_type)
+        return spark.createDataFrame([], out_type)
     return found.groupBy(id_col, item_col).agg(F.max("passages").alias("passages"), F.max("score").alias("score"))

@@ -155,3 +155,8 @@ def p9_texts(spark: SparkSession, root: str) -> DataFrame:
 @_query
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.lookalike_pairs(load(spark, root, "documents"))
+
+
+@_query
+def p9_classes(spark: SparkSession, root: str) -> DataFrame:
+    return lookalike.lookalike_classes(load(spark, root, "documents"))

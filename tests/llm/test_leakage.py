@@ -1,12 +1,19 @@
 import random
+from collections import Counter
 
 import numpy as np
 
 from quillgraph.llm import leakage
-from quillgraph.llm.leakage import leaked_items, words_of
+from quillgraph.llm.leakage import leaked_items
+from quillgraph.llm.lookalike import Looks
 
 DOCS = "doc_id long, text string, item_id string, score double, row long"
 ITEMS = "item_id long, text string, suite string"
+LOOKS = Looks()
+
+
+def words_of(text):
+    return leakage.words_of(text, LOOKS)
 
 
 def brute(docs, items, n=12):
@@ -51,7 +58,7 @@ def test_against_brute_force(spark, monkeypatch):
     assert len(want) > 20
     assert {(r["doc_id"], r["item_id"]) for r in leaked_items(frame, tests).collect()} == want
     # The same in several passes over a bounded index.
-    monkeypatch.setattr(leakage, "MAX_CELLS", 500)
+    monkeypatch.setattr(leakage, "MAX_POSTINGS", 300)
     got = [(r["doc_id"], r["item_id"]) for r in leaked_items(frame, tests).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
@@ -59,15 +66,36 @@ def test_against_brute_force(spark, monkeypatch):
 def test_other_widths():
     docs, items = material(9)
     for n in (5, 8, 13):
-        index = leakage.build_index([(i, words_of(t)) for i, t in items if t and len(words_of(t)) >= n], n, (n + 1) // 2)
+        listed = [(i, words_of(t)) for i, t in items if t and len(words_of(t)) >= n]
+        df = Counter(w for _, ws in listed for w in set(ws))
+        index = leakage.build_index(listed, df, len(listed), sum(len(ws) for _, ws in listed) / len(listed), n, (n + 1) // 2)
         want = brute(docs, items, n)
         got = set()
         for d, text in docs:
-            ids = np.array([index.term_ids.get(w, len(index.term_ids)) for w in words_of(text)], np.int64)
+            ids = np.array([index.term_ids.get(w, -1) for w in words_of(text)], np.int64)
             got |= {(d, index.item_ids[i]) for _, i, _ in leakage.search(index, ids, n, (n + 1) // 2)}
         assert got == want
 
 
+def test_impacts_and_bounds():
+    listed = [(i, words_of(t)) for i, t in material(3)[1] if t and len(words_of(t)) >= 12]
+    df = Counter(w for _, ws in listed for w in set(ws))
+    mean = sum(len(ws) for _, ws in listed) / len(listed)
+    index = leakage.build_index(listed, df, len(listed), mean, 12, 6)
+    n, blocks = len(listed), len(index.block_threshold)
+    for i, (_, ws) in enumerate(listed):
+        scores = {}
+        for w in set(ws):
+            tf = ws.count(w)
+            want = np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+            t = index.term_ids[w]
+            scores[w] = float(index.impacts[np.searchsorted(index.keys, t * n + i)])
+            bound = index.block_max[np.searchsorted(index.block_keys, t * blocks + i // leakage.BLOCK_ITEMS)]
+            assert abs(scores[w] - want) < 1e-4 and scores[w] <= bound <= index.term_max[t]
+        least = min(sum(scores[w] for w in ws[k : k + 6]) for k in range(len(ws) - 5))
+        assert abs(index.item_threshold[i] - (least - 1e-3)) < 1e-3
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     some = spark.createDataFrame([(1, "a b c", "", 0.0, 1)], DOCS)

@@ -3,9 +3,11 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillgraph.llm.lookalike import consistent_texts, lookalike_pairs, resolve_token, visual_form
+from quillgraph.llm.lookalike import Looks, confusable_letters, consistent_texts, lookalike_classes, lookalike_pairs
 
 SCHEMA = "doc_id long, text string, form string, look string"
+LOOKS = Looks()
+visual_form, resolve_token = LOOKS.form, LOOKS.resolve
 
 
 def test_forms():
@@ -30,6 +32,26 @@ def test_scripts():
     assert visual_form("Яzож") == visual_form("Яzoж") != visual_form("Яzж")
 
 
+def test_visible_styles_stay():
+    for a, b in (("ſun", "sun"), ("ϕ", "φ"), ("ϐ", "β"), ("ℝ", "R"), ("𝐀", "A"), ("ℓ", "l"), ("ª", "a"), ("σ", "o"), ("α", "a"), ("г", "r")):
+        assert visual_form(a) != visual_form(b)
+    assert visual_form("ϲat") == "cat" and visual_form("ϹAT") == "CAT" and visual_form("\U0001d5b7y") == "Xy" and visual_form("Ⅳ") == "IV"
+
+
+def test_letters_of_all_scripts(spark):
+    table = confusable_letters(spark)
+    looks = Looks(table)
+    assert len(table) > 250
+    for a, b in (("օk", "ok"), ("Ꭺ", "A"), ("ɡo", "go"), ("ꓮ", "A"), ("Ⲕ", "K"), ("Тhе", "The"), ("Іn", "In"), ("ӏamp", "lamp"), ("ΡΑΥ", "PAY")):
+        assert looks.form(a) == b, (a, looks.form(a))
+    for a, b in (("ſun", "sun"), ("ϕ", "φ"), ("ℝ", "R"), ("σ", "o"), ("0", "O"), ("1", "l"), ("Ь", "b"), ("б", "6"), ("m", "rn"), ("I", "l"), ("ا", "l"), ("ס", "o")):
+        assert looks.form(a) != looks.form(b), (a, b)
+    for word in ("Журнал", "համար", "ᏣᎳᎩ", "λόγος", "über", "naïve"):
+        assert looks.form(word) == word or looks.resolve(word)[1] == "whole"
+    for ch in table:
+        assert looks.form(looks.form(ch)) == looks.form(ch)
+
+
 def test_joiners_stay_where_they_show():
     persian = "\u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645"
     assert visual_form(persian) == persian
@@ -55,5 +77,7 @@ def test_pairs_and_edge_cases(spark, collect):
     assert out[2]["form"] == "the mutex" and out[2]["changed"] and out[2]["n_mixed"] == 1
     assert out[5]["form"] is None and not out[5]["changed"] and out[6]["form"] == ""
     assert consistent_texts(docs).count() == len(data)
+    classes = {r["doc_id"]: (r["look"], r["documents"], r["spellings"]) for r in lookalike_classes(docs).collect()}
+    assert classes == {1: (1, 3, 2), 2: (1, 3, 2), 3: (1, 3, 2), 8: (8, 2, 2), 9: (8, 2, 2)}
     none = spark.createDataFrame([], SCHEMA)
-    assert lookalike_pairs(none).count() == 0 and consistent_texts(none).count() == 0
+    assert lookalike_pairs(none).count() == 0 and consistent_texts(none).count() == 0 and lookalike_classes(none).count() == 0
