@@ -35,7 +35,7 @@ def test_lcs():
     ],
 )
 def test_profile(author, email, given, family):
-    kind, first, last = profile(author, email)
+    kind, first, last, _ = profile(author, email, {"bjorn": "bjorn"})
     assert kind == "person" and first == given and family in last
 
 
@@ -80,13 +80,43 @@ def test_all_readings_of_an_identity_belong_together(spark):
 
 def test_common_suffixes_are_refined(spark, monkeypatch):
     rows = [(i, "person", g, s) for i, (g, s) in enumerate([("anna", "harbourson"), ("anna", "harborson"), ("albert", "harbourson"), ("alan", "baxterson"), ("amy", "dickerson")])]
-    table = spark.createDataFrame(rows, "name_id long, kind string, given string, spelling string")
+    table = spark.createDataFrame([(*r, False) for r in rows], "name_id long, kind string, given string, spelling string, known boolean")
     want = {(0, 1)}
     assert {(r["a"], r["b"]) for r in family_links(table).collect()} == want
     monkeypatch.setattr(names, "COMMON", 2)
     assert {(r["a"], r["b"]) for r in family_links(table).collect()} == want
 
 
+def test_no_key_is_given_up(spark, monkeypatch):
+    """However common a suffix is, the links are the same; also of an initial with the whole name."""
+    rows = [("j" if i % 7 == 0 else "john", f"{a}{b}arbourson") for i, (a, b) in enumerate((a, b) for a in "bcdfgh" for b in "aeiou")]
+    rows += [("john", "harbourson"), ("john", "harboursen"), ("j", "harbourson"), ("jane", "harbourson")]
+    data = [(i, "person", g, s, g in ("john", "jane")) for i, (g, s) in enumerate(dict.fromkeys(rows))]
+    table = spark.createDataFrame(data, "name_id long, kind string, given string, spelling string, known boolean")
+    want = {(r["a"], r["b"]) for r in family_links(table).collect()}
+    assert len(want) > 50
+    monkeypatch.setattr(names, "COMMON", 3)
+    refined = {(r["a"], r["b"]) for r in family_links(table).collect()}
+    # Refining by the given name parts initials from names they aren't spelled like.
+    assert {(a, b) for a, b in want if data[a][2] == data[b][2] or data[a][3] == data[b][3]} <= refined <= want
+
+
+def test_orders_and_names_off_the_lists(spark):
+    people = [("Mokoena Thandiwe", "a@x.example"), ("Thandiwe Mokoena", "b@y.example"), ("Zhao Lin", None), ("Lin Zhao", "z@q.example"), ("Thandiwe Dube", "c@x.example"), ("Sipho Mokoena", "d@x.example")]
+    by = {r["identity"].split(" <")[0]: r["entity"] for r in name_entities(spark.createDataFrame([(*p, "", "", "") for p in people], SCHEMA)).collect()}
+    assert by["Mokoena Thandiwe"] == by["Thandiwe Mokoena"] and by["Zhao Lin"] == by["Lin Zhao"] and len(set(by.values())) == 4
+
+
+def test_given_names_are_learned(spark):
+    families = ["Adeyemi", "Bhattacharya", "Castellanos", "Drummond", "Eriksen"]
+    people = [(f"{g} {f}", "") for f in families for g in ("Chidinma", "Oluwaseun")] + [("Bhattacharya Chidinma", ""), ("Chidimna Drummond", ""), ("Oluwaseum Eriksen", "")]
+    typed = [(None, None, [], [], *a.lower().split()) for a, _ in people]
+    learned = {r["word"]: r["given"] for r in names.given_names(spark.createDataFrame(typed, names._WORDS)).collect()}
+    assert learned == {"chidinma": "chidinma", "oluwaseun": "oluwaseun", "chidimna": "chidinma", "oluwaseum": "oluwaseun"}
+    by = {r["identity"].split(" <")[0]: r["entity"] for r in name_entities(spark.createDataFrame([(*p, "", "", "") for p in people], SCHEMA)).collect()}
+    assert by["Bhattacharya Chidinma"] == by["Chidinma Bhattacharya"] and by["Chidimna Drummond"] == by["Chidinma Drummond"] and len(set(by.values())) == 10
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
     out = {r["member"]: r["component"] for r in components(links).collect()}
