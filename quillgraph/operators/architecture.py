@@ -192,12 +192,12 @@ def layer_flows(edges: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFra
     return both.groupBy("repository_id", "source_layer", "target_layer").agg(F.count("*").alias("n"))
 
 
-def expected_flows(flows: DataFrame) -> DataFrame:
+def expected_flows(flows: DataFrame, directions: tuple[tuple[str, str], ...] = rules.EXPECTED_FLOWS) -> DataFrame:
     """(repository_id, source_layer, target_layer, forward, reverse, expected) for the directions layers should depend in."""
-    directions = F.broadcast(flows.sparkSession.createDataFrame(list(rules.EXPECTED_FLOWS), "source_layer string, target_layer string"))
+    asked = F.broadcast(flows.sparkSession.createDataFrame(list(directions), "source_layer string, target_layer string"))
     keys = ["repository_id", "source_layer", "target_layer"]
-    forward = flows.join(directions, ["source_layer", "target_layer"]).withColumnRenamed("n", "forward")
-    turned = flows.toDF("repository_id", "target_layer", "source_layer", "reverse").join(directions, ["source_layer", "target_layer"])
+    forward = flows.join(asked, ["source_layer", "target_layer"]).withColumnRenamed("n", "forward")
+    turned = flows.toDF("repository_id", "target_layer", "source_layer", "reverse").join(asked, ["source_layer", "target_layer"])
     both = forward.join(turned, keys, "full").select(*keys, F.coalesce("forward", F.lit(0)).alias("forward"), F.coalesce("reverse", F.lit(0)).alias("reverse"))
     return both.withColumn("expected", F.col("forward") >= F.col("reverse"))
 
@@ -231,3 +231,10 @@ def architecture_rows(found: DataFrame, shapes: DataFrame, parts: DataFrame) ->
         .unionByName(shapes.select("repository_id", F.lit("pattern").alias("layer"), "pattern", text("confidence").alias("description")))
         .unionByName(parts.select("repository_id", F.lit("domain").alias("layer"), F.col("domain").alias("pattern"), text("confidence").alias("description")))
     )
+
+
+def stored_architecture(rows: DataFrame, tag: str) -> DataFrame:
+    """(repository_id, name, confidence) read back from ``architecture_rows``: of its 'layer', 'pattern' or 'domain' rows."""
+    own = F.col("layer") == tag if tag != "layer" else ~F.col("layer").isin("pattern", "domain")
+    name = F.col("layer") if tag == "layer" else F.col("pattern")
+    return rows.where(own).select("repository_id", name.alias("name"), F.regexp_extract("description", r"confidence ([\d.]+)", 1).cast("double").alias("confidence"))

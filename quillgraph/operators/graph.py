@@ -8,7 +8,7 @@ more than a level.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import parent_directory
@@ -59,6 +59,8 @@ def impact(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) ->
     incoming = edges.where(F.col("source_node_id").isNotNull()).select(
         F.col("target_node_id").alias("t"), F.col("source_node_id").alias("dependent"), F.col("edge_type").alias("via_edge")
     )
+    # Read at every level: each (target, source, type) once.
+    incoming = cut(incoming.distinct())
     frontier = cut(starts.select("id").distinct())
     seen: DataFrame | None = None
     level = 0
@@ -125,30 +127,30 @@ def expand_node(edges: DataFrame, node_id: int, repository_id: int | None = None
     return edges.sparkSession.createDataFrame([(node_id,)], "id long").unionByName(near)
 
 
-def hub_nodes(nodes: DataFrame, edges: DataFrame, repository_id: int, limit: int = 80, offset: int = 0, directory: str | None = None) -> DataFrame:
-    """(id, stage): hubs (0), their neighbours (1) and nodes of the next degrees (2), ``limit`` in all.
+def hub_nodes(nodes: DataFrame, edges: DataFrame, repository_id: int | None = None, limit: int = 80, offset: int = 0, directory: str | None = None) -> DataFrame:
+    """(repository_id, id, stage) of every repository, or of one: hubs (0), their neighbours (1) and nodes of the next degrees (2), ``limit`` in all.
 
     Hubs are the ``max(5, limit // 8)`` nodes of greatest degree from
     ``offset`` on, below ``directory`` where one is given; their neighbours
     need not lie there.
     """
-    nodes = nodes.where(F.col("repository_id") == repository_id)
-    edges = edges.where(F.col("repository_id") == repository_id)
+    if repository_id is not None:
+        nodes, edges = (t.where(F.col("repository_id") == repository_id) for t in (nodes, edges))
     chosen = nodes if directory is None else nodes.where(F.col("file_path").ilike(directory.replace("\\", "\\\\") + "%"))
-    ranked = cut(degree(chosen, edges))
-    hubs = ranked.orderBy(F.desc("degree"), "id").offset(offset).limit(max(5, limit // 8)).select("id")
-    hubs = cut(hubs.limit(limit))
-    links = both_ways(edges)
-    around = links.join(F.broadcast(hubs), links["a"] == hubs["id"]).select(F.col("b").alias("id")).distinct()
-    around = around.join(hubs, "id", "left_anti").join(nodes.select("id"), "id", "left_semi").orderBy("id").limit(limit)
-    fill = ranked.orderBy(F.desc("degree"), "id").limit(3 * limit + offset)
-    staged = (
-        hubs.join(ranked, "id").select("id", F.lit(0).alias("stage"), (-F.col("degree")).alias("o"))
-        .unionByName(around.select("id", F.lit(1).alias("stage"), F.lit(0).alias("o")))
-        .unionByName(fill.select("id", F.lit(2).alias("stage"), (-F.col("degree")).alias("o")))
-    )
-    first = staged.groupBy("id").agg(F.min(F.struct("stage", "o")).alias("s"))
-    return first.select("id", F.col("s.stage").alias("stage"), F.col("s.o").alias("o")).orderBy("stage", "o", "id").limit(limit).drop("o")
+    by_degree = Window.partitionBy("repository_id").orderBy(F.desc("degree"), "id")
+    ranked = degree(chosen, edges).join(nodes.select("id", "repository_id"), "id").withColumn("r", F.row_number().over(by_degree))
+    ranked = cut(ranked.where(F.col("r") <= 3 * limit + offset))
+    # A few rows a repository.
+    hubs = ranked.where((F.col("r") > offset) & (F.col("r") <= offset + min(limit, max(5, limit // 8))))
+    hub = hubs.select("repository_id", F.col("id").alias("a"))
+    around = both_ways(edges).join(hub, "a").select("repository_id", F.col("b").alias("id")).distinct()
+    around = around.join(hubs.select("id"), "id", "left_anti").join(nodes.select("id", "repository_id"), ["id", "repository_id"], "left_semi")
+    near = around.withColumn("r", F.row_number().over(Window.partitionBy("repository_id").orderBy("id"))).where(F.col("r") <= limit)
+    stage = lambda rows, n, order: rows.select("repository_id", "id", F.lit(n).alias("stage"), order.alias("o"))
+    staged = stage(hubs, 0, -F.col("degree")).unionByName(stage(near, 1, F.lit(0).cast("long"))).unionByName(stage(ranked, 2, -F.col("degree")))
+    first = staged.groupBy("repository_id", "id").agg(F.min(F.struct("stage", "o")).alias("s"))
+    order = Window.partitionBy("repository_id").orderBy("s.stage", "s.o", "id")
+    return first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).select("repository_id", "id", F.col("s.stage").alias("stage"))
 
 
 def induced_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -169,3 +171,47 @@ def union_pages(*pages: DataFrame, keys: list[str]) -> DataFrame:
     for page in pages[1:]:
         out = out.unionByName(page)
     return out.dropDuplicates(keys)
+
+
+def graph_page(nodes: DataFrame, edges: DataFrame, repository_id: int, page: int = 0, limit: int = 80, node_type: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all pages up to ``page``: the hubs go on where those of the page before end.
+
+    A type filter applies after the pages are drawn; edges have both ends among
+    what is left.  Nodes and edges come once.
+    """
+    step = min(limit, max(5, limit // 8))
+    pages = [hub_nodes(nodes, edges, repository_id, limit, offset=i * step) for i in range(page + 1)]
+    ids = union_pages(*pages, keys=["id"]).select("id")
+    shown = nodes.join(ids, "id", "left_semi")
+    if node_type is not None:
+        shown = shown.where(F.col("node_type") == node_type)
+    return shown, union_pages(induced_edges(edges, shown.select("id")), keys=["source_node_id", "target_node_id", "edge_type"])
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame, repository_id: int | None = None, limit: int = 80) -> DataFrame:
+    """(repository_id, graph_json) of every repository, or of one: its hubs and what is around, and the totals of the whole.
+
+    The object has nodes by id, the edges between them, the numbers of all
+    nodes and edges, nodes by type and by directory.
+    """
+    if repository_id is not None:
+        nodes, edges = (t.where(F.col("repository_id") == repository_id) for t in (nodes, edges))
+    drawn = hub_nodes(nodes, edges, None, limit)
+    shown = nodes.join(drawn.select("id"), "id", "left_semi")
+    key = ["repository_id"]
+    listed = lambda rows, name, *columns: rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    inside = induced_edges(edges, drawn.select("id")).join(shown.select(F.col("id").alias("source_node_id"), "repository_id"), "source_node_id")
+    types = nodes.groupBy(*key, "node_type").agg(F.count("*").alias("n"))
+    folders = nodes.where(F.col("file_path").isNotNull()).groupBy(*key, parent_directory("file_path").alias("directory")).agg(F.count("*").alias("n"))
+    parts = [
+        nodes.groupBy(*key).agg(F.count("*").alias("total_nodes")),
+        edges.groupBy(*key).agg(F.count("*").alias("total_edges")),
+        listed(shown, "nodes", "id", "node_type", "name", "file_path"),
+        listed(inside, "edges", "id", "source_node_id", "target_node_id", "edge_type"),
+        listed(types, "node_types", "node_type", "n"),
+        listed(folders, "directories", "directory", "n"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, key, "left")
+    return out.select("repository_id", F.to_json(F.struct(*[c for c in out.columns if c != "repository_id"])).alias("graph_json"))

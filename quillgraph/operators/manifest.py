@@ -111,3 +111,26 @@ def manifests(files: DataFrame) -> DataFrame:
     for part in (languages, prints, named(package_managers(files), "package_managers"), named(build_systems(files), "build_systems"), monorepos(files).withColumnRenamed("tool", "monorepo_tool"), directory_count(files).withColumnRenamed("directories", "total_dirs")):
         out = out.join(part, key, "left")
     return out.select("repository_id", F.to_json(F.struct(*[c for c in out.columns if c != "repository_id"])).alias("manifest_json"))
+
+
+def manifest_facts(files: DataFrame) -> DataFrame:
+    """(repository_id, fact, name, value): what ``manifests`` tells, a row a fact.
+
+    The value of an indicator is its place in the list, of a framework its
+    confidence, else a count.
+    """
+    fact = lambda rows, kind, name, value: rows.select("repository_id", F.lit(kind).alias("fact"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    none = F.lit(None)
+    parts = [
+        fact(language_counts(files), "language", F.col("language"), F.col("files")),
+        fact(package_managers(files), "package manager", F.col("name"), F.col("ordinal")),
+        fact(build_systems(files), "build system", F.col("name"), F.col("ordinal")),
+        fact(monorepos(files), "monorepo", F.col("tool"), none),
+        fact(fingerprints(files), "framework", F.col("framework"), F.col("confidence")),
+        fact(files.groupBy("repository_id").agg(F.count("*").alias("n")), "files", none, F.col("n")),
+        fact(directory_count(files), "directories", none, F.col("directories")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

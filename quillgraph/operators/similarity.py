@@ -8,6 +8,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,27 +79,85 @@ def encode_nodes(nodes: DataFrame, encoder: Encoder, batch: int = 256) -> DataFr
     return node_text(nodes).mapInPandas(run, "node_id long, model string, vector array<float>")
 
 
+def vector_norms(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with their norms, to be kept beside them: a query then computes dot products only."""
+
+    @F.pandas_udf("double")
+    def norm(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda v: float(np.linalg.norm(np.asarray(v, np.float64))), na_action="ignore")
+
+    return vectors.withColumn("norm", norm("vector"))
+
+
 def similar_to(vectors: DataFrame, query: list[float], model: str, k: int = 10, exclude: int | None = None) -> DataFrame:
     """(node_id, score): exact cosine to one vector, best first, four decimals.
 
-    Null, all-zero and shorter or longer vectors take no part, a node's best
-    vector counts, and a query without length has no result.
+    Null, all-zero and shorter or longer vectors and such with null elements
+    take no part, a node's best vector counts, and a query without length has
+    no result.  Every task scores its vectors in batches, one matrix product
+    each, and lets out its best only.  A column ``norm`` is used where there is one.
     """
-    norm = float(np.linalg.norm(np.asarray(query, float)))
+    asked = np.asarray(query, np.float64)
+    length = float(np.linalg.norm(asked))
     rows = vectors.where((F.col("model") == model) & (F.size("vector") == len(query)))
     if exclude is not None:
         rows = rows.where(F.col("node_id") != exclude)
-    if not norm:
+    if not length:
         rows = rows.limit(0)
-    asked = F.array(*(F.lit(float(x)) for x in query))
-    add = lambda s, x: s + x
-    dot = F.aggregate(F.zip_with("vector", asked, lambda a, b: a.cast("double") * b), F.lit(0.0), add)
-    size = F.sqrt(F.aggregate(F.transform("vector", lambda a: a.cast("double") * a.cast("double")), F.lit(0.0), add))
-    scored = rows.withColumn("_n", size).where("_n > 0").select("node_id", F.round(dot / (F.col("_n") * (norm or 1.0)), 4).alias("score"))
-    return scored.groupBy("node_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
+    given = "norm" in vectors.columns
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, float] = {}
+        for batch in batches:
+            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            x = flat.reshape(len(batch.column("vector")), -1)
+            norms = batch.column("norm").to_numpy(zero_copy_only=False) if given else np.sqrt(np.einsum("ij,ij->i", x, x))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = (x @ asked) / (norms * length)
+            ids = batch.column("node_id").to_numpy(zero_copy_only=False)
+            ok = np.flatnonzero((norms > 0) & np.isfinite(scores))
+            # Rounded scores tie; the least ids of the worst one kept stay in.
+            rounded = np.round(scores[ok], 4)
+            order = np.lexsort((ids[ok], -rounded))
+            taken: set[int] = set()
+            for j in order:
+                node = int(ids[ok[j]])
+                best[node] = max(best.get(node, -2.0), float(scores[ok[j]]))
+                taken.add(node)
+                if len(taken) >= k:
+                    break
+        top = sorted(best.items(), key=lambda x: (-round(x[1], 4), x[0]))[:k]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in top], pa.int64()), pa.array([s for _, s in top], pa.float64())], ["node_id", "raw"])
+
+    columns = ["node_id", "vector", *(["norm"] if given else [])]
+    scored = rows.where(F.col("node_id").isNotNull()).select(*columns).mapInArrow(score, "node_id long, raw double")
+    return scored.groupBy("node_id").agg(F.round(F.max("raw"), 4).alias("score")).orderBy(F.desc("score"), "node_id").limit(k)
 
 
 def similar_to_node(vectors: DataFrame, node_id: int, model: str, k: int = 10) -> DataFrame:
     """The nodes most similar to a node, itself excluded; no row where it has no vector."""
     own = vectors.where((F.col("node_id") == node_id) & (F.col("model") == model) & F.col("vector").isNotNull()).select("vector").first()
     return similar_to(vectors, own["vector"] if own else [], model, k, node_id)
+
+
+def named_matches(found: DataFrame, nodes: DataFrame, repositories: DataFrame) -> DataFrame:
+    """(node_id, score, node_type, name, file_path, repository) of the nodes found, best first."""
+    ids = nodes.select(F.col("id").alias("node_id"), "node_type", "name", "file_path", "repository_id")
+    homes = repositories.select(F.col("id").alias("repository_id"), F.col("name").alias("repository"))
+    return found.join(ids, "node_id").join(homes, "repository_id", "left").select("node_id", "score", "node_type", "name", "file_path", "repository").orderBy(F.desc("score"), "node_id")
+
+
+def semantic_search(tables: dict[str, DataFrame], query: str, encoder: Encoder, k: int = 10) -> DataFrame:
+    """The nodes most similar to a query, with names and repositories.
+
+    A query that names a node is answered from its vector; any other, and a
+    node without one, is encoded.
+    """
+    nodes, vectors = tables["nodes"], tables["node_vectors"]
+    exact = nodes.where((F.col("name") == query) | (F.col("file_path") == query)).orderBy("id").select("id").first()
+    found = None
+    if exact is not None and not vectors.where((F.col("node_id") == exact["id"]) & (F.col("model") == encoder.model) & F.col("vector").isNotNull()).isEmpty():
+        found = similar_to_node(vectors, exact["id"], encoder.model, k)
+    if found is None:
+        found = similar_to(vectors, [float(x) for x in encoder.encode([query])[0]], encoder.model, k)
+    return named_matches(found, nodes, tables["repositories"])

@@ -55,7 +55,7 @@ def store_info(**tables: DataFrame) -> DataFrame:
 
 
 def file_sections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repository_id, file_path, section, items) of every file node.
+    """(repository_id, file_path, section, item) of every file node, the item a node's id, or an edge's for calls.
 
     Sections: entities defined or declared in the file, imports of it and
     importers of it, calls that touch it, and what its entities inherit.
@@ -78,7 +78,7 @@ def file_sections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for p in parts[1:]:
         rows = rows.unionByName(p)
     paths = files.select("repository_id", "file_path").distinct()
-    return rows.distinct().groupBy("repository_id", "file_path", "section").agg(F.count("*").alias("items")).join(paths, ["repository_id", "file_path"], "left_semi")
+    return rows.distinct().join(paths, ["repository_id", "file_path"], "left_semi")
 
 
 def file_entities(nodes: DataFrame, edges: DataFrame, path: str, names: int = 15) -> DataFrame:
@@ -89,3 +89,38 @@ def file_entities(nodes: DataFrame, edges: DataFrame, path: str, names: int = 15
     order = Window.partitionBy("node_type").orderBy("name", "id")
     kept = entities.withColumn("r", F.row_number().over(order)).where(F.col("r") <= names)
     return kept.groupBy("node_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda s: s["name"]), ", ").alias("names"))
+
+
+def repository_summary(repositories: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repository_id, name, path, nodes, edges, section, rank, item, n) of every repository: its types of nodes and edges, largest files and classes.
+
+    Of types the 8 and 6 most frequent; a repository without nodes has one row
+    with a null section.
+    """
+    ranked = lambda rows, k: rows.withColumn("rank", F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc("n"), F.col("item").asc_nulls_first()))).where(F.col("rank") <= k)
+    part = lambda rows, name: rows.select("repository_id", F.lit(name).alias("section"), "rank", "item", "n")
+    kinds = type_counts(nodes, "node_type").withColumnRenamed("node_type", "item")
+    links = type_counts(edges, "edge_type").withColumnRenamed("edge_type", "item")
+    files = top_files(nodes).select("repository_id", "rank", F.col("file_path").alias("item"), F.col("entities").alias("n"))
+    classes = top_classes(nodes, edges).select("repository_id", "rank", F.col("name").alias("item"), F.col("methods").alias("n"))
+    sections = part(ranked(kinds, 8), "node types").unionByName(part(ranked(links, 6), "edge types")).unionByName(part(files, "largest files")).unionByName(part(classes, "largest classes"))
+    sizes = repositories.select(F.col("id").alias("repository_id"), "name", "path")
+    for name, table in (("nodes", nodes), ("edges", edges)):
+        counts = table.groupBy("repository_id").agg(F.count("*").alias(name))
+        sizes = sizes.join(counts, "repository_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return sizes.join(sections, "repository_id", "left")
+
+
+def find_repository(repositories: DataFrame, nodes: DataFrame, name: str | None = None, folder: str | None = None) -> DataFrame:
+    """(id): the repository of a name or path, else the innermost one that holds a folder, else the one with most nodes; ties by id."""
+    if name is not None:
+        named = repositories.where((F.col("path") == name) | (F.col("name") == name)).orderBy((F.col("path") == name).desc(), "id").limit(1)
+        if not named.isEmpty():
+            return named.select("id")
+    if folder is not None:
+        inside = F.lit(folder.rstrip("/") + "/").startswith(F.concat(F.rtrim("path", F.lit("/")), F.lit("/")))
+        holding = repositories.where(F.col("path").isNotNull() & inside).orderBy(F.length("path").desc(), "id").limit(1)
+        if not holding.isEmpty():
+            return holding.select("id")
+    counts = nodes.groupBy(F.col("repository_id").alias("id")).agg(F.count("*").alias("n"))
+    return repositories.select("id").join(counts, "id", "left").orderBy(F.col("n").desc_nulls_last(), "id").limit(1).select("id")

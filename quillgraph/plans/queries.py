@@ -117,13 +117,13 @@ WHERE p IS NOT NULL ORDER BY p, coalesce(node_type = 'file', false) DESC, id LIM
 # ---------------------------------------------------------------- traversal
 
 
-def _busiest(spark: SparkSession, root: str, repository_id: int = 2) -> DataFrame:
-    """The node of a repository with most incoming edges."""
-    edges = load(spark, root, "edges").where(F.col("repository_id") == repository_id)
+def _busiest(spark: SparkSession, root: str) -> DataFrame:
+    """The node with most incoming edges."""
+    edges = load(spark, root, "edges").where(F.col("target_node_id").isNotNull())
     return edges.groupBy(F.col("target_node_id").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1).select("id")
 
 
-_BUSIEST = "(SELECT target_node_id AS id FROM edges WHERE repository_id = 2 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+_BUSIEST = "(SELECT target_node_id AS id FROM edges WHERE target_node_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
 
 
 @query
@@ -144,8 +144,9 @@ def impact_closure(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def shortest_path(spark: SparkSession, root: str) -> DataFrame:
-    ends = load(spark, root, "nodes").where(F.col("repository_id") == 2).agg(F.min("id"), F.max("id")).first()
-    return graph.shortest_path(load(spark, root, "edges"), ends[0], ends[1], 8).agg(F.count("*").alias("nodes_on_path"))
+    links = load(spark, root, "edges").where("source_node_id <> target_node_id")
+    start = links.groupBy(F.col("source_node_id").alias("id")).agg(F.count("*").alias("n")).orderBy("n", "id").first()["id"]
+    return graph.shortest_path(load(spark, root, "edges"), start, _busiest(spark, root).first()["id"], 12)
 
 
 _BALL = """
@@ -169,9 +170,14 @@ froms AS (SELECT * FROM first UNION ALL SELECT * FROM seed)
 SELECT DISTINCT f.level::INT AS level, f.id, up.via_edge
 FROM first f JOIN up ON up.id = f.id JOIN froms g ON g.id = up.t AND g.level = f.level - 1
 """.format(start=_BUSIEST)
+_FROM = "(SELECT source_node_id AS id FROM edges WHERE source_node_id <> target_node_id GROUP BY 1 ORDER BY count(*), 1 LIMIT 1)"
 SQL["shortest_path"] = (
-    _BALL.format(starts="(SELECT min(id) AS id FROM nodes WHERE repository_id = 2)", depth=8)
-    + "SELECT coalesce(min(depth) + 1, 0)::BIGINT AS nodes_on_path FROM ball WHERE id = (SELECT max(id) FROM nodes WHERE repository_id = 2)"
+    _BALL.format(starts=_FROM, depth=12)
+    + f""", far AS (SELECT id, min(depth) AS depth FROM ball GROUP BY id),
+up AS (SELECT l.b AS id, min(l.a) AS parent FROM links l JOIN far x ON x.id = l.b JOIN far y ON y.id = l.a AND y.depth = x.depth - 1 GROUP BY 1),
+back(depth, id) AS (SELECT depth, id FROM far WHERE id = (SELECT id FROM {_BUSIEST})
+  UNION ALL SELECT back.depth - 1, up.parent FROM back JOIN up ON up.id = back.id)
+SELECT depth::INT AS depth, id FROM back"""
 )
 
 
@@ -182,17 +188,17 @@ def node_degree(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def expand_node(spark: SparkSession, root: str) -> DataFrame:
-    return graph.expand_node(load(spark, root, "edges"), _busiest(spark, root).first()["id"], 2)
+    return graph.expand_node(load(spark, root, "edges"), _busiest(spark, root).first()["id"])
 
 
 @query
 def hub_nodes(spark: SparkSession, root: str) -> DataFrame:
-    return graph.hub_nodes(load(spark, root, "nodes"), load(spark, root, "edges"), 2)
+    return graph.hub_nodes(load(spark, root, "nodes"), load(spark, root, "edges"))
 
 
 @query
 def induced_subgraph(spark: SparkSession, root: str) -> DataFrame:
-    hubs = graph.hub_nodes(load(spark, root, "nodes"), load(spark, root, "edges"), 2)
+    hubs = graph.hub_nodes(load(spark, root, "nodes"), load(spark, root, "edges"))
     return graph.induced_edges(load(spark, root, "edges"), hubs)
 
 
@@ -213,25 +219,25 @@ deg AS (SELECT n.id, n.repository_id, count(e.id) AS degree FROM nodes n LEFT JO
 """
 _HUBS = f"""
 {_DEGREE},
-ranked AS (SELECT id, degree FROM deg WHERE repository_id = 2 ORDER BY degree DESC, id),
-hubs AS (SELECT id, degree FROM ranked ORDER BY degree DESC, id LIMIT 10),
-around AS (SELECT DISTINCT CASE WHEN source_node_id IN (SELECT id FROM hubs) THEN target_node_id ELSE source_node_id END AS id
-  FROM (SELECT source_node_id, target_node_id FROM edges WHERE repository_id = 2
-        UNION ALL SELECT target_node_id, source_node_id FROM edges WHERE repository_id = 2)
-  WHERE source_node_id IN (SELECT id FROM hubs)),
-near AS (SELECT id FROM around WHERE id NOT IN (SELECT id FROM hubs) ORDER BY id LIMIT 80),
-staged AS (SELECT id, 0 AS stage, -degree AS o FROM hubs UNION ALL SELECT id, 1, 0 FROM near
-  UNION ALL SELECT * FROM (SELECT id, 2, -degree FROM ranked ORDER BY degree DESC, id LIMIT 240)),
-hub_set AS (SELECT id, min(stage) AS stage, arg_min(o, stage) AS o FROM staged GROUP BY id ORDER BY 2, 3, 1 LIMIT 80)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY degree DESC, id) AS r FROM deg),
+hubs AS (SELECT * FROM ranked WHERE r <= 10),
+around AS (SELECT DISTINCT h.repository_id, l.b AS id FROM hubs h JOIN (
+    SELECT source_node_id AS a, target_node_id AS b FROM edges UNION ALL SELECT target_node_id, source_node_id FROM edges) l ON l.a = h.id
+  JOIN nodes n ON n.id = l.b AND n.repository_id = h.repository_id WHERE l.b NOT IN (SELECT id FROM hubs)),
+near AS (SELECT repository_id, id, row_number() OVER (PARTITION BY repository_id ORDER BY id) AS r FROM around),
+staged AS (SELECT repository_id, id, 0 AS stage, -degree AS o FROM hubs UNION ALL SELECT repository_id, id, 1, 0 FROM near WHERE r <= 80
+  UNION ALL SELECT repository_id, id, 2, -degree FROM ranked WHERE r <= 240),
+first AS (SELECT repository_id, id, min(stage) AS stage, arg_min(o, stage) AS o FROM staged GROUP BY 1, 2),
+hub_set AS (SELECT repository_id, id, stage FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY stage, o, id) AS k FROM first) WHERE k <= 80)
 """
 SQL["node_degree"] = f"WITH {_DEGREE} SELECT id, degree FROM deg"
 SQL["expand_node"] = f"""
 WITH s AS (SELECT id FROM {_BUSIEST}),
 o AS (SELECT DISTINCT CASE WHEN source_node_id = s.id THEN target_node_id ELSE source_node_id END AS id
-  FROM edges, s WHERE repository_id = 2 AND (source_node_id = s.id OR target_node_id = s.id))
+  FROM edges, s WHERE source_node_id = s.id OR target_node_id = s.id)
 SELECT id FROM s UNION ALL SELECT id FROM (SELECT id FROM o WHERE id NOT IN (SELECT id FROM s) ORDER BY id LIMIT 79)
 """
-SQL["hub_nodes"] = f"WITH {_HUBS} SELECT id, stage::INT AS stage FROM hub_set"
+SQL["hub_nodes"] = f"WITH {_HUBS} SELECT repository_id, id, stage::INT AS stage FROM hub_set"
 SQL["induced_subgraph"] = f"""
 WITH {_HUBS} SELECT id, source_node_id, target_node_id, edge_type FROM edges
 WHERE source_node_id IN (SELECT id FROM hub_set) AND target_node_id IN (SELECT id FROM hub_set)
@@ -285,6 +291,16 @@ def file_summary(spark: SparkSession, root: str) -> DataFrame:
     return summary.file_sections(load(spark, root, "nodes"), load(spark, root, "edges"))
 
 
+@query
+def repository_summary(spark: SparkSession, root: str) -> DataFrame:
+    return summary.repository_summary(*(load(spark, root, t) for t in ("repositories", "nodes", "edges")))
+
+
+@query
+def graph_json(spark: SparkSession, root: str) -> DataFrame:
+    return graph.graph_json(load(spark, root, "nodes"), load(spark, root, "edges"))
+
+
 SQL["node_type_counts"] = "SELECT repository_id, node_type, count(*) AS n FROM nodes GROUP BY 1, 2"
 SQL["edge_type_counts"] = "SELECT repository_id, edge_type, count(*) AS n FROM edges GROUP BY 1, 2"
 SQL["top_files"] = """
@@ -316,7 +332,21 @@ rows_ AS (
   UNION SELECT repository_id, tp, 'calls', eid FROM full_e WHERE edge_type = 'CALLS'
   UNION SELECT repository_id, sp, 'inherits', tid FROM full_e WHERE edge_type IN ('INHERITS', 'IMPLEMENTS')),
 files AS (SELECT DISTINCT repository_id, file_path FROM nodes WHERE node_type = 'file' AND file_path IS NOT NULL)
-SELECT repository_id, file_path, section, count(*) AS items FROM rows_ JOIN files USING (repository_id, file_path) GROUP BY 1, 2, 3
+SELECT repository_id, file_path, section, item FROM rows_ JOIN files USING (repository_id, file_path)
+"""
+
+
+SQL["repository_summary"] = f"""
+WITH parts AS (
+  SELECT repository_id, 'node types' AS section, rank, item, n FROM (SELECT repository_id, node_type AS item, count(*) AS n,
+    row_number() OVER (PARTITION BY repository_id ORDER BY count(*) DESC, node_type NULLS FIRST) AS rank FROM nodes GROUP BY 1, 2) WHERE rank <= 8
+  UNION ALL SELECT repository_id, 'edge types', rank, item, n FROM (SELECT repository_id, edge_type AS item, count(*) AS n,
+    row_number() OVER (PARTITION BY repository_id ORDER BY count(*) DESC, edge_type NULLS FIRST) AS rank FROM edges GROUP BY 1, 2) WHERE rank <= 6
+  UNION ALL SELECT repository_id, 'largest files', rank, file_path, entities FROM ({SQL["top_files"]})
+  UNION ALL SELECT repository_id, 'largest classes', rank, name, methods FROM ({SQL["top_classes"]}))
+SELECT r.id AS repository_id, r.name, r.path, (SELECT count(*) FROM nodes n WHERE n.repository_id = r.id) AS nodes,
+  (SELECT count(*) FROM edges e WHERE e.repository_id = r.id) AS edges, section, rank::INT AS rank, item, n
+FROM repositories r LEFT JOIN parts p ON p.repository_id = r.id
 """
 
 
@@ -411,7 +441,9 @@ def framework_scores(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def framework_patterns(spark: SparkSession, root: str) -> DataFrame:
-    known = architecture.frameworks(load(spark, root, "repositories"), load(spark, root, "nodes"))
+    # How well each repository fits the pattern of every framework of the catalog.
+    every = F.explode(F.array(*(F.lit(f) for f, *_ in rules.FRAMEWORK_PATTERNS)))
+    known = load(spark, root, "repositories").select(F.col("id").alias("repository_id"), every.alias("framework"), F.lit(1.0).alias("confidence"))
     return architecture.framework_patterns(_layers(spark, root), known)
 
 
@@ -425,10 +457,14 @@ def flow_matrix(spark: SparkSession, root: str) -> DataFrame:
     return architecture.layer_flows(load(spark, root, "edges"), load(spark, root, "nodes"), _layers(spark, root))
 
 
+#: Directions asked for: those expected of any repository, and tests' and controllers' towards what they use.
+DIRECTIONS = (*rules.EXPECTED_FLOWS, ("testing", "infrastructure"), ("testing", "controller"), ("controller", "infrastructure"), ("testing", "presentation"))
+
+
 @query
 def flow_directions(spark: SparkSession, root: str) -> DataFrame:
     flows = architecture.layer_flows(load(spark, root, "edges"), load(spark, root, "nodes"), _layers(spark, root))
-    return architecture.expected_flows(cut(flows))
+    return architecture.expected_flows(cut(flows), DIRECTIONS)
 
 
 @query
@@ -494,13 +530,32 @@ flows AS (SELECT s.repository_id, s.layer AS source_layer, t.layer AS target_lay
 """
 SQL["file_layers"] = f"WITH {_FILE_LAYERS} SELECT repository_id, file_path, layer FROM best"
 SQL["flow_matrix"] = f"WITH {_FILE_LAYERS} SELECT * FROM flows"
-_DIRECTIONS = ", ".join(f"('{a}', '{b}')" for a, b in rules.EXPECTED_FLOWS)
+_DIRECTIONS = ", ".join(f"('{a}', '{b}')" for a, b in DIRECTIONS)
 SQL["flow_directions"] = f"""
 WITH {_FILE_LAYERS}, d(source_layer, target_layer) AS (VALUES {_DIRECTIONS}),
 x AS (SELECT repository_id, source_layer, target_layer, n AS forward, 0 AS reverse FROM flows JOIN d USING (source_layer, target_layer)
   UNION ALL SELECT repository_id, d.source_layer, d.target_layer, 0, n FROM flows JOIN d ON flows.source_layer = d.target_layer AND flows.target_layer = d.source_layer)
 SELECT repository_id, source_layer, target_layer, sum(forward)::BIGINT AS forward, sum(reverse)::BIGINT AS reverse, sum(forward) >= sum(reverse) AS expected FROM x GROUP BY 1, 2, 3
 """
+_FRAMEWORK_VALUES = ", ".join(f"('{f}', {'NULL' if c is None else c}::DOUBLE, '{layer}', {len(ls)})" for f, c, *ls in rules.FRAMEWORK_PATTERNS for layer in ls)
+SQL["framework_patterns"] = f"""
+WITH {_EVIDENCE}, asked(framework, fixed, layer, n) AS (VALUES {_FRAMEWORK_VALUES})
+SELECT repository_id, framework, coalesce(fixed, round(sum(confidence) / n::DOUBLE, 2)) AS confidence FROM layers JOIN asked USING (layer)
+WHERE repository_id IN (SELECT id FROM repositories) GROUP BY repository_id, framework, fixed, n
+"""
+_segments = ", ".join(f"('{f}', '{h}', {w}::DOUBLE)" for f, h, w in rules.FRAMEWORK_SEGMENTS)
+_hints = ", ".join(f"('{f}', '{h}', {w}::DOUBLE)" for f, h, w in rules.FRAMEWORK_FILES)
+SQL["framework_scores"] = f"""
+WITH seg(framework, hint, w) AS (VALUES {_segments}), hint(framework, hint, w) AS (VALUES {_hints}),
+j AS (SELECT id AS repository_id, unnest(from_json(manifest_json::JSON -> '$.frameworks', '[{{"name":"VARCHAR","confidence":"DOUBLE"}}]')) AS f FROM repositories WHERE json_valid(manifest_json)),
+stated AS (SELECT repository_id, regexp_replace(lower(f.name), '[ -]', '_', 'g') AS framework, f.confidence AS confidence FROM j WHERE f.name <> ''),
+guess AS (
+  SELECT DISTINCT n.repository_id, s.framework, s.hint, s.w FROM nodes n JOIN seg s ON contains('/' || lower(n.file_path) || '/', '/' || s.hint || '/') WHERE n.node_type = 'directory'
+  UNION ALL SELECT DISTINCT n.repository_id, h.framework, h.hint, h.w FROM nodes n JOIN hint h ON lower(regexp_extract(n.file_path, '([^/]*)$', 1)) = h.hint
+    WHERE n.node_type = 'file' AND (h.framework <> 'rails' OR n.repository_id IN (SELECT repository_id FROM nodes WHERE node_type = 'file' AND file_path LIKE '%.rb')))
+SELECT repository_id, CASE WHEN framework IN ('ruby_on_rails', 'ruby_rails') THEN 'rails' ELSE framework END AS framework, confidence FROM stated
+UNION ALL SELECT repository_id, framework, round(least(sum(w), 1.0::DOUBLE), 2) FROM guess WHERE repository_id NOT IN (SELECT repository_id FROM stated) GROUP BY 1, 2
+"""
 _NO_DOMAIN = ", ".join(f"'{x}'" for x in architecture.NO_DOMAIN)
 SQL["domain_coverage"] = f"""
 WITH {_FILE_LAYERS},
@@ -518,6 +573,13 @@ SELECT * FROM x WHERE service_files >= 2 OR confidence >= 0.4
 """
 
 
+SQL["architecture_rows"] = f"""
+SELECT repository_id, layer, NULL::VARCHAR AS pattern, printf('confidence %.2f', confidence) AS description FROM ({SQL["layer_confidence"]})
+UNION ALL SELECT repository_id, 'pattern', pattern, printf('confidence %.2f', confidence) FROM ({SQL["pattern_match"]})
+UNION ALL SELECT repository_id, 'domain', domain, printf('confidence %.2f', confidence) FROM ({SQL["domain_coverage"]})
+"""
+
+
 # ---------------------------------------------------------------- manifest and imports
 
 
@@ -545,6 +607,11 @@ def manifest_rows(spark: SparkSession, root: str) -> DataFrame:
     return manifest.manifests(load(spark, root, "source_heads").select("repository_id", "file_path", F.col("head").alias("content")))
 
 
+@query
+def manifest_facts(spark: SparkSession, root: str) -> DataFrame:
+    return manifest.manifest_facts(load(spark, root, "source_heads").select("repository_id", "file_path", F.col("head").alias("content")))
+
+
 @query
 def import_extract(spark: SparkSession, root: str) -> DataFrame:
     return imports.extract_imports(_sources(spark, root)).select("repository_id", "file_path", "line", "target")
@@ -574,6 +641,35 @@ SELECT repository_id, array_to_string(p[k:len(p)], '/') AS suffix, count(*) AS f
 """
 
 
+def _json(text: str) -> str:
+    return text.replace("'", "''")
+
+
+_MANAGERS, _BUILDS, _MONOREPOS = (
+    ", ".join(f"({i}, '{f}', '{n}')" for i, (f, n) in enumerate(table)) for table in (manifest.PACKAGE_MANAGERS, manifest.BUILD_SYSTEMS, manifest.MONOREPOS)
+)
+_CHECKS = " UNION ALL ".join(
+    f"SELECT DISTINCT repository_id, '{f}' AS framework, {i} AS rule, {w}::DOUBLE AS w FROM f WHERE file_path = '{path}'" + ("" if pattern is None else f" AND regexp_matches(content, '{'(?m)' if by_line else ''}{_json(pattern)}')")
+    for i, (f, path, pattern, by_line, w) in enumerate(manifest.FINGERPRINTS)
+)
+SQL["manifest_facts"] = f"""
+WITH f AS (SELECT repository_id, file_path, head AS content FROM source_heads),
+pm(o, path, name) AS (VALUES {_MANAGERS}), bs(o, path, name) AS (VALUES {_BUILDS}), mono(o, path, name) AS (VALUES {_MONOREPOS}),
+checks AS ({_CHECKS}),
+named AS (SELECT repository_id, arg_min(name, o) AS tool FROM f JOIN mono ON path = file_path GROUP BY 1),
+dirs AS (SELECT repository_id, unnest(range(1, len(string_split(file_path, '/')))) AS k, string_split(file_path, '/') AS p FROM f),
+languages AS (SELECT repository_id, {_LANG} AS language, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT repository_id, 'language' AS fact, language AS name, n::DOUBLE AS value FROM languages
+UNION ALL SELECT repository_id, 'package manager', name, o::DOUBLE FROM (SELECT DISTINCT repository_id, file_path FROM f) JOIN pm ON path = file_path
+UNION ALL SELECT repository_id, 'build system', name, o::DOUBLE FROM (SELECT DISTINCT repository_id, file_path FROM f) JOIN bs ON path = file_path
+UNION ALL SELECT repository_id, 'monorepo', tool, NULL FROM named
+UNION ALL SELECT DISTINCT repository_id, 'monorepo', 'npm-workspaces', NULL::DOUBLE FROM f WHERE file_path = 'package.json' AND CASE WHEN json_valid(content) THEN json_extract(content, '$.workspaces') END IS NOT NULL AND repository_id NOT IN (SELECT repository_id FROM named)
+UNION ALL SELECT repository_id, 'framework', framework, round(least(sum(w), 1.0::DOUBLE), 4) FROM checks GROUP BY 1, 3
+UNION ALL SELECT repository_id, 'files', NULL, count(*)::DOUBLE FROM f GROUP BY 1
+UNION ALL SELECT repository_id, 'directories', NULL, count(DISTINCT array_to_string(p[1:k], '/'))::DOUBLE FROM dirs GROUP BY 1
+"""
+
+
 def _import_branch(language: str, pattern: str) -> str:
     names = ", ".join(f"'{x}'" for x in (language, *(k for k, v in imports.SAME.items() if v == language)))
     quoted = pattern.replace("'", "''").replace(r"\"", '"')
@@ -695,32 +791,54 @@ def resolve_names(spark: SparkSession, root: str) -> DataFrame:
     return build.resolve_names(nodes, named.select("repository_id", "source_name", "target_name", "edge_type"), distinct=True)
 
 
+def _deleted(spark: SparkSession, root: str) -> DataFrame:
+    """(repository_id, file_path) of the files that some commit deleted."""
+    commits = load(spark, root, "commits").select(F.col("id").alias("commit_id"), "repository_id")
+    return load(spark, root, "commit_files").where("change_type = 'D' AND file_path IS NOT NULL").join(commits, "commit_id").select("repository_id", "file_path").distinct()
+
+
+def _rows_of(**tables: DataFrame) -> DataFrame:
+    """(table_name, id, other): the keys of the rows of several tables."""
+    out = None
+    for name, table in tables.items():
+        key = next(c for c in ("id", "node_id", "commit_id") if c in table.columns)
+        other = next((F.col(c) for c in ("model", "file_path") if c in table.columns), F.lit(None).cast("string"))
+        rows = table.select(F.lit(name).alias("table_name"), F.col(key).alias("id"), other.alias("other"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def delete_files(spark: SparkSession, root: str) -> DataFrame:
-    nodes = load(spark, root, "nodes")
-    gone = nodes.where((F.col("node_type") == "file") & (F.col("id") % 10 == 0)).select("repository_id", "file_path")
-    kept, edges, vectors = build.without_files(nodes, load(spark, root, "edges"), load(spark, root, "node_vectors"), gone)
-    return summary.store_info(nodes=kept, edges=edges, vectors=vectors)
+    kept, edges, vectors = build.without_files(load(spark, root, "nodes"), load(spark, root, "edges"), load(spark, root, "node_vectors"), _deleted(spark, root))
+    return _rows_of(nodes=kept, edges=edges, vectors=vectors)
 
 
 @query
 def remove_repository(spark: SparkSession, root: str) -> DataFrame:
     names = ("repositories", "nodes", "edges", "node_vectors", "commits", "commit_files", "commit_authors")
-    return summary.store_info(**build.without_repository(2, **{t: load(spark, root, t) for t in names}))
+    return _rows_of(**build.without_repository(2, **{t: load(spark, root, t) for t in names}))
 
 
 @query
 def upsert_repositories(spark: SparkSession, root: str) -> DataFrame:
     old = load(spark, root, "repositories")
-    new = old.where(F.col("id") % 2 == 0).select("path", F.upper("name").alias("name"), F.lit(None).cast("timestamp").alias("indexed_at"), F.lit(None).cast("string").alias("manifest_json"))
+    new = old.where(F.col("indexed_at").isNull()).select("path", F.upper("name").alias("name"), F.lit(None).cast("timestamp").alias("indexed_at"), F.lit(None).cast("string").alias("manifest_json"))
     return build.upsert_repositories(old, new).select("id", "path", "name", "manifest_json")
 
 
 @query
 def orphan_edges(spark: SparkSession, root: str) -> DataFrame:
-    return build.orphans(load(spark, root, "nodes"), load(spark, root, "edges"))
+    nodes = load(spark, root, "nodes")
+    left = nodes.join(_deleted(spark, root), ["repository_id", "file_path"], "left_anti")
+    return build.orphans(left, load(spark, root, "edges"))
 
 
+_GONE = """
+WITH gone AS (SELECT DISTINCT c.repository_id, f.file_path FROM commit_files f JOIN commits c ON c.id = f.commit_id WHERE f.change_type = 'D' AND f.file_path IS NOT NULL),
+dead AS (SELECT id FROM nodes JOIN gone USING (repository_id, file_path)),
+kept AS (SELECT id, file_path FROM nodes WHERE id NOT IN (SELECT id FROM dead))
+"""
 SQL["dedupe_keep_first"] = """
 SELECT id, source_node_id, target_node_id, edge_type FROM (
   SELECT *, row_number() OVER (PARTITION BY source_node_id, target_node_id, edge_type ORDER BY id) AS r FROM edges) WHERE r = 1
@@ -732,23 +850,21 @@ FROM edges e JOIN nodes s ON s.id = e.source_node_id JOIN nodes t ON t.id = e.ta
 JOIN f a ON a.repository_id = e.repository_id AND a.name = s.name JOIN f b ON b.repository_id = e.repository_id AND b.name = t.name
 WHERE e.edge_type IN ('CALLS', 'INHERITS', 'IMPLEMENTS', 'DECORATES') AND a.id <> b.id
 """
-SQL["delete_files"] = """
-WITH gone AS (SELECT DISTINCT repository_id, file_path FROM nodes WHERE node_type = 'file' AND id % 10 = 0),
-dead AS (SELECT id FROM nodes JOIN gone USING (repository_id, file_path))
-SELECT 'nodes' AS table_name, count(*) AS n FROM nodes WHERE id NOT IN (SELECT id FROM dead)
-UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_node_id NOT IN (SELECT id FROM dead) AND target_node_id NOT IN (SELECT id FROM dead)
-UNION ALL SELECT 'vectors', count(*) FROM node_vectors WHERE node_id NOT IN (SELECT id FROM dead)
+SQL["delete_files"] = _GONE + """
+SELECT 'nodes' AS table_name, id, file_path AS other FROM kept
+UNION ALL SELECT 'edges', id, NULL FROM edges WHERE source_node_id NOT IN (SELECT id FROM dead) AND target_node_id NOT IN (SELECT id FROM dead)
+UNION ALL SELECT 'vectors', node_id, model FROM node_vectors WHERE node_id NOT IN (SELECT id FROM dead)
 """
 SQL["remove_repository"] = """
-SELECT 'repositories' AS table_name, count(*) AS n FROM repositories WHERE id <> 2
-UNION ALL SELECT 'nodes', count(*) FROM nodes WHERE repository_id <> 2 UNION ALL SELECT 'edges', count(*) FROM edges WHERE repository_id <> 2
-UNION ALL SELECT 'commits', count(*) FROM commits WHERE repository_id <> 2 UNION ALL SELECT 'commit_authors', count(*) FROM commit_authors WHERE repository_id <> 2
-UNION ALL SELECT 'node_vectors', count(*) FROM node_vectors WHERE node_id NOT IN (SELECT id FROM nodes WHERE repository_id = 2)
-UNION ALL SELECT 'commit_files', count(*) FROM commit_files WHERE commit_id NOT IN (SELECT id FROM commits WHERE repository_id = 2)
+SELECT 'repositories' AS table_name, id, NULL::VARCHAR AS other FROM repositories WHERE id <> 2
+UNION ALL SELECT 'nodes', id, file_path FROM nodes WHERE repository_id <> 2 UNION ALL SELECT 'edges', id, NULL FROM edges WHERE repository_id <> 2
+UNION ALL SELECT 'commits', id, NULL FROM commits WHERE repository_id <> 2 UNION ALL SELECT 'commit_authors', id, NULL FROM commit_authors WHERE repository_id <> 2
+UNION ALL SELECT 'node_vectors', node_id, model FROM node_vectors WHERE node_id NOT IN (SELECT id FROM nodes WHERE repository_id = 2)
+UNION ALL SELECT 'commit_files', commit_id, file_path FROM commit_files WHERE commit_id NOT IN (SELECT id FROM commits WHERE repository_id = 2)
 """
-SQL["upsert_repositories"] = "SELECT id, path, CASE WHEN id % 2 = 0 THEN upper(name) ELSE name END AS name, manifest_json FROM repositories"
-SQL["orphan_edges"] = """
-SELECT id, source_node_id, target_node_id FROM edges WHERE source_node_id NOT IN (SELECT id FROM nodes) OR target_node_id NOT IN (SELECT id FROM nodes)
+SQL["upsert_repositories"] = "SELECT id, path, CASE WHEN indexed_at IS NULL THEN upper(name) ELSE name END AS name, manifest_json FROM repositories"
+SQL["orphan_edges"] = _GONE + """
+SELECT id, source_node_id, target_node_id FROM edges WHERE source_node_id NOT IN (SELECT id FROM kept) OR target_node_id NOT IN (SELECT id FROM kept)
 """
 
 
@@ -763,15 +879,33 @@ def parse_entities(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def parse_errors(spark: SparkSession, root: str) -> DataFrame:
-    return parse.parse_python(_sources(spark, root)).where("error IS NOT NULL").select("repository_id", "file_path")
+    return parse.parse_sources(_sources(spark, root)).where("error IS NOT NULL").select("repository_id", "file_path")
 
 
 @query
 def build_structure(spark: SparkSession, root: str) -> DataFrame:
     sources = _sources(spark, root)
     entities = parse.parse_sources(sources).where("error IS NULL")
-    nodes, _ = build.structure(None, sources.select("repository_id", "file_path"), entities.select("repository_id", "file_path", "ordinal", "parent_ordinal", "kind", "name", "metadata_json"))
-    return nodes.groupBy("node_type").agg(F.count("*").alias("n"))
+    nodes, edges = build.structure(None, sources.select("repository_id", "file_path"), cut(entities.select("repository_id", "file_path", "ordinal", "parent_ordinal", "kind", "name", "metadata_json")))
+    # Every edge with the names of its ends; what has none is a tree's top.
+    ends = nodes.select("id", "node_type", "name", "file_path")
+    above = edges.select("source_node_id", "target_node_id", "edge_type").join(ends.select(F.col("id").alias("source_node_id"), F.col("name").alias("parent"), F.col("node_type").alias("parent_type")), "source_node_id")
+    return nodes.join(above, nodes["id"] == above["target_node_id"], "left").select("repository_id", "node_type", "name", "file_path", "parent_type", "parent", "edge_type")
+
+
+@query
+def tree_structure(spark: SparkSession, root: str) -> DataFrame:
+    """The directories and files of ``build_structure`` only, which SQL can tell."""
+    return build_structure(spark, root).where(F.col("node_type").isin("directory", "file"))
+
+
+SQL["tree_structure"] = """
+WITH f AS (SELECT DISTINCT repository_id, file_path, string_split(file_path, '/') AS p FROM source_heads WHERE file_path IS NOT NULL),
+n AS (SELECT repository_id, p, unnest(range(1, len(p))) AS k FROM f),
+d AS (SELECT DISTINCT repository_id, array_to_string(p[1:k], '/') AS path, p[k] AS name, CASE WHEN k > 1 THEN p[k - 1] END AS parent FROM n)
+SELECT repository_id, 'directory' AS node_type, name, path AS file_path, CASE WHEN parent IS NOT NULL THEN 'directory' END AS parent_type, parent, CASE WHEN parent IS NOT NULL THEN 'CONTAINS' END AS edge_type FROM d
+UNION ALL SELECT repository_id, 'file', file_path, file_path, CASE WHEN len(p) > 1 THEN 'directory' END, CASE WHEN len(p) > 1 THEN p[len(p) - 1] END, CASE WHEN len(p) > 1 THEN 'CONTAINS' END FROM f
+"""
 
 
 @query
