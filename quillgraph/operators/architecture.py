@@ -17,7 +17,7 @@ from quillgraph.operators import rules
 
 def _literals(table: tuple) -> Column:
     """A catalog of (keyword, layer, weight) as an array, so that rules cost no join and no further scan."""
-    return F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(k).alias("keyword"), F.lit(layer).alias("layer"), F.lit(float(w)).alias("weight")) for i, (k, layer, w) in enumerate(table)))
+    return F.expr("array(" + ", ".join(f"named_struct('ordinal', {i}, 'keyword', '{k}', 'layer', '{layer}', 'weight', {float(w)}D)" for i, (k, layer, w) in enumerate(table)) + ")")
 
 
 def _weighted(hits: Column, factor: Callable[[Column], Column], shift: int = 0) -> Column:
@@ -86,15 +86,14 @@ def framework_evidence(nodes: DataFrame, known: DataFrame) -> DataFrame:
     """The hints of frameworks' own files, of applications of Django and of Rails' folders, in repositories that have the framework."""
     rows = nodes.where(F.col("file_path").isNotNull() & F.col("name").isNotNull() & F.col("node_type").isin("file", "directory"))
     last = F.lower(base_name("name"))
-    own = F.array(
-        *(
-            F.struct(
-                F.lit(framework).alias("framework"), F.lit("framework_file").alias("kind"), F.lit(layer).alias("layer"), F.lit(float(w)).alias("weight"), F.lit(i).alias("ordinal"),
-                F.lit(keyword.lower()).alias("whole"), F.lit(keyword.lower().rsplit(".", 1)[0]).alias("stem"),
-            )
+    own = F.expr(
+        "array("
+        + ", ".join(
+            f"named_struct('framework', '{framework}', 'kind', 'framework_file', 'layer', '{layer}', 'weight', {float(w)}D, 'ordinal', {i}, 'whole', '{keyword.lower()}', 'stem', '{keyword.lower().rsplit('.', 1)[0]}')"
             for i, (framework, keyword, layer, w) in enumerate(rules.FRAMEWORK_FILE_RULES)
         )
-    )
+        + ")"
+    )
     hint = lambda framework, kind, layer, weight: F.struct(F.lit(framework).alias("framework"), F.lit(kind).alias("kind"), F.lit(layer).alias("layer"), F.lit(weight).alias("weight"), F.lit(0).alias("ordinal"))
     files = F.transform(F.filter(own, lambda r: (r["whole"] == last) | (r["stem"] == stem(last))), lambda r: F.struct(*(r[c].alias(c) for c in ("framework", "kind", "layer", "weight", "ordinal"))))
     django = F.when(last.isin(*rules.DJANGO_APP_FILES) & F.col("file_path").contains("/"), F.array(hint("django", "django_app", "controller", 0.5)))

@@ -67,35 +67,57 @@ def _normal(path: Column) -> Column:
     return F.array_join(F.aggregate(parts, empty, up), "/")
 
 
-def candidates(target: Column, folder: Column, language: Column) -> Column:
-    """Paths an import may mean, the most likely first."""
+def _shortened(path: Column) -> Column:
+    """A path and the shorter ones without its last segments, the longest first: the last may name what is in a file."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def candidates(target: Column, path: Column, language: Column) -> Column:
+    """Paths an import in the file ``path`` may mean, the most likely first."""
+    folder, own = F.regexp_extract(path, r"^(.*)/[^/]*$", 1), F.regexp_extract(path, r"([^/]*?)(?:\.[^./]*)?$", 1)
     dots = F.length(F.regexp_extract(target, r"^(\.+)", 1))
     rest = F.replace(F.regexp_replace(target, r"^\.+", ""), F.lit("."), F.lit("/"))
     above = F.concat(folder, F.lit("/"), F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), rest)
     relative_python = F.array(_normal(above))
     beside = F.array(_normal(F.concat(folder, F.lit("/"), target)))
-    bare = F.regexp_replace(target, r"^(?:crate|self|super)::", "")
-    rust = F.array(F.replace(bare, F.lit("::"), F.lit("/")), F.concat(F.lit("src/"), F.replace(bare, F.lit("::"), F.lit("/"))))
+    # Of Rust: the module of a file lies in a folder of its name, but for those that stand for their folder.
+    inner = F.when(own.isin("mod", "lib", "main"), folder).otherwise(F.concat_ws("/", folder, own))
+    ups = F.size(F.regexp_extract_all(target, F.lit(r"(super::)"), 1))
+    bare = F.replace(F.regexp_replace(target, r"^(?:(?:crate|self|super)::)+", ""), F.lit("::"), F.lit("/"))
+    bare = F.regexp_replace(F.trim(bare), r"\s+as\s+.*$|/\*$", "")
+    crate = F.regexp_extract(path, r"^(?:(.*)/)?src/", 1)
+    relative_rust = _normal(F.concat(inner, F.lit("/"), F.repeat(F.lit("../"), ups), bare))
+    in_crate = _normal(F.concat_ws("/", crate, F.lit("src"), bare))
+    # A path into another crate names it first.
+    outside = F.regexp_replace(bare, "^[^/]*/", "")
+    rust = (
+        F.when(target.rlike(r"^(?:self|super)::"), _shortened(relative_rust))
+        .when(target.startswith("crate::"), F.concat(_shortened(in_crate), _shortened(bare)))
+        .otherwise(F.concat(_shortened(bare), F.array(_normal(F.concat_ws("/", F.lit("src"), bare))), _shortened(_normal(F.concat_ws("/", crate, F.lit("src"), outside)))))
+    )
     plain = F.array_distinct(F.array(target, F.replace(target, F.lit("."), F.lit("/"))))
     return (
         F.when((language == "python") & (dots > 0), relative_python)
         .when(target.rlike(r"^\.{1,2}/"), beside)
-        .when(language == "rust", rust)
+        .when(language == "rust", F.array_distinct(rust))
         .otherwise(plain)
     )
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(repository_id, source_path, target_path, target, priority) of imports that name a file of the repository.
+    """(repository_id, source_path, line, target, target_path, priority) of imports that name files of the repository.
 
     An exact path comes before a path with a suffix, that before a directory's
-    own file, that before a match of the last segments only; of equal ones the
-    least path is taken.  Self-imports are dropped.
+    own file, that before a match of the last segments only.  All files that
+    match equally well come out, so an import may have several rows.
+    Self-imports are dropped.
     """
-    folder = F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)
+    # The same import twice on a line counts twice.
+    imports = imports.groupBy("repository_id", "file_path", "language", "line", "target").agg(F.count("*").alias("times"))
     asked = imports.select(
-        "repository_id", F.col("file_path").alias("source_path"), "line", "target",
-        F.posexplode(candidates(F.col("target"), folder, F.col("language"))).alias("nth", "base"),
+        "repository_id", F.col("file_path").alias("source_path"), "line", "target", "times",
+        F.posexplode(candidates(F.col("target"), F.col("file_path"), F.col("language"))).alias("nth", "base"),
     )
     asked = asked.withColumn("base", F.lower(F.trim(F.col("base")))).where(F.col("base") != "")
     index = suffix_index(files)
@@ -113,11 +135,17 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
         ).alias("k"),
     ).select("repository_id", "file_path", "k.key", "k.rank").where(F.length("key") > 0)
     keys = keys.groupBy("repository_id", "key", "file_path").agg(F.min("rank").alias("rank"))
-    # The best two files of a key suffice, as an import never means its own file: a common name costs no more than a rare one.
-    order = Window.partitionBy("repository_id", "key").orderBy("rank", "file_path")
-    keys = keys.withColumn("_r", F.row_number().over(order)).where("_r <= 2").drop("_r")
-    found = asked.join(keys, (asked["base"] == keys["key"]) & asked["repository_id"].eqNullSafe(keys["repository_id"])).select(
-        asked["repository_id"], "source_path", "line", "target", F.struct("rank", "nth", F.col("file_path").alias("path")).alias("m")
+    # Of each key the ranks in two steps: the best, and the next for an import whose own file is the only best.
+    ranks = keys.groupBy("repository_id", "key").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
+    wanted = asked.join(ranks, (asked["base"] == ranks["key"]) & asked["repository_id"].eqNullSafe(ranks["repository_id"])).select(
+        asked["repository_id"], "source_path", "line", "target", "times", "nth", "key", F.explode(F.slice("ranks", 1, 2)).alias("rank")
     )
-    best = found.where(F.col("m.path") != F.col("source_path")).groupBy("repository_id", "source_path", "line", "target").agg(F.min("m").alias("m"))
-    return best.select("repository_id", "source_path", "line", "target", F.col("m.path").alias("target_path"), F.col("m.rank").alias("priority"))
+    # An import needs its best few (rank, candidate) only: all but one of them may stand for its own file.
+    order = Window.partitionBy("repository_id", "source_path", "line", "target").orderBy("rank", "nth", "key")
+    wanted = wanted.withColumn("_r", F.row_number().over(order)).where("_r <= 4")
+    files_of = keys.select(F.col("repository_id").alias("k_repository"), F.col("key").alias("k_key"), F.col("rank").alias("k_rank"), "file_path")
+    met = wanted.join(files_of, wanted["repository_id"].eqNullSafe(F.col("k_repository")) & (F.col("key") == F.col("k_key")) & (F.col("rank") == F.col("k_rank")))
+    met = met.where(F.col("file_path") != F.col("source_path"))
+    first = F.min("_r").over(Window.partitionBy("repository_id", "source_path", "line", "target"))
+    best = met.withColumn("_first", first).where("_r = _first").withColumn("_n", F.explode(F.expr("sequence(1L, times)")))
+    return best.select("repository_id", "source_path", "line", "target", F.col("file_path").alias("target_path"), F.col("rank").alias("priority"))

@@ -588,7 +588,8 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, root: str) -> DataFrame:
-    heads = load(spark, root, "source_heads")
+    # Parsing takes far more time than its input takes to read: spread over all tasks.
+    heads = load(spark, root, "source_heads").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return heads.select("repository_id", "file_path", manifest.language_of("file_path").alias("language"), F.col("head").alias("text"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators import architecture, compress, graph, history, search, summary
+from quillgraph.session import cut
 
 # Families of patterns in the order they are tried; group 0 asks
 # for no target, -1 takes all groups, another number that group.
@@ -74,7 +75,7 @@ def answer(question: str, tables: dict[str, DataFrame], repository_id: int | Non
     if family == "architecture":
         return architecture.layers(architecture.layer_evidence(nodes))
     if family == "summarize":
-        return summary.type_counts(nodes, "node_type")
+        return _summary(tables, repository_id)
     if family == "path" and len(targets) == 2:
         ends = [search.resolve_target(nodes, t).first() for t in targets]
         return graph.shortest_path(edges, *(e["id"] if e else -1 for e in ends)) if all(ends) else graph.shortest_path(edges.limit(0), -1, -2)
@@ -95,13 +96,67 @@ def answer(question: str, tables: dict[str, DataFrame], repository_id: int | Non
     return search.search_nodes(nodes, edges, targets[0])
 
 
-def context_package(tables: dict[str, DataFrame], budget: int = 1500, key_nodes: int = 10) -> str:
-    """Counts, layers and key nodes as one text within a budget of tokens."""
+def _summary(tables: dict[str, DataFrame], repository_id: int | None) -> DataFrame:
+    """The summary of the repository asked for, else of the one with most nodes."""
+    own = tables["repositories"]
+    chosen = own.where(F.col("id") == repository_id) if repository_id is not None else own.join(summary.find_repository(own, tables["nodes"]), "id", "left_semi")
+    return summary.repository_summary(chosen, *(tables[t].join(chosen.select(F.col("id").alias("repository_id")), "repository_id", "left_semi") for t in ("nodes", "edges")))
+
+
+def _architecture_text(tables: dict[str, DataFrame], nodes: DataFrame, repository_id: int | None, budget: int) -> str:
+    own = tables["repositories"]
+    chosen = own.where(F.col("id") == repository_id) if repository_id is not None else own.join(summary.find_repository(own, nodes), "id", "left_semi")
+    row = chosen.select("id", "name").first()
+    nodes = nodes.where(F.col("repository_id") == (row["id"] if row else -1))
+    found = cut(architecture.layers(architecture.layer_evidence(nodes, architecture.frameworks(chosen, nodes))))
+    return compress.architecture_lines(found, architecture.patterns(found), architecture.domains(nodes, found), budget, row["name"] if row else "")
+
+
+def answer_text(question: str, tables: dict[str, DataFrame], budget: int = 500, repository: str | None = None, strict: bool = False) -> str:
+    """The answer to a question as text within a budget of tokens.
+
+    ``repository`` names one by name or path.  Lines go from the end while the
+    text is too long, but for the first three.
+    """
+    nodes = tables["nodes"]
+    repository_id = None
+    if repository is not None:
+        row = summary.find_repository(tables["repositories"], nodes, repository).first()
+        repository_id = row["id"] if row else None
+    family, targets = classify(nodes.sparkSession, question, strict)
+    if family == "architecture":
+        text = _architecture_text(tables, nodes, repository_id, budget)
+    else:
+        rows = answer(question, tables, repository_id, strict)
+        if family == "summarize":
+            text = compress.summary_lines(rows, budget)
+        elif family == "impact":
+            text = compress.impact_lines(rows, nodes, budget)
+        elif family == "path" and len(targets) == 2:
+            text = compress.path_lines(rows, nodes, budget)
+        elif family in ("explain", "search", "path"):
+            text = compress.node_lines(nodes.join(rows.select("id"), "id", "left_semi"), budget)
+        else:
+            text = compress.row_lines(rows, budget)
+    lines = text.split("\n")
+    while len(lines) > 3 and compress.estimate("\n".join(lines)) > budget:
+        lines.pop()
+    return "\n".join(lines) if len(lines) == len(text.split("\n")) else "\n".join([*lines, "..."])
+
+
+def context_package(tables: dict[str, DataFrame], budget: int = 1500, key_nodes: int = 10, repository: str | None = None) -> str:
+    """Summary, architecture and key nodes of a repository as one text within a budget of tokens: a third for the summary, what is left for the rest."""
     nodes, edges = tables["nodes"], tables["edges"]
-    counts = nodes.groupBy("node_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node_type").limit(8).collect()
-    parts = ["Summary:", *(f"  {r['node_type']}: {r['n']}" for r in counts)]
-    found = architecture.layers(architecture.layer_evidence(nodes)).orderBy(F.desc("confidence"), F.desc("entities"), "layer").limit(10).collect()
-    parts += ["Architecture:", *(f"  {r['layer']} {r['confidence']:.2f}" for r in found)]
-    keys = search.search_nodes(nodes, edges, "", limit=key_nodes).collect()
-    parts += ["Key nodes:", *(f"  {r['node_type']} {r['name']}" for r in keys)]
-    return compress._cut(parts, budget)
+    chosen = summary.find_repository(tables["repositories"], nodes, repository).first()
+    if chosen is None:
+        return "No data available."
+    sections = ["## Graph Summary\n" + compress.summary_lines(_summary(tables, chosen["id"]), max(1, budget // 3))]
+    used = compress.estimate(sections[0])
+    if used < budget:
+        sections.append("## Architecture\n" + _architecture_text(tables, nodes, chosen["id"], max(budget - used, 50)))
+        used += compress.estimate(sections[-1])
+    if used < budget:
+        own = lambda t: t.where(F.col("repository_id") == chosen["id"])
+        keys = search.search_nodes(own(nodes), own(edges), "", limit=key_nodes)
+        sections.append("## Key Nodes\n" + compress.node_lines(nodes.join(keys.select("id"), "id", "left_semi"), max(budget - used, 50)))
+    return compress._cut("\n\n".join(sections).split("\n"), budget)

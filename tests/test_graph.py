@@ -1,6 +1,9 @@
 """Small graphs with answers worked out by hand."""
 
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.operators import graph, search, summary
 
@@ -92,3 +95,13 @@ def test_empty_graph(spark):
     nodes, edges = spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)
     assert search.search_nodes(nodes, edges, "x").count() == graph.degree(nodes, edges).count() == graph.hub_nodes(nodes, edges, 1).count() == 0
     assert graph.neighbours(edges, start(spark, 1), 2).count() == 1 and graph.impact(edges, start(spark, 1)).count() == 0
+
+
+def test_pages_and_json(spark):
+    nodes = spark.createDataFrame([(i, i % 2, "class" if i < 6 else "file", f"n{i}", f"d/f{i}", None) for i in range(12)], "id long, repository_id long, node_type string, name string, file_path string, metadata_json string")
+    edges = spark.createDataFrame([(k, (k % 5) % 2, a, b, "CALLS", None) for k, (a, b) in enumerate([(0, 2), (1, 3), (2, 4), (3, 5), (0, 4), (0, 2)])], "id long, repository_id long, source_node_id long, target_node_id long, edge_type string, metadata_json string")
+    shown, links = graph.graph_page(nodes, edges.withColumn("repository_id", F.col("source_node_id") % 2), 0, page=1, limit=3, node_type="class")
+    assert {r["id"] for r in shown.collect()} <= {0, 2, 4} and links.count() == 3
+    out = {r["repository_id"]: json.loads(r["graph_json"]) for r in graph.graph_json(nodes, edges.withColumn("repository_id", F.col("source_node_id") % 2)).collect()}
+    assert set(out) == {0, 1} and out[0]["total_nodes"] == 6 and out[0]["total_edges"] == 4 and len(out[0]["nodes"]) == 6 and len(out[1]["edges"]) == 2
+    assert out[0]["node_types"] == [{"node_type": "class", "n": 3}, {"node_type": "file", "n": 3}] and out[0]["directories"] == [{"directory": "d", "n": 6}]

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import commit_time, estimate_tokens, parsed_metadata
-from quillgraph.operators import architecture, build, compress, history, imports, manifest, similarity
+from quillgraph.operators import architecture, build, compress, history, imports, manifest, similarity, summary
 from quillgraph.plans import queries as core
 from quillgraph.plans import router
 from quillgraph.tables import SCHEMAS, empty, load, save
@@ -146,6 +146,7 @@ def test_vectors(spark):
     rows = [(1, "m", [1.0, 0.0]), (2, "m", [2.0, 0.0]), (3, "m", [0.0, 1.0]), (4, "m", None), (5, "m", [0.0, 0.0]), (6, "n", [1.0, 0.0]), (7, "m", [1.0])]
     table = spark.createDataFrame(rows, SCHEMAS["node_vectors"])
     assert [(r["node_id"], r["score"]) for r in similarity.similar_to_node(table, 1, "m", 99).collect()] == [(2, 1.0), (3, 0.0)]
+    assert [tuple(r) for r in similarity.similar_to(similarity.vector_norms(table), [1.0, 0.0], "m", 2).collect()] == [tuple(r) for r in similarity.similar_to(table, [1.0, 0.0], "m", 2).collect()]
     assert similarity.similar_to(table, [0.0, 0.0], "m").count() == 0 and similarity.similar_to_node(table, 99, "m").count() == 0
     nodes = spark.createDataFrame([(1, 1, "class", "A", "a.py", None), (9, 1, "method", "run", "a.py", '{"docstring": "Runs.", "parameters": ["x"], "return_type": "int"}'), (10, 1, "job", "J", None, None)], NODES)
     todo = similarity.backlog(nodes, table, "m")
@@ -178,11 +179,42 @@ def test_compression(spark):
 def test_context_package(spark):
     nodes = spark.createDataFrame([(1, 1, "class", "UserController", "a.py", None), (2, 1, "file", "a.py", "a.py", None)], NODES)
     edges = empty(spark, "edges")
-    text = router.context_package({"nodes": nodes, "edges": edges}, 200)
-    assert "controller" in text and "UserController" in text
-    assert compress.estimate(router.context_package({"nodes": nodes, "edges": edges}, 10)) <= 12
-    assert router.answer("what depends on UserController", {"nodes": nodes, "edges": edges}).count() == 0
-    assert router.answer("find a.py", {"nodes": nodes, "edges": edges}).count() == 0
+    tables = {"nodes": nodes, "edges": edges, "repositories": spark.createDataFrame([(1, "/r", "shop", None, None), (2, "/r/sub", "inner", None, None)], SCHEMAS["repositories"])}
+    text = router.context_package(tables, 200)
+    assert "controller" in text and "UserController" in text and "shop" in text
+    assert compress.estimate(router.context_package(tables, 10)) <= 12
+    assert router.answer("what depends on UserController", tables).count() == 0
+    assert router.answer("find a.py", tables).count() == 0
+    assert "Repository: shop" in router.answer_text("overview", tables) and "controller" in router.answer_text("what is the architecture", tables)
+    assert router.answer_text("what depends on UserController", tables) == "0 dependents"
+    assert "UserController" in router.answer_text("UserController", tables) and "a.py" in router.answer_text("a.py", tables)
+    assert router.answer_text("overview", tables, repository="inner").startswith("Repository: inner") and "class: 1" not in router.answer_text("overview", tables, repository="/r/sub")
+    found = lambda **k: summary.find_repository(tables["repositories"], nodes, **k).first()[0]
+    assert found(name="inner") == 2 and found(folder="/r/sub/x") == 2 and found(folder="/r/other") == 1 and found(folder="/elsewhere") == 1 and found() == 1
+    empty_tables = {t: empty(spark, t) for t in ("nodes", "edges", "repositories")}
+    assert router.context_package(empty_tables) == "No data available." and router.answer_text("overview", empty_tables) == "No summary available."
+
+
+def test_texts_within_a_budget(spark):
+    rows = spark.createDataFrame([("shop", "/r", 9, 4, s, k, f"item{k}", 10 - k) for s in ("node types", "edge types", "largest files", "largest classes") for k in range(1, 6)], "name string, path string, nodes long, edges long, section string, rank int, item string, n long")
+    whole = compress.summary_lines(rows, 500)
+    assert "item1 (9 entities)" in whole and "item5 (5 methods)" in whole and "Nodes by type" in whole
+    assert compress.estimate(compress.summary_lines(rows, 30)) <= 31
+    layers = spark.createDataFrame([(1, "data", 0.9, 3, 3)], "repository_id long, layer string, confidence double, entities long, sources long")
+    none = layers.limit(0)
+    text = compress.as_text("architecture", 100, rows=layers, patterns=none.withColumn("pattern", F.lit("")), domains=none.withColumn("domain", F.lit("")).withColumn("files", F.lit(1)))
+    assert "data (confidence=0.90, entities=3)" in text
+    assert compress.as_text("other", 2, rows=layers).startswith("1 data") and compress.as_text("other", 9, rows=none) == "No results."
+
+
+def test_all_best_import_targets(spark, collect):
+    files = spark.createDataFrame([(1, p) for p in ("a/foo.h", "b/foo.h", "c/main.c", "foo.h", "src/a/b.rs", "src/a/mod.rs", "src/a/c.rs", "src/lib.rs", "x/y.py")], "repository_id long, file_path string")
+    asked = [("c/main.c", "c", 1, "bar/foo.h"), ("c/main.c", "c", 2, "foo.h"), ("src/a/b.rs", "rust", 1, "super::c::Thing"), ("src/a/b.rs", "rust", 2, "crate::a::c"), ("x/y.py", "python", 1, "x.y"), ("x/y.py", "python", 2, "nothing")]
+    rows = spark.createDataFrame([(1, p, lang, n, t) for p, lang, n, t in asked] + [(1, "c/main.c", "c", 2, "foo.h")], "repository_id long, file_path string, language string, line int, target string")
+    out = [(r["source_path"], r["line"], r["target_path"]) for r in imports.resolve_imports(rows, files).collect()]
+    assert sorted(out) == [("c/main.c", 2, "foo.h"), ("c/main.c", 2, "foo.h"), ("src/a/b.rs", 1, "src/a/c.rs"), ("src/a/b.rs", 2, "src/a/c.rs")]
+    headers = imports.resolve_imports(rows.where("line = 2 AND language = 'c'").limit(1), files.where("file_path <> 'foo.h'"))
+    assert {r["target_path"] for r in headers.collect()} == {"a/foo.h", "b/foo.h"}
 
 
 def test_structure_of_all_repositories(spark, collect, tmp_path):
@@ -194,5 +226,26 @@ def test_structure_of_all_repositories(spark, collect, tmp_path):
         assert collect(whole) == collect(each[0].unionByName(each[1]))
     heads = [(r, f"d/f{r}.py", 10, 1, 10, "x = 1\n") for r in (1, 2, 3)]
     spark.createDataFrame(heads, "repository_id long, file_path string, n_bytes long, n_lines long, longest_line long, head string").write.parquet(f"{tmp_path}/source_heads.parquet")
-    counts = {r["node_type"]: r["n"] for r in core.build_structure(spark, str(tmp_path)).collect()}
-    assert counts["file"] == 3 and counts["directory"] == 3
+    kinds = [r["node_type"] for r in core.build_structure(spark, str(tmp_path)).collect()]
+    assert kinds.count("file") == 3 and kinds.count("directory") == 3 and kinds.count("constant") == 3
+
+
+def test_semantic_search(spark):
+    nodes = spark.createDataFrame([(1, 1, "class", "Cache", "a.py", None), (2, 1, "class", "CacheStore", "b.py", None), (3, 2, "class", "Other", "c.py", None)], NODES)
+    repos = spark.createDataFrame([(1, "/r", "shop", None, None)], SCHEMAS["repositories"])
+    encoder = similarity.HashingEncoder(64)
+    vectors = similarity.encode_nodes(nodes, encoder)
+    tables = {"nodes": nodes, "repositories": repos, "node_vectors": vectors}
+    by_name = similarity.semantic_search(tables, "Cache", encoder, 5).collect()
+    assert {r["node_id"] for r in by_name} == {2, 3} and {r["node_id"]: r["repository"] for r in by_name} == {2: "shop", 3: None}
+    by_text = similarity.semantic_search(tables, "class: Cache file: a.py", encoder, 1).collect()
+    assert [(r["node_id"], r["name"]) for r in by_text] == [(1, "Cache")]
+
+
+def test_framework_evidence(spark):
+    nodes = spark.createDataFrame(
+        [(1, 1, "file", "shop/models.py", "shop/models.py", None), (2, 1, "file", "models.py", "models.py", None), (3, 2, "file", "shop/models.py", "shop/models.py", None), (4, 1, "directory", "models", "app/models", None)], NODES
+    )
+    known = spark.createDataFrame([(1, "django"), (1, "rails")], "repository_id long, framework string")
+    out = {(r["node_id"], r["kind"], r["layer"], r["weight"]) for r in architecture.framework_evidence(nodes, known).collect()}
+    assert out == {(1, "framework_file", "data", 1.0), (2, "framework_file", "data", 1.0), (1, "django_app", "controller", 0.5), (4, "rails_convention", "data", 1.0)}
