@@ -30,9 +30,10 @@ _PARTS = r"""
 _COMMENT = r"""
 (?P<comment>
     /\*(?:[^*]|\*(?!/))*+\*/
-  | (?: [ \t]* // [^\n]*+ (?:\n|\Z) )++
-  | (?: [ \t]* \# [^\n]*+ (?:\n|\Z) )++
-  | (?: [ \t]* -- [^\n]*+ (?:\n|\Z) )++
+  # Lines of comment are taken from the first on only, so that a long block is read once.
+  | (?<! ^[ \t]*//[^\n]*\n[ \t]*) (?: [ \t]* // [^\n]*+ (?:\n|\Z) )++
+  | (?<! ^[ \t]*\#[^\n]*\n[ \t]*) (?: [ \t]* \# [^\n]*+ (?:\n|\Z) )++
+  | (?<! ^[ \t]*--[^\n]*\n[ \t]*) (?: [ \t]* -- [^\n]*+ (?:\n|\Z) )++
   | \"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3}
   | '{3}(?:[^'\\]|\\.|'(?!''))*+'{3}
 )
