@@ -122,6 +122,11 @@ def layer_examples(evidence: DataFrame, k: int = 8) -> DataFrame:
     return first.groupBy("repository_id", "layer").agg(examples.alias("examples"))
 
 
+def layer_kinds(evidence: DataFrame) -> DataFrame:
+    """(repository_id, layer, kind, n): how many hints of each kind speak for a layer."""
+    return evidence.groupBy("repository_id", "layer", "kind").agg(F.count("*").alias("n"))
+
+
 def patterns(found: DataFrame) -> DataFrame:
     """(repository_id, pattern, confidence, matched): patterns of whose layers at least half were found."""
     spark = found.sparkSession
@@ -180,17 +185,30 @@ def file_layers(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return hits.groupBy("repository_id", "file_path").agg(F.max_by("layer", F.struct(F.col("weight"), -F.col("ordinal"))).alias("layer"))
 
 
-def layer_flows(edges: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(repository_id, source_layer, target_layer, n): distinct imports between files of different layers."""
+def _placed_imports(edges: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct imports between files of different layers, with both layers and paths."""
     of_file = file_layers(nodes, found)
-    placed = nodes.where(F.col("node_type") == "file").join(of_file, ["repository_id", "file_path"]).select("id", "repository_id", "layer")
+    placed = nodes.where(F.col("node_type") == "file").join(of_file, ["repository_id", "file_path"]).select("id", "repository_id", "layer", "file_path")
     imports = edges.where(F.col("edge_type") == "IMPORTS").select("source_node_id", "target_node_id").distinct()
-    source = placed.select(F.col("id").alias("source_node_id"), "repository_id", F.col("layer").alias("source_layer"))
-    target = placed.select(F.col("id").alias("target_node_id"), F.col("layer").alias("target_layer"))
-    both = imports.join(source, "source_node_id").join(target, "target_node_id").where("source_layer <> target_layer")
+    source = placed.select(F.col("id").alias("source_node_id"), "repository_id", F.col("layer").alias("source_layer"), F.col("file_path").alias("source_path"))
+    target = placed.select(F.col("id").alias("target_node_id"), F.col("layer").alias("target_layer"), F.col("file_path").alias("target_path"))
+    return imports.join(source, "source_node_id").join(target, "target_node_id").where("source_layer <> target_layer")
+
+
+def layer_flows(edges: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(repository_id, source_layer, target_layer, n): distinct imports between files of different layers."""
+    both = _placed_imports(edges, nodes, found)
     return both.groupBy("repository_id", "source_layer", "target_layer").agg(F.count("*").alias("n"))
 
 
+def flow_examples(edges: DataFrame, nodes: DataFrame, found: DataFrame, k: int = 3) -> DataFrame:
+    """(repository_id, source_layer, target_layer, source_path, target_path): the first imports by path of each flow."""
+    order = Window.partitionBy("repository_id", "source_layer", "target_layer").orderBy("source_path", "target_path")
+    columns = ["repository_id", "source_layer", "target_layer", "source_path", "target_path"]
+    both = _placed_imports(edges, nodes, found).select(*columns).distinct()
+    return both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
 def expected_flows(flows: DataFrame, directions: tuple[tuple[str, str], ...] = rules.EXPECTED_FLOWS) -> DataFrame:
     """(repository_id, source_layer, target_layer, forward, reverse, expected) for the directions layers should depend in."""
     asked = F.broadcast(flows.sparkSession.createDataFrame(list(directions), "source_layer string, target_layer string"))

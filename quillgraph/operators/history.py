@@ -35,6 +35,14 @@ def author_impact(commits: DataFrame, commit_files: DataFrame, top: int = 10) ->
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def author_summary(commits: DataFrame, commit_files: DataFrame, commit_authors: DataFrame) -> DataFrame:
+    """(author, commits, changes, files, email, total) of every author; address and stored total by name, the least and the greatest of several."""
+    rows = commit_files.where(F.col("file_path").isNotNull()).join(commits.where(F.col("author").isNotNull()).select(F.col("id").alias("commit_id"), "author"), "commit_id")
+    counts = rows.groupBy("author").agg(F.countDistinct("commit_id").alias("commits"), F.count("*").alias("changes"), F.countDistinct("file_path").alias("files"))
+    known = commit_authors.groupBy(F.col("name").alias("author")).agg(F.min("email").alias("email"), F.max("commit_count").alias("total"))
+    return counts.join(known, "author", "left")
+
+
 def introductions(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     """(repository_id, file_path, hash, author, committed_ts): the oldest commit that touches each file.
 

@@ -171,18 +171,22 @@ def embed(spark: SparkSession, store: str, encoder: similarity.Encoder) -> tuple
     return fresh.count(), old
 
 
-def index_history(spark: SparkSession, path: str, store: str, logs: DataFrame, max_count: int | None = None) -> dict[str, int]:
-    """Put the commits of git logs, (text) of ``git log``, into the store: commits, their files and authors.
+def index_history(spark: SparkSession, path: str, store: str, logs: DataFrame | None = None, max_count: int | None = None) -> dict[str, int]:
+    """Put the commits of git logs into the store: commits, their files and authors.
 
-    Commits that the store holds are left out, and ``max_count`` counts new
-    ones.  Author counts grow by the new commits.
+    ``logs`` has (text) of ``git log``; without it the log of the repository at
+    ``path`` is read.  Commits that the store holds are left out, and
+    ``max_count`` counts new ones.  Author counts grow by the new commits.
     """
     path = path.rstrip("/")
     repository_id = repository_of(spark, path)
     opened = open_store(spark, store)
     own = F.col("repository_id") == repository_id
     held = {name: opened[name].where(own) for name in ("commits", "commit_files", "commit_authors")}
-    records = gitlog.log_records(logs.select(F.lit(repository_id).cast("long").alias("repository_id"), "text"))
+    if logs is None:
+        records = gitlog.read_logs(spark.createDataFrame([(repository_id, path)], "id long, path string"))
+    else:
+        records = gitlog.log_records(logs.select(F.lit(repository_id).cast("long").alias("repository_id"), "text"))
     fresh = cut(gitlog.log_commits(records, held["commits"], max_count))
     files = gitlog.log_files(fresh).withColumn("repository_id", F.lit(repository_id).cast("long"))
     authors = history.add_authors(fresh, held["commit_authors"])

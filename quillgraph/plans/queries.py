@@ -383,6 +383,17 @@ def author_counts(spark: SparkSession, root: str) -> DataFrame:
     return history.count_authors(load(spark, root, "commits"), load(spark, root, "commit_authors"))
 
 
+@query
+def author_summary(spark: SparkSession, root: str) -> DataFrame:
+    return history.author_summary(*(load(spark, root, t) for t in ("commits", "commit_files", "commit_authors")))
+
+
+SQL["author_summary"] = """
+WITH r AS (SELECT c.author, f.commit_id, f.file_path FROM commit_files f JOIN commits c ON c.id = f.commit_id WHERE f.file_path IS NOT NULL AND c.author IS NOT NULL),
+k AS (SELECT name, min(email) AS email, max(commit_count) AS total FROM commit_authors GROUP BY 1)
+SELECT author, count(DISTINCT commit_id) AS commits, count(*) AS changes, count(DISTINCT file_path) AS files, any_value(email) AS email, any_value(total) AS total
+FROM r LEFT JOIN k ON k.name = r.author GROUP BY author
+"""
 _TS = "coalesce(try_strptime(committed_at, '%Y-%m-%d %H:%M:%S %z'), CASE WHEN committed_at LIKE '%T%Z' THEN try_strptime(replace(committed_at, 'Z', '+0000'), '%Y-%m-%dT%H:%M:%S%z') END)"
 SQL["file_history"] = f"""
 SELECT c.id, hash, author, message, {_TS} AS committed_ts, change_type FROM commits c JOIN commit_files f ON f.commit_id = c.id
@@ -429,6 +440,16 @@ def layer_examples(spark: SparkSession, root: str) -> DataFrame:
     return architecture.layer_examples(architecture.layer_evidence(load(spark, root, "nodes")))
 
 
+@query
+def layer_kinds(spark: SparkSession, root: str) -> DataFrame:
+    return architecture.layer_kinds(architecture.layer_evidence(load(spark, root, "nodes")))
+
+
+@query
+def flow_examples(spark: SparkSession, root: str) -> DataFrame:
+    return architecture.flow_examples(load(spark, root, "edges"), load(spark, root, "nodes"), _layers(spark, root))
+
+
 @query
 def pattern_match(spark: SparkSession, root: str) -> DataFrame:
     return architecture.patterns(_layers(spark, root))
@@ -489,18 +510,19 @@ n AS (SELECT *, replace(lower(name), '-', '_') AS l, regexp_replace(lower(regexp
 named AS (SELECT n.*, cr.o, cr.layer, cr.w * CASE WHEN ends_with(l, k) THEN 1.0::DOUBLE WHEN starts_with(l, k) THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM n JOIN cr ON contains(l, k)),
 filed AS (SELECT n.*, fr.o, fr.layer, fr.w AS weight FROM n JOIN fr ON CASE WHEN length(k) <= 3 THEN contains('_' || st || '_', '_' || k || '_') ELSE contains(st, k) END WHERE node_type = 'file'),
 ev AS (
-  SELECT repository_id, {_ALIAS} AS layer, name AS source, weight FROM (
-    SELECT repository_id, layer, name, weight FROM named WHERE node_type IN ('class', 'interface', 'enum') AND weight >= 0.6
-    UNION ALL SELECT repository_id, 'data', name, 0.7::DOUBLE FROM n WHERE node_type = 'interface' AND regexp_matches(name, '^I[A-Z]')
-    UNION ALL SELECT repository_id, 'business', name, 0.6::DOUBLE FROM n WHERE node_type IN ('class', 'interface', 'enum') AND regexp_matches(name, '^Abstract[A-Z]')
-    UNION ALL SELECT repository_id, layer, name, weight * 0.8::DOUBLE FROM named WHERE node_type IN ('function', 'method') AND weight >= 0.7
-    UNION ALL SELECT repository_id, layer, name, weight FROM filed
-    UNION ALL SELECT repository_id, dr.layer, name, dr.w FROM n JOIN dr ON lower(name) = k WHERE node_type = 'directory')),
+  SELECT repository_id, {_ALIAS} AS layer, kind, name AS source, weight FROM (
+    SELECT repository_id, layer, 'class_naming' AS kind, name, weight FROM named WHERE node_type IN ('class', 'interface', 'enum') AND weight >= 0.6
+    UNION ALL SELECT repository_id, 'data', 'interface_naming', name, 0.7::DOUBLE FROM n WHERE node_type = 'interface' AND regexp_matches(name, '^I[A-Z]')
+    UNION ALL SELECT repository_id, 'business', 'interface_naming', name, 0.6::DOUBLE FROM n WHERE node_type IN ('class', 'interface', 'enum') AND regexp_matches(name, '^Abstract[A-Z]')
+    UNION ALL SELECT repository_id, layer, 'function_naming', name, weight * 0.8::DOUBLE FROM named WHERE node_type IN ('function', 'method') AND weight >= 0.7
+    UNION ALL SELECT repository_id, layer, 'file_naming', name, weight FROM filed
+    UNION ALL SELECT repository_id, dr.layer, 'directory', name, dr.w FROM n JOIN dr ON lower(name) = k WHERE node_type = 'directory')),
 layers AS (
   SELECT repository_id, layer, round(least((avg(weight) * 0.4 + max(weight) * 0.6) * least(count(DISTINCT source) / 3.0::DOUBLE, 1.0::DOUBLE), 1.0::DOUBLE), 2) AS confidence,
     count(*) AS entities, count(DISTINCT source) AS sources FROM ev GROUP BY 1, 2)
 """
 SQL["layer_confidence"] = f"WITH {_EVIDENCE} SELECT * FROM layers"
+SQL["layer_kinds"] = f"WITH {_EVIDENCE} SELECT repository_id, layer, kind, count(*) AS n FROM ev GROUP BY 1, 2, 3"
 SQL["layer_examples"] = f"""
 WITH {_EVIDENCE}, d AS (SELECT DISTINCT repository_id, layer, source FROM ev),
 r AS (SELECT *, row_number() OVER (PARTITION BY repository_id, layer ORDER BY source) AS r FROM d)
@@ -530,6 +552,12 @@ flows AS (SELECT s.repository_id, s.layer AS source_layer, t.layer AS target_lay
 """
 SQL["file_layers"] = f"WITH {_FILE_LAYERS} SELECT repository_id, file_path, layer FROM best"
 SQL["flow_matrix"] = f"WITH {_FILE_LAYERS} SELECT * FROM flows"
+SQL["flow_examples"] = f"""
+WITH {_FILE_LAYERS}, x AS (SELECT DISTINCT s.repository_id, s.layer AS source_layer, t.layer AS target_layer, a.file_path AS source_path, b.file_path AS target_path
+  FROM imp JOIN placed s ON s.id = source_node_id JOIN placed t ON t.id = target_node_id JOIN nodes a ON a.id = s.id JOIN nodes b ON b.id = t.id WHERE s.layer <> t.layer)
+SELECT repository_id, source_layer, target_layer, source_path, target_path FROM (
+  SELECT *, row_number() OVER (PARTITION BY repository_id, source_layer, target_layer ORDER BY source_path, target_path) AS r FROM x) WHERE r <= 3
+"""
 _DIRECTIONS = ", ".join(f"('{a}', '{b}')" for a, b in DIRECTIONS)
 SQL["flow_directions"] = f"""
 WITH {_FILE_LAYERS}, d(source_layer, target_layer) AS (VALUES {_DIRECTIONS}),
@@ -696,6 +724,11 @@ def cosine_topk(spark: SparkSession, root: str) -> DataFrame:
     return similarity.similar_to_node(vectors, first, "graph-mini-64", 20)
 
 
+@query
+def similar_nodes(spark: SparkSession, root: str) -> DataFrame:
+    return similarity.named_matches(cosine_topk(spark, root), load(spark, root, "nodes"), load(spark, root, "repositories"))
+
+
 @query
 def embedding_backlog(spark: SparkSession, root: str) -> DataFrame:
     return similarity.backlog(load(spark, root, "nodes"), load(spark, root, "node_vectors"), "graph-mini-64").select("id", "node_type")
@@ -725,6 +758,10 @@ q AS (SELECT vector FROM v WHERE node_id = (SELECT min(node_id) FROM v) LIMIT 1)
 SELECT node_id, round(max(list_cosine_similarity(v.vector, q.vector)), 4) AS score FROM v, q
 WHERE node_id <> (SELECT min(node_id) FROM v) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20
 """
+SQL["similar_nodes"] = f"""
+SELECT k.node_id, k.score, n.node_type, n.name, n.file_path, r.name AS repository
+FROM ({SQL["cosine_topk"]}) k JOIN nodes n ON n.id = k.node_id LEFT JOIN repositories r ON r.id = n.repository_id
+"""
 SQL["embedding_backlog"] = """
 SELECT id, node_type FROM nodes WHERE node_type IN ('class', 'function', 'method', 'file', 'interface', 'enum', 'type_alias')
 AND id NOT IN (SELECT node_id FROM node_vectors WHERE model = 'graph-mini-64' AND vector IS NOT NULL)

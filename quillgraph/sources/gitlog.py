@@ -2,12 +2,55 @@
 
 from __future__ import annotations
 
+import re
+import subprocess
+import threading
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.build import stable_id
 
 
+#: What ``git log`` is asked for.
+FORMAT = ("--format=%H||%an||%ae||%ai||%s", "--name-status")
+
+
+def read_logs(repositories: DataFrame, timeout: int = 60) -> DataFrame:
+    """(repository_id, record) of the logs of (id, path): ``git log`` runs in the tasks, and a record comes out as it is read.
+
+    A path without a repository gives no row; a log that takes longer than
+    ``timeout`` seconds ends there.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for repository, path in zip(batch["id"], batch["path"]):
+                log = subprocess.Popen(["git", "-C", path, "log", *FORMAT], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace")
+                watch = threading.Timer(timeout, log.kill)
+                watch.start()
+                records, held = [], []
+                for line in log.stdout:
+                    if re.match(r"[0-9a-f]{40}\|\|", line) and held:
+                        records.append("".join(held).rstrip("\n"))
+                        held = []
+                        if len(records) >= 1000:
+                            yield pd.DataFrame({"repository_id": repository, "record": records})
+                            records = []
+                    held.append(line)
+                if held:
+                    records.append("".join(held).rstrip("\n"))
+                watch.cancel()
+                log.wait()
+                if records:
+                    yield pd.DataFrame({"repository_id": repository, "record": records})
+
+    tasks = int(repositories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return repositories.where(F.col("path").isNotNull()).select("id", "path").repartition(tasks).mapInPandas(run, "repository_id long, record string")
+
+
 def log_records(logs: DataFrame) -> DataFrame:
     """(repository_id, record): the text of each commit from (repository_id, text) of whole logs."""
     return logs.select("repository_id", F.explode(F.split("text", r"\n(?=[0-9a-f]{40}\|\|)")).alias("record"))

@@ -1,3 +1,5 @@
+import subprocess
+
 from pyspark.sql import functions as F
 
 from quillgraph.operators import build, search, similarity
@@ -125,3 +127,18 @@ def test_history_and_architecture_in_the_store(spark, tmp_path):
     kept = {(r["layer"], r["pattern"]) for r in index.open_store(spark, store)["architecture"].collect()}
     # The manifest names the framework, whose own files are evidence.
     assert ("data", None) in kept and ("controller", None) in kept and ("pattern", "repository") in kept
+
+
+def test_history_of_a_repository(spark, tmp_path):
+    root, store = tmp_path / "repo", str(tmp_path / "store")
+    write(root, {"a.py": "x = 1\n"})
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=Ann", "-c", "user.email=a@x", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", "a.py")
+    git("commit", "-qm", "first || one")
+    write(root, {"b.py": "y = 1\n"})
+    git("add", "b.py")
+    git("commit", "-qm", "second")
+    assert index.index_history(spark, str(root), store) == {"new": 2, "commits": 2, "commit_files": 2, "commit_authors": 1}
+    assert {r["message"] for r in index.open_store(spark, store)["commits"].collect()} == {"first || one", "second"}
+    assert index.index_history(spark, str(tmp_path / "none"), store)["new"] == 0
