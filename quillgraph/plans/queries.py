@@ -714,6 +714,52 @@ SQL["import_extract"] = (
 )
 
 
+def _normal_sql(path: str) -> str:
+    """A path without '.' and 'x/..' segments, for up to eight of the latter."""
+    out = f"regexp_replace('/' || {path} || '/', '/(\\./|/)+', '/', 'g')"
+    for _ in range(8):
+        out = f"regexp_replace({out}, '/(?:[^/.][^/]*|\\.[^/.][^/]*|\\.\\.[^/]+)/\\.\\./', '/')"
+    return f"trim(regexp_replace({out}, '^(/\\.\\.)+/', '/'), '/')"
+
+
+def _shortened_sql(path: str) -> str:
+    return f"list_transform(range(len(string_split({path}, '/')), 0, -1), lambda n: array_to_string(string_split({path}, '/')[1:n], '/'))"
+
+
+_INDICATORS = ", ".join(f"'{x}'" for x in imports.INDICATORS)
+SQL["import_resolve"] = f"""
+WITH raw AS ({SQL["import_extract"]}),
+asked AS (SELECT repository_id, file_path AS source_path, {_LANG} AS language, line, target, count(*) AS times, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS folder,
+  regexp_extract(file_path, '([^/]*?)(?:\\.[^./]*)?$', 1) AS own, length(regexp_extract(target, '^(\\.+)', 1)) AS dots,
+  trim(regexp_replace(replace(regexp_replace(target, '^(?:(?:crate|self|super)::)+', ''), '::', '/'), '/\\*$', '')) AS b0,
+  coalesce(regexp_extract(file_path, '^(?:(.*)/)?src/', 1), '') AS crate FROM raw GROUP BY ALL),
+more AS (SELECT *, regexp_replace(b0, '\\s+as\\s+.*$', '') AS bare, CASE WHEN own IN ('mod', 'lib', 'main') THEN folder ELSE folder || '/' || own END AS inner_,
+  len(regexp_extract_all(target, '(super::)', 1)) AS ups FROM asked),
+lists AS (SELECT repository_id, source_path, line, target, times, CASE
+    WHEN language = 'python' AND dots > 0 THEN [{_normal_sql("folder || '/' || repeat('../', greatest(dots - 1, 0)) || replace(regexp_replace(target, '^\\.+', ''), '.', '/')")}]
+    WHEN regexp_matches(target, '^\\.{{1,2}}/') THEN [{_normal_sql("folder || '/' || target")}]
+    WHEN language = 'rust' AND regexp_matches(target, '^(?:self|super)::') THEN {_shortened_sql(_normal_sql("inner_ || '/' || repeat('../', ups) || bare"))}
+    WHEN language = 'rust' AND starts_with(target, 'crate::') THEN list_concat({_shortened_sql(_normal_sql("crate || '/src/' || bare"))}, {_shortened_sql("bare")})
+    WHEN language = 'rust' THEN list_concat(list_concat({_shortened_sql("bare")}, [{_normal_sql("'src/' || bare")}]), {_shortened_sql(_normal_sql("crate || '/src/' || regexp_replace(bare, '^[^/]*/', '')"))})
+    ELSE [target, replace(target, '.', '/')] END AS bases FROM more),
+bases AS (SELECT repository_id, source_path, line, target, times, trim(lower(trim(unnest(bases)))) AS base, generate_subscripts(bases, 1) AS nth FROM lists),
+one AS (SELECT repository_id, source_path, line, target, times, base, min(nth) AS nth FROM bases WHERE base <> '' GROUP BY ALL),
+f AS (SELECT DISTINCT repository_id, file_path, string_split(lower(file_path), '/') AS p FROM nodes WHERE node_type = 'file' AND file_path IS NOT NULL),
+n AS (SELECT repository_id, file_path, p, unnest(range(1, len(p) + 1)) AS k FROM f),
+sx AS (SELECT repository_id, file_path, array_to_string(p[k:len(p)], '/') AS suffix, k = 1 AS whole FROM n),
+ks AS (SELECT repository_id, file_path, suffix AS key, CASE WHEN whole THEN 0 ELSE 3 END AS rank FROM sx
+  UNION ALL SELECT repository_id, file_path, regexp_replace(suffix, '\\.[^./]+$', ''), CASE WHEN whole THEN 1 ELSE 4 END FROM sx
+  UNION ALL SELECT repository_id, file_path, regexp_replace(suffix, '/?[^/]*$', ''), CASE WHEN whole THEN 2 ELSE 5 END FROM sx WHERE regexp_extract(suffix, '([^/]*)$', 1) IN ({_INDICATORS})),
+keys AS (SELECT repository_id, key, file_path, min(rank) AS rank FROM ks WHERE key <> '' GROUP BY 1, 2, 3),
+ranks AS (SELECT repository_id, key, rank, dense_rank() OVER (PARTITION BY repository_id, key ORDER BY rank) AS d FROM (SELECT DISTINCT repository_id, key, rank FROM keys)),
+wanted AS (SELECT o.*, r.key, r.rank, row_number() OVER (PARTITION BY o.repository_id, source_path, line, target ORDER BY rank, nth, key) AS r
+  FROM one o JOIN ranks r ON r.repository_id = o.repository_id AND r.key = o.base WHERE d <= 2),
+met AS (SELECT w.*, k.file_path AS target_path FROM wanted w JOIN keys k ON k.repository_id = w.repository_id AND k.key = w.key AND k.rank = w.rank WHERE w.r <= 4 AND k.file_path <> source_path),
+best AS (SELECT *, min(r) OVER (PARTITION BY repository_id, source_path, line, target) AS first FROM met)
+SELECT repository_id, source_path, line, target, target_path, priority FROM (SELECT repository_id, source_path, line, target, target_path, rank AS priority, unnest(range(times)) FROM best WHERE r = first)
+"""
+
+
 # ---------------------------------------------------------------- vectors and texts
 
 
