@@ -32,6 +32,8 @@ PATTERNS: dict[str, tuple[str, ...]] = {
 }
 #: Languages that share the patterns of another.
 SAME = {"typescript": "javascript", "tsx": "javascript", "cpp": "c"}
+#: Where the declarations of a Go file begin; its imports come before.
+GO_BODY = r"(?s)\n(?:func|type|var|const)\b.*$"
 # Files that stand for their directory.
 INDICATORS = ("__init__.py", "index.js", "index.ts", "index.tsx", "mod.rs")
 
@@ -41,7 +43,9 @@ def extract_imports(sources: DataFrame) -> DataFrame:
 
     Null and empty texts and other languages give no row.
     """
-    numbered = sources.where(F.length("text") > 0).select("repository_id", "file_path", "language", F.posexplode(F.split("text", "\n")).alias("line", "code"))
+    # A line that is a string alone is an import only above the declarations.
+    text = F.when(F.col("language") == "go", F.regexp_replace("text", GO_BODY, "")).otherwise(F.col("text"))
+    numbered = sources.where(F.length("text") > 0).select("repository_id", "file_path", "language", F.posexplode(F.split(text, "\n")).alias("line", "code"))
     found = F.lit(None).cast("array<string>")
     for language, patterns in PATTERNS.items():
         names = [language, *(k for k, v in SAME.items() if v == language)]

@@ -706,7 +706,7 @@ def _import_branch(language: str, pattern: str) -> str:
 
 
 SQL["import_extract"] = (
-    f"WITH src AS (SELECT repository_id, file_path, {_LANG} AS language, string_split(head, chr(10)) AS lines FROM source_heads WHERE length(head) > 0),\n"
+    f"WITH src AS (SELECT repository_id, file_path, {_LANG} AS language, string_split(CASE WHEN ends_with(lower(file_path), '.go') THEN regexp_replace(head, '{imports.GO_BODY}', '') ELSE head END, chr(10)) AS lines FROM source_heads WHERE length(head) > 0),\n"
     "code AS (SELECT repository_id, file_path, language, unnest(range(1, len(lines) + 1))::INT AS line, unnest(lines) AS code FROM src)\n"
     "SELECT repository_id, file_path, line, trim(target) AS target FROM (\n"
     + "\nUNION ALL ".join(_import_branch(k, p) for k, ps in imports.PATTERNS.items() for p in ps)

@@ -249,3 +249,9 @@ def test_framework_evidence(spark):
     known = spark.createDataFrame([(1, "django"), (1, "rails")], "repository_id long, framework string")
     out = {(r["node_id"], r["kind"], r["layer"], r["weight"]) for r in architecture.framework_evidence(nodes, known).collect()}
     assert out == {(1, "framework_file", "data", 1.0), (2, "framework_file", "data", 1.0), (1, "django_app", "controller", 0.5), (4, "rails_convention", "data", 1.0)}
+
+
+def test_go_imports_come_before_declarations(spark):
+    text = 'package p\n\nimport (\n\t"fmt"\n\tx "a/b"\n)\n\nvar names = []string{\n\t"not/an/import"\n}\n'
+    rows = spark.createDataFrame([(1, "a.go", "go", text)], "repository_id long, file_path string, language string, text string")
+    assert [(r["line"], r["target"]) for r in imports.extract_imports(rows).orderBy("line").collect()] == [(4, "fmt"), (5, "a/b")]
