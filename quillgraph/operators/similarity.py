@@ -9,7 +9,9 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Word2Vec, Word2VecModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import parsed_metadata
@@ -41,6 +43,46 @@ class HashingEncoder:
         return out / np.where(norms == 0, 1, norms)
 
 
+def text_words(text: Column) -> Column:
+    """The words of a text in lower case, names in mixed case taken apart."""
+    parted = F.regexp_replace(F.regexp_replace(text, r"([\p{Ll}\d])(\p{Lu})", "$1 $2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+    return F.filter(F.split(F.lower(parted), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+class WordVectorEncoder:
+    """Word vectors trained on the texts of nodes; a text is the mean of its words', at unit length.
+
+    Trained and applied by Spark; words in fewer than ``least`` places have no
+    vector, which bounds the vocabulary, and a text without known words has a
+    null one.
+    """
+
+    def __init__(self, fitted: Word2VecModel) -> None:
+        self.fitted = fitted
+        self.model = f"words-{fitted.getVectorSize()}"
+
+    @classmethod
+    def fit(cls, nodes: DataFrame, dimensions: int = 64, least: int = 3, rounds: int = 2) -> WordVectorEncoder:
+        words = node_text(nodes).select(text_words(F.col("text")).alias("words")).where(F.size("words") > 1)
+        tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        learner = Word2Vec(vectorSize=dimensions, minCount=least, maxIter=rounds, numPartitions=tasks, windowSize=8, seed=11, inputCol="words", outputCol="mean")
+        return cls(learner.fit(words))
+
+    def encode_frame(self, texts: DataFrame) -> DataFrame:
+        """(node_id, model, vector) of (node_id, text)."""
+        split = texts.select("node_id", F.coalesce(text_words(F.col("text")), F.array().cast("array<string>")).alias("words"))
+        mean = self.fitted.transform(split).select("node_id", vector_to_array("mean").alias("v"))
+        size = mean.select("node_id", "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("n"))
+        unit = F.when(F.col("n") > 0, F.transform("v", lambda x: (x / F.col("n")).cast("float")))
+        return size.select("node_id", F.lit(self.model).alias("model"), unit.alias("vector"))
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        """The vectors of a few texts; zeros for one without known words."""
+        frame = SparkSession.active().createDataFrame(list(enumerate(texts)), "node_id long, text string")
+        found = {r["node_id"]: r["vector"] for r in self.encode_frame(frame).collect()}
+        return np.array([found[i] or [0.0] * self.fitted.getVectorSize() for i in range(len(texts))], np.float32)
+
+
 def node_text(nodes: DataFrame) -> DataFrame:
     """(node_id, text): what is encoded of a node, one line a fact; missing facts have no line."""
     meta = parsed_metadata("metadata_json")
@@ -67,7 +109,9 @@ def backlog(nodes: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
 
 
 def encode_nodes(nodes: DataFrame, encoder: Encoder, batch: int = 256) -> DataFrame:
-    """(node_id, model, vector) of every row of ``nodes``."""
+    """(node_id, model, vector) of every row of ``nodes``; an encoder of tables is handed the whole table."""
+    if hasattr(encoder, "encode_frame"):
+        return encoder.encode_frame(node_text(nodes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:

@@ -791,6 +791,12 @@ def encode_backlog(spark: SparkSession, root: str) -> DataFrame:
     return similarity.encode_nodes(todo, similarity.HashingEncoder(64))
 
 
+@query
+def word_vectors(spark: SparkSession, root: str) -> DataFrame:
+    nodes = load(spark, root, "nodes")
+    return similarity.encode_nodes(nodes.where(F.col("node_type").isin(*similarity.EMBEDDED_TYPES)), similarity.WordVectorEncoder.fit(nodes))
+
+
 @query
 def metadata_extract(spark: SparkSession, root: str) -> DataFrame:
     meta = parsed_metadata("metadata_json")

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +258,18 @@ def test_go_imports_come_before_declarations(spark):
     text = 'package p\n\nimport (\n\t"fmt"\n\tx "a/b"\n)\n\nvar names = []string{\n\t"not/an/import"\n}\n'
     rows = spark.createDataFrame([(1, "a.go", "go", text)], "repository_id long, file_path string, language string, text string")
     assert [(r["line"], r["target"]) for r in imports.extract_imports(rows).orderBy("line").collect()] == [(4, "fmt"), (5, "a/b")]
+
+
+def test_word_vectors(spark):
+    """Words of one topic come nearer than words of another, in texts not trained on."""
+    rng, topics = random.Random(3), [["cache", "evict", "entry", "hit", "miss"], ["socket", "packet", "route", "port", "frame"]]
+    rows = [(i, 1, "function", "".join(w.title() for w in rng.sample(topics[i % 2], 4)), f"t{i % 2}/f.py", None) for i in range(400)]
+    encoder = similarity.WordVectorEncoder.fit(spark.createDataFrame(rows, NODES), dimensions=16, rounds=8)
+    held = [(1000 + i, 1, "function", "".join(w.title() for w in rng.sample(topics[i % 2], 2)), None, None) for i in range(20)] + [(2000, 1, "function", "Qqq", None, None), (2001, 1, None, None, None, None)]
+    out = {r["node_id"]: r["vector"] for r in similarity.encode_nodes(spark.createDataFrame(held, NODES), encoder).collect()}
+    assert len(out) == 22 and encoder.model == "words-16" and out[2001] is None
+    x = np.array([out[1000 + i] for i in range(20)])
+    s = x @ x.T
+    same = np.equal.outer(np.arange(20) % 2, np.arange(20) % 2)
+    assert s[same].mean() > s[~same].mean() + 0.3 and abs(np.linalg.norm(x[0]) - 1) < 1e-5
+    assert encoder.encode(["zzz yyy"]).tolist() == [[0.0] * 16]
