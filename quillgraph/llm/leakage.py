@@ -37,9 +37,11 @@ _WORD = re.compile(r"[^\W_]+")
 #: Postings of one shard of the index, about: bounds what a pass broadcasts (some 30 bytes each).
 MAX_POSTINGS = 6_000_000
 #: Items of a block; its items are neighbours by number.
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 4
 #: Passages that are looked up together.
 CHUNK = 1 << 16
+#: Cells of the block maxima up to which they are kept as a table too, which is read faster than lists.
+TABLE_CELLS = 4_000_000
 K1, B = 1.2, 0.75
 
 
@@ -57,6 +59,7 @@ class Index:
     impacts: np.ndarray
     block_keys: np.ndarray  # term * blocks + block, sorted
     block_max: np.ndarray
+    block_table: np.ndarray | None  # the same by term and block, where that is small
     block_start: np.ndarray  # where a term's blocks begin among the block keys
     term_max: np.ndarray
     item_threshold: np.ndarray
@@ -117,8 +120,12 @@ def build_index(items: list[tuple[object, list[str]]], df: dict[str, int], n_ite
 
     blocks = -(-n // BLOCK_ITEMS)
     block_keys, first = np.unique(terms * blocks + holders // BLOCK_ITEMS, return_index=True)
+    block_max, table = np.maximum.reduceat(impacts, first), None
+    if len(vocabulary) * blocks <= TABLE_CELLS:
+        table = np.full(len(vocabulary) * blocks, -np.inf, np.float32)
+        table[block_keys] = block_max
     return Index(
-        vocabulary, [i for i, _ in items], keys, impacts, block_keys, np.maximum.reduceat(impacts, first),
+        vocabulary, [i for i, _ in items], keys, impacts, block_keys, block_max, table,
         np.searchsorted(block_keys, np.arange(len(vocabulary) + 1) * blocks), np.maximum.reduceat(impacts, np.searchsorted(terms, np.arange(len(vocabulary)))),
         threshold, np.minimum.reduceat(threshold, np.arange(0, n, BLOCK_ITEMS)),
         words, np.concatenate(hashes)[order], np.concatenate(run_at)[order], np.concatenate(run_item)[order],
@@ -129,17 +136,19 @@ def _retrieve(index: Index, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(passage, item, score) of what reaches its threshold; all terms of the passages are in the index."""
     n, blocks = len(index.item_ids), len(index.block_threshold)
     held = index.block_start[passages + 1] - index.block_start[passages]
-    pivot = np.take_along_axis(passages, held.argmin(axis=1)[:, None], 1)[:, 0]
-    count = index.block_start[pivot + 1] - index.block_start[pivot]
+    # The rarest term is the pivot, and the next rarest leave out most of what it brings.
+    passages = np.take_along_axis(passages, held.argsort(axis=1), 1)
+    rest = np.concatenate([index.term_max[passages][:, ::-1].cumsum(axis=1)[:, ::-1], np.zeros((len(passages), 1), np.float32)], axis=1)
+    start, count = index.block_start[passages[:, 0]], held.min(axis=1)
     rows = np.repeat(np.arange(len(passages)), count)
-    within = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
-    block = index.block_keys[index.block_start[pivot[rows]] + within] % blocks
-    bound = np.zeros(len(rows), np.float32)
+    at = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+    block, bound = index.block_keys[at] % blocks, index.block_max[at]
     for k in range(passages.shape[1]):
         # What the terms so far and the best of those to come can reach.
-        bound += _lookup(index.block_keys, index.block_max, passages[rows, k] * blocks + block)
-        rest = index.term_max[passages[:, k + 1 :]].sum(axis=1)
-        ok = bound + rest[rows] >= index.block_threshold[block]
+        if k:
+            asked = passages[rows, k] * blocks + block
+            bound = bound + (_lookup(index.block_keys, index.block_max, asked) if index.block_table is None else index.block_table[asked])
+        ok = bound + rest[rows, k + 1] >= index.block_threshold[block]
         rows, block, bound = rows[ok], block[ok], bound[ok]
     items = block[:, None] * BLOCK_ITEMS + np.arange(BLOCK_ITEMS)
     rows, items = np.repeat(rows, BLOCK_ITEMS), items.ravel()

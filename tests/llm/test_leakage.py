@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quillgraph.llm import leakage
 from quillgraph.llm.leakage import leaked_items
@@ -63,7 +64,9 @@ def test_against_brute_force(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_other_widths():
+@pytest.mark.parametrize("cells", [0, leakage.TABLE_CELLS])
+def test_other_widths(monkeypatch, cells):
+    monkeypatch.setattr(leakage, "TABLE_CELLS", cells)
     docs, items = material(9)
     for n in (5, 8, 13):
         listed = [(i, words_of(t)) for i, t in items if t and len(words_of(t)) >= n]
