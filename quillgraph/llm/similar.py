@@ -13,33 +13,52 @@ the distance of that similarity.
 Vectors of one direction are searched as one class, so a direction shared by
 very many nodes costs no more than another, and each class carries no more
 member ids than a result can show.
+
+A query visits many shards, and more of them the more there are, so vectors are
+never sent to what they visit.  Each shard is written once, packed, to the
+shared checkpoint folder; a task holds the queries of some shards and reads the
+others one by one.  What is on disk grows as the vectors, not as the visits.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillgraph.session import cut
+from quillgraph.session import cut, ensure_checkpoint_dir
 
 #: Vectors of one model that the shard tree is fitted on, at most.
 SAMPLE_ROWS = 20_000
 #: Directions in a shard, about.
 SHARD_ROWS = 8_192
-#: Queries that visit one copy of a shard at most, about.
-VISIT_ROWS = 65_536
+#: Shards whose queries one task holds, at most.
+QUERY_SHARDS = 8
+#: Rows that a task gathers before it deals them to shards.
+DEAL_ROWS = 65_536
 LEAF_ROWS = 256
 #: See the module's text; the loss is stated in the README.
 RELAX = 6.0
 #: The same for the search of pairs above a similarity, whose radius is short from the start.
 PAIR_RELAX = 5.0
 _SALTS = 64
+#: By how much rounding may move a vector across a shard's border, and more.
+_SLACK = 1e-4
 
 
 @dataclass
@@ -68,8 +87,23 @@ class ShardTree:
             below += [(self.inner[at], np.maximum(bound, gap)), (self.outer[at], np.maximum(bound, -gap))]
         return out
 
+    def visits(self, x: np.ndarray, radius: np.ndarray, relax: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Each shard with the rows that have to look there."""
+        below = [(0 if len(self.points) else -1, np.arange(len(x)), np.zeros(len(x), np.float32))]
+        while below:
+            at, rows, bound = below.pop()
+            near = (bound - _SLACK) * relax < radius[rows]
+            rows, bound = rows[near], bound[near]
+            if not len(rows):
+                continue
+            if at < 0:
+                yield -at - 1, rows
+                continue
+            gap = _distance(x[rows], self.points[at : at + 1])[:, 0] - self.radii[at]
+            below += [(self.inner[at], rows, np.maximum(bound, gap)), (self.outer[at], rows, np.maximum(bound, -gap))]
+
     def home(self, x: np.ndarray) -> np.ndarray:
-        """The shard of each row: the one its turns lead to."""
+        """The shard of each row: the one its turns lead to; the same for the same row whatever rows are beside it."""
         out = np.zeros(len(x), np.int32)
         below = [(0, np.arange(len(x)))] if len(self.points) else []
         while below:
@@ -77,7 +111,8 @@ class ShardTree:
             if at < 0:
                 out[rows] = -at - 1
                 continue
-            outside = _distance(x[rows], self.points[at : at + 1])[:, 0] >= self.radii[at]
+            near = np.einsum("ij,j->i", x[rows].astype(np.float64), self.points[at].astype(np.float64))
+            outside = np.sqrt(np.maximum(2.0 - 2.0 * near, 0.0)) >= self.radii[at]
             below += [(self.inner[at], rows[~outside]), (self.outer[at], rows[outside])]
         return out
 
@@ -129,9 +164,9 @@ class PointTree:
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, leaf_rows: int = LEAF_ROWS) -> None:
         rng = np.random.default_rng(11)
-        self.leaves: list[np.ndarray] = []
+        leaves: list[np.ndarray] = []
         points: list[int] = []
-        rings: list[list[tuple[int, float, float]]] = []
+        self.rings: list[list[tuple[int, float, float]]] = []
 
         def split(rows: np.ndarray, path: list[tuple[int, float, float]]) -> None:
             if len(rows) > leaf_rows:
@@ -143,49 +178,50 @@ class PointTree:
                     for side in (inside, ~inside):
                         split(rows[side], [*path, (v, float(distances[side].min()), float(distances[side].max()))])
                     return
-            self.leaves.append(rows)
-            rings.append(path)
+            leaves.append(rows)
+            self.rings.append(path)
 
         split(np.arange(len(x)), [])
-        self.x, self.ids, self.rings = x, ids, rings
-        self.points = x[points] if points else None
+        #: The rows leaf by leaf, and where each leaf begins.
+        self.order = np.concatenate(leaves)
+        self.starts = np.cumsum([0, *map(len, leaves)])
+        self.x, self.ids = x[self.order], ids[self.order]
+        self.at = np.argsort(self.order)[points] if points else np.zeros(0, np.int64)
 
     def search(self, q: np.ndarray, own: np.ndarray, k: int, relax: float, radius: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: none) and similarities of the ``k`` nearest of each query, but for the id in ``own``."""
-        sims = np.full((len(q), k), -2.0, np.float32)
-        if radius is not None:
-            # A dot product just outside the radius stands for "no better neighbour yet".
-            sims[:] = (1.0 - radius**2 / 2.0)[:, None]
-        found = np.full((len(q), k), -1, np.int64)
-        lower = np.zeros((len(q), len(self.leaves)), np.float32)
-        if self.points is not None:
-            distances = _distance(q, self.points)
+        found, sims = nothing_yet(len(q), k, radius)
+        self.improve(q, own, relax, found, sims)
+        return found, sims
+
+    def improve(self, q: np.ndarray, own: np.ndarray | None, relax: float, found: np.ndarray, sims: np.ndarray) -> None:
+        """Put what is nearer here in the place of what was found; ``own``: the queries' ids, where they are among the rows."""
+        lower = np.zeros((len(q), len(self.rings)), np.float32)
+        if len(self.at):
+            distances = _distance(q, self.x[self.at])
             for leaf, path in enumerate(self.rings):
                 for v, low, high in path:
                     np.maximum(lower[:, leaf], low - distances[:, v], out=lower[:, leaf])
                     np.maximum(lower[:, leaf], distances[:, v] - high, out=lower[:, leaf])
         nearest = lower.argmin(axis=1)
         for first in (True, False):
-            for leaf, rows in enumerate(self.leaves):
-                if first:
-                    asks = np.flatnonzero(nearest == leaf)
-                else:
-                    reach = np.sqrt(np.maximum(2.0 - 2.0 * sims[:, -1], 0.0))
-                    asks = np.flatnonzero((lower[:, leaf] * relax < reach) & (nearest != leaf))
+            for leaf in range(len(self.rings)):
+                reach = lower[:, leaf] * relax < np.sqrt(np.maximum(2.0 - 2.0 * sims[:, -1], 0.0))
+                asks = np.flatnonzero(nearest == leaf if first else reach & (nearest != leaf))
                 for at in range(0, len(asks), 4096):
-                    self._scan(q, own, asks[at : at + 4096], rows, sims, found)
-        return found, sims
+                    self._scan(q, own, asks[at : at + 4096], slice(self.starts[leaf], self.starts[leaf + 1]), sims, found)
 
-    def _scan(self, q: np.ndarray, own: np.ndarray, asks: np.ndarray, rows: np.ndarray, sims: np.ndarray, found: np.ndarray) -> None:
+    def _scan(self, q: np.ndarray, own: np.ndarray | None, asks: np.ndarray, rows: slice, sims: np.ndarray, found: np.ndarray) -> None:
         k = sims.shape[1]
         near = q[asks] @ self.x[rows].T
-        near[own[asks][:, None] == self.ids[rows][None, :]] = -3.0
-        better = np.flatnonzero((near > sims[asks, -1][:, None]).any(axis=1))
+        if own is not None:
+            near[own[asks][:, None] == self.ids[rows][None, :]] = -3.0
+        better = np.flatnonzero(near.max(axis=1) > sims[asks, -1])
         if not len(better):
             return
         at = asks[better]
         both = np.hstack([sims[at], near[better]])
-        labels = np.hstack([found[at], np.broadcast_to(self.ids[rows], (len(at), len(rows)))])
+        labels = np.hstack([found[at], np.broadcast_to(self.ids[rows], (len(at), near.shape[1]))])
         top = np.argpartition(-both, k - 1, axis=1)[:, :k] if both.shape[1] > k else np.broadcast_to(np.arange(both.shape[1]), both.shape)
         values = np.take_along_axis(both, top, 1)
         order = np.argsort(-values, axis=1, kind="stable")
@@ -194,27 +230,126 @@ class PointTree:
         found[at] = np.take_along_axis(labels, top, 1)
 
 
+def nothing_yet(n: int, k: int, radius: np.ndarray | float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and similarities of ``n`` queries before any search."""
+    sims = np.full((n, k), -2.0, np.float32)
+    if radius is not None:
+        # A dot product just outside the radius stands for "no better neighbour yet".
+        sims[:] = np.reshape(1.0 - np.square(radius) / 2.0, (-1, 1))
+    return np.full((n, k), -1, np.int64), sims
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Vectors without loss: in half the bytes where 16-bit floats hold them, and byte by byte of all values, so that they compress."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float16)
+    least = half if np.array_equal(half.astype(x.dtype), x) else x
+    planes = np.ascontiguousarray(least).view(np.uint8).reshape(-1, least.itemsize).T
+    return pickle.dumps((x.shape, x.dtype.str, least.dtype.str, zlib.compress(planes.tobytes(), 1)))
+
+
+def unpack(data: bytes) -> np.ndarray:
+    shape, dtype, least, planes = pickle.loads(data)
+    size = np.dtype(least).itemsize
+    values = np.ascontiguousarray(np.frombuffer(zlib.decompress(planes), np.uint8).reshape(size, -1).T)
+    return values.view(least).reshape(shape).astype(dtype)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+
+
 # ---------------------------------------------------------------- in Spark
 
-_HOME = "group string, shard int, kind string, n long, block binary, cid long, near array<long>, sims array<float>"
+_BLOCK = "group string, shard int, n long, block binary"
+
 
+def _block(group: str, shard: int, n: int, *parts: Any) -> dict[str, Any]:
+    return {"group": group, "shard": shard, "n": n, "block": pickle.dumps(parts)}
 
-def _results(group: str, ids: np.ndarray, found: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
-    """One row a query with its neighbours."""
-    return pd.DataFrame({"group": group, "shard": -1, "kind": "result", "n": 1, "block": None, "cid": ids, "near": list(found), "sims": list(sims)})
 
+class Store:
+    """Shards as files in the checkpoint folder, one a shard, which all executors can read."""
 
-def _block(group: str, shard: int, kind: str, ids: np.ndarray, radius: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-    """Many vectors with their ids and radii in one binary value."""
-    data = np.int64(len(ids)).tobytes() + ids.astype(np.int64).tobytes() + radius.astype(np.float32).tobytes() + np.ascontiguousarray(x, np.float32).tobytes()
-    return pd.DataFrame({"group": [group], "shard": [shard], "kind": [kind], "n": [len(ids)], "block": [data], "cid": [0], "near": [None], "sims": [None]})
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4().hex}"
+        self.names: dict[tuple[str, int], str] = {}
+        self.rows: dict[tuple[str, int], int] = {}
 
+    def write(self, blocks: DataFrame) -> None:
+        blocks.write.option("maxRecordsPerFile", 1).parquet(self.folder)
+        written = blocks.sparkSession.read.schema(_BLOCK).parquet(self.folder)
+        for r in written.select("group", "shard", "n", F.input_file_name().alias("file")).collect():
+            self.names[r["group"], r["shard"]] = r["file"].rpartition("/")[2]
+            self.rows[r["group"], r["shard"]] = r["n"]
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    ids = np.frombuffer(data, np.int64, n, 8)
-    radius = np.frombuffer(data, np.float32, n, 8 + 8 * n)
-    return ids, radius, np.frombuffer(data, np.float32, -1, 8 + 12 * n).reshape(n, -1)
+    def read(self, group: str, shard: int) -> PointTree:
+        """The tree of a shard."""
+        path = f"{self.folder}/{self.names[group, shard]}"
+        if re.match(r"(file:)?/", path):
+            files, path = pyarrow.fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+        else:
+            files, path = pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+        with files.open_input_file(path) as f:
+            tree, x = pickle.loads(pyarrow.parquet.read_table(f, columns=["block"])["block"][0].as_py())
+        tree.x = _unit(unpack(x))
+        return tree
+
+    def delete(self, spark: SparkSession) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _steps(unit: np.ndarray) -> np.ndarray:
+    return np.rint(unit.astype(np.float64) * 100_000.0)
+
+
+def class_ids(group: str, unit: np.ndarray) -> np.ndarray:
+    """A number of 63 bits for each direction to five decimals."""
+    steps = _steps(unit).astype(np.int64).view(np.uint64)
+    h = np.full(len(unit), int.from_bytes(hashlib.blake2b(group.encode(), digest_size=8).digest()), np.uint64)
+    for j in range(steps.shape[1]):
+        # The finaliser of splitmix64 over the numbers so far and the next one.
+        h = (h ^ steps[:, j]) + np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return (h >> np.uint64(1)).astype(np.int64)
+
+
+def _directions(vectors: DataFrame, whole: bool) -> DataFrame:
+    """(group, cid, node_id) of every vector that has a direction; if ``whole`` with the vector."""
+    element = "double" if isinstance(vectors.schema["vector"].dataType.elementType, T.DoubleType) else "float"
+    vector = F.col("vector").cast(f"array<{element}>").alias("vector")
+
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table.append_column("n", pc.list_value_length(table["vector"]))
+            for key in table.select(["model", "n"]).group_by(["model", "n"]).aggregate([]).to_pylist():
+                if not key["n"]:
+                    continue
+                part = table.filter((pc.field("model") == key["model"]) & (pc.field("n") == key["n"])).combine_chunks()
+                # A null element reads as one that is no number.
+                values = part["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                x = values.reshape(-1, key["n"])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+                well = (norm > 0) & (norm < np.inf)
+                if not well.any():
+                    continue
+                group = f"{key['model']}/{key['n']}"
+                part = part.filter(pa.array(well))
+                columns = [pa.repeat(pa.scalar(group), len(part)), pa.array(class_ids(group, _unit(x[well]))), part["node_id"].cast(pa.int64()).combine_chunks()]
+                names = ["group", "cid", "node_id"]
+                if whole:
+                    columns, names = [*columns, part["vector"].combine_chunks()], [*names, "vector"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    kept = vectors.where(F.col("node_id").isNotNull() & F.col("model").isNotNull() & F.col("vector").isNotNull())
+    return kept.select("node_id", "model", vector).mapInArrow(direct, "group string, cid long, node_id long" + f", vector array<{element}>" * whole)
 
 
 def _first_members(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -237,122 +372,132 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, relax: float = RELAX, shard
     different lengths are never compared.  A repeated row counts once; of
     several vectors of a node the neighbours of each come out.  Among equal
     similarities the lower node id comes first, and a similarity counts as
-    equal where the unit vectors agree to five decimals (by a 128-bit hash).
+    equal where the unit vectors agree to five decimals (by a hash of 63 bits).
     """
-    size = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    rows = (
-        vectors.select("node_id", "model", "vector")
-        .where(F.col("node_id").isNotNull() & F.col("model").isNotNull())
-        # The explode keeps the norm from being computed again for every element.
-        .select("node_id", "model", "vector", F.explode(F.array(F.sqrt(size))).alias("norm"))
-        .where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-        .withColumn("group", F.concat_ws("/", "model", F.size("vector")))
-        .withColumn("unit", F.transform("vector", lambda x: (x / F.col("norm")).cast("float")))
-        .withColumn("steps", F.transform("unit", lambda x: F.rint(x * F.lit(100_000.0)).cast("int")))
-        .withColumn("class", F.concat_ws("/", F.xxhash64("steps"), F.xxhash64(F.lit(1), "steps")))
-        .select("node_id", "model", "group", "class", "unit")
-    )
-    # Which node is of which class.
-    member = rows.select("group", "class", "model", "node_id").distinct()
-    classes = rows.groupBy("group", "class").agg(F.min(F.struct("node_id", "unit")).alias("one"))
-    cid = F.shiftrightunsigned(F.xxhash64("group", "class"), 1)
-    classes = classes.select("group", "class", cid.alias("cid"), F.col("one.unit").alias("unit"))
-    classes = cut(classes)
+    rows = _directions(vectors, False)
+    spark = vectors.sparkSession
 
     # One row a model: the number of directions; then a bounded sample of each for the shard tree.
-    totals = {r["group"]: r["n"] for r in classes.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    totals = {r["group"]: r["n"] for r in rows.select("group", "cid").distinct().groupBy("group").agg(F.count("*").alias("n")).collect()}
     trees: dict[str, ShardTree] = {}
     for group, n in totals.items():
         shards = max(1, -(-n // shard_rows))
         if shards == 1:
             trees[group] = ShardTree(np.zeros((0, 0), np.float32), np.zeros(0, np.float32), [], [], 1)
             continue
-        part = classes.where(F.col("group") == group)
-        part = part.where(F.pmod(F.xxhash64("class"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / n))) if n > SAMPLE_ROWS else part
-        sample = np.array([r["unit"] for r in part.orderBy("class").select("unit").limit(SAMPLE_ROWS).collect()], np.float32)
+        part = _directions(vectors, True).where(F.col("group") == group)
+        part = part.where(F.pmod("cid", F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE_ROWS / n))) if n > SAMPLE_ROWS else part
+        part = part.groupBy("cid").agg(F.min(F.struct("node_id", "vector"))["vector"].alias("vector"))
+        sample = _unit(np.array([r["vector"] for r in part.orderBy("cid").select("vector").limit(SAMPLE_ROWS).collect()]))
         trees[group] = fit_shards(sample, shards)
-    shared = classes.sparkSession.sparkContext.broadcast(trees)
-
-    def assign(batches):
+    shared = spark.sparkContext.broadcast(trees)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def dealt(rows: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for group, part in rows.sort_values(["group", "cid", "node_id"]).drop_duplicates(["group", "cid"]).groupby("group"):
+                raw = np.stack(part["vector"].to_numpy())
+                unit = _unit(raw)
+                raw = raw if raw.dtype == np.float32 else unit
+                # The rounded values that make the class also decide the shard, so a class has one.
+                shards = shared.value[group].home(_steps(unit) / 100_000.0)
+                order = np.argsort(shards, kind="stable")
+                cid, node = part["cid"].to_numpy(np.int64), part["node_id"].to_numpy(np.int64)
+                for at in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
+                    out.append(_block(group, int(shards[at[0]]), len(at), cid[at], node[at], pack(raw[at])))
+            return pd.DataFrame(out)
+
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            batch["shard"] = np.int32(0)
-            for group, part in batch.groupby("group"):
-                batch.loc[part.index, "shard"] = shared.value[group].home(np.stack(part["unit"].to_numpy()).astype(np.float32))
-            yield batch[["group", "shard", "cid", "unit"]]
-
-    placed = cut(classes.select("group", "cid", "unit").mapInPandas(assign, "group string, shard int, cid long, unit array<float>"))
+            held.append(batch)
+            if sum(map(len, held)) >= DEAL_ROWS:
+                yield dealt(pd.concat(held))
+                held = []
+        if sum(map(len, held)):
+            yield dealt(pd.concat(held))
+
+    def plant(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A shard has about shard_rows directions.
+        parts = [pickle.loads(block) for batch in batches for block in batch["block"]]
+        cid, node, raw = (np.concatenate(x) for x in zip(*((c, n, unpack(x)) for c, n, x in parts), strict=True))
+        # Of a class that several tasks met, the vector of its least node.
+        order = np.lexsort((node, cid))
+        order = order[np.diff(cid[order], prepend=-1) != 0]
+        tree = PointTree(_unit(raw[order]), cid[order])
+        raw = raw[order][tree.order]
+        tree.x = tree.order = None
+        yield pd.DataFrame([_block(key[0], key[1], len(raw), tree, pack(raw))])
 
     # A little beyond the least similarity, so that rounding loses none.
     reach_most = float(np.sqrt(max(0.0, 2.0 - 2.0 * least))) + 1e-4
 
-    def at_home(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # A shard has about shard_rows directions.
-        part = pd.concat(list(batches))
-        x, ids = np.stack(part["unit"].to_numpy()).astype(np.float32), part["cid"].to_numpy(np.int64)
-        found, sims = PointTree(x, ids).search(x, ids, k, relax, np.full(len(x), reach_most, np.float32))
-        radius = np.sqrt(np.maximum(2.0 - 2.0 * sims[:, -1], 0.0)).astype(np.float32)
-        yield _results(key[0], ids, found, sims)
-        yield _block(key[0], key[1], "host", ids, radius, x)
-        reach = shared.value[key[0]].bounds(x) * relax < radius[:, None]
-        for shard in range(reach.shape[1]):
-            asks = reach[:, shard]
-            if shard != key[1] and asks.any():
-                yield _block(key[0], shard, "guest", ids[asks], radius[asks], x[asks])
-
-    home = cut(placed.groupBy("group", "shard").applyInPandas(at_home, _HOME))
-    guests = home.where("kind = 'guest'").select("group", "shard", "n", "block")
-    copies = guests.groupBy("group", "shard").agg(F.ceil(F.sum("n") / VISIT_ROWS).cast("int").alias("copies"))
-    # Blocks of vectors travel, not rows: a guest block to one copy of its host.
-    guests = guests.join(copies, ["group", "shard"]).select(
-        "group", "shard", F.pmod(F.xxhash64("block"), F.col("copies")).cast("int").alias("copy"), "block"
-    )
-    spread = copies.select(F.col("group").alias("g"), F.col("shard").alias("s"), F.expr("explode(sequence(0, copies - 1)) as host_copy"))
-    hosts = home.where("kind = 'host'").join(spread, (F.col("group") == F.col("g")) & (F.col("shard") == F.col("s")))
-    hosts = hosts.select(F.col("g").alias("group"), F.col("s").alias("shard"), F.col("host_copy").alias("copy"), F.col("block").alias("block"))
-
-    def abroad(key: tuple, guests: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(guests) and len(host):
-            own, _, x = _unpack(host["block"].iloc[0])
-            tree = PointTree(x, own)
-            for block in guests["block"]:
-                ids, radius, q = _unpack(block)
-                found, sims = tree.search(q, ids, k, relax, radius)
-                some = (found >= 0).any(axis=1)
-                if some.any():
-                    parts.append(_results(key[0], ids[some], found[some], sims[some])[["group", "cid", "near", "sims"]])
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["group", "cid", "near", "sims"], dtype=object)
-
-    away = (
-        guests.groupBy("group", "shard", "copy")
-        .cogroup(hosts.groupBy("group", "shard", "copy"))
-        .applyInPandas(abroad, "group string, cid long, near array<long>, sims array<float>")
-    )
-    both = home.where("kind = 'result'").select("group", "cid", "near", "sims").unionByName(away)
+    store = Store(spark)
+    try:
+        blocks = _directions(vectors, True).mapInPandas(deal, _BLOCK)
+        store.write(blocks.groupBy("group", "shard").applyInPandas(plant, _BLOCK))
+        per = max(1, min(QUERY_SHARDS, len(store.names) // (3 * spark.sparkContext.defaultParallelism)))
+        jobs = []
+        for group in totals:
+            shards = sorted(s for g, s in store.names if g == group)
+            jobs += [(group, shards[at : at + per]) for at in range(0, len(shards), per)]
+        plan = spark.sparkContext.broadcast((store, jobs))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            store, jobs = plan.value
+            for job in (job for batch in batches for job in batch["id"]):
+                group, shards = jobs[job]
+                trees = [store.read(group, shard) for shard in shards]
+                x, ids = np.concatenate([t.x for t in trees]), np.concatenate([t.ids for t in trees])
+                home = np.repeat(shards, [len(t.ids) for t in trees])
+                found, sims = nothing_yet(len(x), k, reach_most)
+                at = 0
+                for tree in trees:
+                    own = slice(at, at := at + len(tree.ids))
+                    tree.improve(x[own], ids[own], relax, found[own], sims[own])
+                held = dict(zip(shards, trees, strict=True))
+                # The radius of the own shard, in every other: a shorter one would leave out more of what the relax factor lets pass.
+                radius = np.sqrt(np.maximum(2.0 - 2.0 * sims[:, -1], 0.0))
+                for shard, asks in shared.value[group].visits(x, radius, relax):
+                    asks = asks[home[asks] != shard]
+                    if len(asks) and (group, shard) in store.names:
+                        f, s = nothing_yet(len(asks), k, radius[asks])
+                        (held.get(shard) or store.read(group, shard)).improve(x[asks], None, relax, f, s)
+                        new = np.flatnonzero(f[:, 0] >= 0)
+                        asks, f, s = asks[new], np.hstack([found[asks[new]], f[new]]), np.hstack([sims[asks[new]], s[new]])
+                        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                        found[asks], sims[asks] = np.take_along_axis(f, top, 1), np.take_along_axis(s, top, 1)
+                some = np.flatnonzero(found[:, 0] >= 0)
+                near, sim = (pd.Series(list(x[some]), dtype=object) for x in (found, sims))
+                yield pd.DataFrame({"group": group, "cid": ids[some], "near": near, "sims": sim})
+
+        numbers = spark.range(0, len(jobs), 1, max(1, len(jobs)))
+        near = cut(numbers.mapInPandas(search, "group string, cid long, near array<long>, sims array<float>"))
+    finally:
+        store.delete(spark)
     best = (
-        both.select("group", "cid", F.explode(F.arrays_zip("near", "sims")).alias("n"))
+        near.select("group", "cid", F.explode(F.arrays_zip("near", "sims")).alias("n"))
         .select("group", "cid", F.col("n.near").alias("ncid"), F.col("n.sims").cast("double").alias("sim"))
         .where("ncid >= 0")
     )
-    order = Window.partitionBy("group", "cid").orderBy(F.desc("sim"), "ncid")
-    best = best.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
-    # From classes to nodes: a class's list of k + 1 nodes serves all of its members.
-    lists = _first_members(member.select("group", "class", "node_id"), ["group", "class"], k + 1).join(
-        classes.select("group", "class", "cid"), ["group", "class"]
-    )
-    theirs = best.join(lists.select("group", F.col("cid").alias("ncid"), "members"), ["group", "ncid"])
+    # From classes to nodes: a class's list of k + 1 nodes serves all of its members. Most classes have one node.
+    classes = rows.groupBy("group", "cid").agg(F.min("node_id").alias("node_id"), F.max("node_id").alias("last"))
+    single = classes.where(F.col("node_id") == F.col("last")).select("group", "cid", "node_id")
+    several = classes.where(F.col("node_id") != F.col("last")).select("group", "cid")
+    shared_by = rows.select("group", "cid", "node_id").join(several, ["group", "cid"], "leftsemi").distinct()
+    lists = _first_members(shared_by, ["group", "cid"], k + 1)
     own = lists.select("group", "cid", F.lit(1.0).alias("sim"), "members")
-    theirs = theirs.where(F.col("sim") >= least)
+    lists = lists.unionByName(single.select("group", "cid", F.array("node_id").alias("members")))
+    theirs = best.where(F.col("sim") >= least).join(lists.select("group", F.col("cid").alias("ncid"), "members"), ["group", "ncid"])
     shown = theirs.select("group", "cid", "sim", "members").unionByName(own)
     shown = shown.select("group", "cid", "sim", F.explode("members").alias("neighbour_id"))
     order = Window.partitionBy("group", "cid").orderBy(F.desc("sim"), "neighbour_id")
     shown = shown.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
     shown = shown.groupBy("group", "cid").agg(F.sort_array(F.collect_list(F.struct("_r", "neighbour_id", "sim"))).alias("shown"))
-    named = member.join(classes.select("group", "class", "cid"), ["group", "class"]).join(shown, ["group", "cid"])
+    named = single.unionByName(shared_by).join(shown, ["group", "cid"])
     others = F.slice(F.filter("shown", lambda s: s["neighbour_id"] != F.col("node_id")), 1, k)
-    return named.select("model", "node_id", F.posexplode(others).alias("rank", "n")).select(
-        "model",
+    return named.select("group", "node_id", F.posexplode(others).alias("rank", "n")).select(
+        F.regexp_replace("group", "/[0-9]+$", "").alias("model"),
         "node_id",
         (F.col("rank") + 1).alias("rank"),
         F.col("n.neighbour_id").alias("neighbour_id"),

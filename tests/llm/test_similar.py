@@ -1,6 +1,9 @@
+import threading
+from pathlib import Path
+
 import numpy as np
 
-from quillgraph.llm.similar import PointTree, ShardTree, fit_shards, nearest_vectors, similar_pairs
+from quillgraph.llm.similar import PointTree, ShardTree, fit_shards, nearest_vectors, pack, similar_pairs, unpack
 
 SCHEMA = "node_id long, model string, vector array<float>, class string, shard int, unit double"
 
@@ -72,3 +75,41 @@ def test_edge_cases(spark, collect):
     pairs = collect(similar_pairs(table, k=3))
     assert all(a < b for a, b in pairs) and len(pairs) == len(set(pairs)) and (0, 29) in pairs and (28, 29) not in pairs
     assert nearest_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_disk_grows_as_the_vectors_not_as_the_visits(spark):
+    x = np.random.default_rng(3).normal(size=(3000, 32)).astype(np.float32)
+    table = spark.createDataFrame([(i, "m", v.tolist(), "c", 1, 0.5) for i, v in enumerate(x)], SCHEMA)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before, most, over = size(), 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not over.wait(0.05):
+            try:
+                most = max(most, size() - before)
+            except OSError:
+                pass
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        # Every vector looks into each of about fifty shards.
+        near = nearest_vectors(table, 10, 1.0, shard_rows=60)
+    finally:
+        over.set()
+        watcher.join()
+    most = max(most, size() - before)
+    assert x.nbytes < most < 6 * x.nbytes
+    assert not list(folder.glob("shards-*"))
+    assert near.count() == 30_000
+
+
+def test_packing_loses_nothing():
+    x = np.random.default_rng(4).normal(size=(500, 24)).astype(np.float32)
+    steps = np.round(x * 32) / 32
+    for v in (x, steps, x * 1e30, x * 1e-40, np.zeros((3, 0), np.float32)):
+        back = unpack(pack(v))
+        assert back.dtype == v.dtype and np.array_equal(back, v)
+    assert len(pack(steps)) < 0.4 * steps.nbytes
