@@ -12,7 +12,9 @@ teach a forest nothing about them.
 Labels are rare and many files of a class have none.  So the classes are
 weighted to equal shares, and a first forest adds to the third class what it is
 sure of before the second is trained.  The score from which a class counts is
-learned on labelled rows held out from training: where fewest errors are made.  A class that content doesn't tell from the rest decides
+where fewest errors are made.  It is learned on all labelled rows, each scored
+by a forest that was trained on the other half; the forest that judges is
+trained on all rows.  A class that content doesn't tell from the rest decides
 nothing; which ones do depends on the data.
 
 A file like any other but for its header is found by the evidence that isn't
@@ -33,14 +35,14 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.session import cut
 
-#: Rows the forest is trained on at most, drawn by hash.
-TRAINING_ROWS = 50_000
+#: Values a feature is cut to before the forest sees it; the cuts are of equal counts over all rows.
+CUTS = 31
 #: Score from which the first forest is sure enough of a file to add it to a class.
 SURE = 0.5
 #: What a class must be told apart by, as recall less false alarms on held-out rows, to decide anything.
@@ -228,23 +230,49 @@ def best_threshold(histogram: dict[tuple[float, int], int], label: float) -> flo
     return 1 / (1 + math.exp(-((best[0] + best[-1]) / 2 - BINS / 2) / 4))
 
 
+def _binned(contents: DataFrame) -> DataFrame:
+    """The features as numbers of bins, whose edges come from all rows.
+
+    Left to itself the forest takes its candidate splits from some 10,000 rows;
+    of at most 32 values it takes every one.
+    """
+    grid = [F.floor(F.col(f) * 1000).cast("long") for f in FEATURES]
+    cells = contents.select(F.explode(F.array(*(F.struct(F.lit(i).alias("f"), g.alias("v")) for i, g in enumerate(grid)))).alias("c"))
+    cells = cells.groupBy("c.f", "c.v").agg(F.count("*").alias("n"))
+    # A cell's bin: how many of the CUTS equal parts of all rows lie below its middle.
+    before = Window.partitionBy("f").orderBy("v")
+    total = F.sum("n").over(Window.partitionBy("f"))
+    cells = cells.withColumn("bin", F.floor((F.sum("n").over(before) - F.col("n") / 2) * CUTS / total))
+    edges: dict[int, list[int]] = {}
+    for r in cells.groupBy("f", "bin").agg(F.min("v").alias("least")).orderBy("f", "bin").collect():
+        edges.setdefault(r["f"], []).append(r["least"])
+    bins = [sum((F.when(g >= e, 1.0).otherwise(0.0) for e in edges.get(i, [])[1:]), F.lit(0.0)) for i, g in enumerate(grid)]
+    return contents.select("key", "noticed", "label", *(b.alias(f) for f, b in zip(FEATURES, bins, strict=True)))
+
+
 def _scored(contents: DataFrame, trees: int, depth: int) -> DataFrame:
     """(key, noticed, score, found) of every row of (key, noticed, features, label)."""
     counts = {r["label"]: r["n"] for r in contents.groupBy("label").agg(F.count("*").alias("n")).collect()}
     classes = [k for k in sorted(counts) if k]
     if not classes or len(counts) < 2:
         return contents.select("key", "noticed", F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("found"))
-    share = min(1.0, TRAINING_ROWS / sum(counts.values()))
-    draw = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(1 << 20))
-    sample = cut(contents.where(draw < int(share * (1 << 20))).select("key", "features", "label"))
-    held_out = F.pmod(F.xxhash64("key", F.lit(23)), F.lit(4)) == 0
+    half = F.pmod(F.xxhash64("key", F.lit(23)), F.lit(2))
     chance = lambda k: F.coalesce(F.get(vector_to_array("probability"), F.lit(int(k))), F.lit(0.0))
-    first = _fit(sample.where(~held_out), trees, depth)
+    first = _fit(contents, trees, depth)
     # Unlabelled rows that are surely packed or data.
     sure = F.when((F.col("label") == 0) & (chance(2.0) >= SURE), 2.0).otherwise(F.col("label"))
-    sample = cut(first.transform(sample).select("key", "features", sure.alias("label")))
-    model = _fit(sample.where(~held_out), trees, depth)
-    judged = cut(model.transform(sample.where(held_out)).select("label", *(chance(k).alias(f"p{int(k)}") for k in classes)))
+    labelled = cut(first.transform(contents).select("key", "noticed", "features", sure.alias("label")))
+    judged = None
+    for part in (0, 1):
+        kept = labelled.where(half != part)
+        if kept.select("label").distinct().count() < 2:
+            continue
+        own = _fit(kept, trees, depth).transform(labelled.where(half == part)).select("label", *(chance(k).alias(f"p{int(k)}") for k in classes))
+        judged = own if judged is None else judged.unionByName(own)
+    if judged is None:
+        judged = first.transform(labelled.where(F.lit(False))).select("label", *(chance(k).alias(f"p{int(k)}") for k in classes))
+    judged = cut(judged)
+    model = _fit(labelled, trees, depth)
     found, score = F.lit(False), F.lit(0.0)
     for k in classes:
         p = F.least(F.greatest(F.col(f"p{int(k)}"), F.lit(1e-9)), F.lit(1 - 1e-9))
@@ -254,7 +282,7 @@ def _scored(contents: DataFrame, trees: int, depth: int) -> DataFrame:
         threshold = best_threshold(histogram, k) if any(x == k for x, _ in histogram) else 0.5
         if threshold is not None:
             found, score = found | (chance(k) >= threshold), F.greatest(score, chance(k))
-    return model.transform(contents).select("key", "noticed", score.alias("score"), found.alias("found"))
+    return model.transform(labelled).select("key", "noticed", score.alias("score"), found.alias("found"))
 
 
 def judge_files(nodes: DataFrame, repositories: DataFrame, source_heads: DataFrame, trees: int = 40, depth: int = 8) -> DataFrame:
@@ -273,7 +301,8 @@ def judge_files(nodes: DataFrame, repositories: DataFrame, source_heads: DataFra
     # Counted, sampled, fitted and judged: the features are taken once.
     contents = cut(_contents(heads).join(names, "key"))
     kind = F.when(F.coalesce("packed_name", F.lit(False)), 2.0).when(F.col("noticed"), 1.0).otherwise(0.0)
-    contents = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(contents.withColumn("label", kind))
+    contents = _binned(contents.withColumn("label", kind))
+    contents = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(contents)
     scored = _scored(contents, trees, depth)
 
     nested = nested_copies(repositories).withColumn("nested", F.lit(True))

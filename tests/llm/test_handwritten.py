@@ -91,3 +91,26 @@ def test_threshold():
 def test_empty_tables(spark):
     none = judge_files(spark.createDataFrame([], NODES), spark.createDataFrame([], REPOS), spark.createDataFrame([], HEADS))
     assert none.count() == 0
+
+
+def test_forests_and_threshold_see_every_row(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+
+    from quillgraph.llm import handwritten
+
+    # As many rows as were once drawn by hash, and more.
+    n = 60_000
+    rng = random.Random(2)
+    rows = [(i, False, 2.0 if i % 3 == 0 else 0.0, *(rng.random() + (i % 3 == 0) for _ in handwritten.FEATURES)) for i in range(n)]
+    schema = "key long, noticed boolean, label double, " + ", ".join(f"{f} double" for f in handwritten.FEATURES)
+    binned = handwritten._binned(spark.createDataFrame(rows, schema)).cache()
+    values = {r[0] for r in binned.select(handwritten.FEATURES[0]).distinct().collect()}
+    assert values == set(map(float, range(handwritten.CUTS)))
+    trained, counted = [], []
+    fit, best = handwritten._fit, handwritten.best_threshold
+    monkeypatch.setattr(handwritten, "_fit", lambda rows, *a: trained.append(rows.count()) or fit(rows, *a))
+    monkeypatch.setattr(handwritten, "best_threshold", lambda h, k: counted.append(sum(h.values())) or best(h, k))
+    contents = VectorAssembler(inputCols=list(handwritten.FEATURES), outputCol="features").transform(binned)
+    found = handwritten._scored(contents, 5, 4).where("found").count()
+    assert trained[0] == trained[-1] == sum(trained[1:-1]) == n and counted == [n]
+    assert abs(found - n / 3) < n / 100
